@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.operators.ordering import number_rows
+from casetrail.operators.ordering import HOT_ROWS, number_rows
 
 # Log categories by destination.
 COLLECTION_CATEGORIES = ("DATA_COLLECTION", "PERFORMANCE", "GRAPH_API")
@@ -22,7 +22,7 @@ def route_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def correlation_chain(events: DataFrame) -> DataFrame:
+def correlation_chain(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events of each correlation id, numbered in time order, as flat rows.
 
     A chain has no bound on its length, so it is never gathered into one value.
@@ -35,6 +35,7 @@ def correlation_chain(events: DataFrame) -> DataFrame:
         coarse=F.date_trunc("minute", "ts"),
         fine=[F.col("ts"), F.substring(tie, 1, 3)],
         name="position",
+        hot_rows=hot_rows,
     )
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from casetrail.functions import paths
 from casetrail.operators.digests import CHUNK_ROWS, ordered_digest
-from casetrail.operators.ordering import number_rows
+from casetrail.operators.ordering import HOT_ROWS, number_rows
 
-EMPTY_DIGEST = F.sha2(F.lit(""), 256)
+# Fixed value: SHA-256 of no bytes, the items hash of a job without items.
+EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 HASH_PATTERN = "^[0-9a-f]{64}$"
 
 
@@ -22,8 +23,8 @@ def collection_order() -> list[Column]:
     return [F.col("collected_date"), F.md5(F.col("item_id")), F.col("item_id"), F.col("sha256")]
 
 
-def collection_sequence(items: DataFrame) -> DataFrame:
-    """``sequence`` 1..n per job in collection order."""
+def collection_sequence(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``sequence`` 1..n per job in collection order; jobs above ``hot_rows`` are split."""
     order = collection_order()
     return number_rows(
         items,
@@ -32,6 +33,7 @@ def collection_sequence(items: DataFrame) -> DataFrame:
         coarse=F.date_trunc("minute", "collected_date"),
         fine=[F.col("collected_date"), F.substring(order[1], 1, 3)],
         name="sequence",
+        hot_rows=hot_rows,
     )
 
 
@@ -106,7 +108,7 @@ def job_manifests(
         .withColumn("successful_items", F.coalesce("successful_items", zero))
         .withColumn("failed_items", F.coalesce("failed_items", zero))
         .withColumn("total_size_bytes", F.coalesce("total_size_bytes", zero))
-        .withColumn("items_hash", F.coalesce("items_hash", EMPTY_DIGEST))
+        .withColumn("items_hash", F.coalesce("items_hash", F.lit(EMPTY_DIGEST)))
         .withColumn("items_hash_scheme", F.coalesce("items_hash_scheme", F.lit("flat")))
         .drop("items_hash_rows")
         .withColumn("manifest_hash", F.sha2(manifest_hash_input(), 256))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions import measures, paths
-from casetrail.operators.ordering import number_rows
+from casetrail.operators.ordering import HOT_ROWS, number_rows
 
 # Outcomes of a record that cannot be fetched.
 SKIP_WITH_URL = "SkippedNoId - webUrl resolution not implemented"
@@ -63,10 +63,15 @@ def triage(records: DataFrame) -> DataFrame:
 
 
 def index_records(
-    records: DataFrame, dataset: str, order: Sequence[Column], coarse: Column, fine: Sequence[Column] = ()
+    records: DataFrame,
+    dataset: str,
+    order: Sequence[Column],
+    coarse: Column,
+    fine: Sequence[Column] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """0-based ``record_index`` per dataset in a stable order."""
-    return number_rows(records, [dataset], order, coarse, fine, name="record_index", start=0)
+    return number_rows(records, [dataset], order, coarse, fine, name="record_index", start=0, hot_rows=hot_rows)
 
 
 def fetch(records: DataFrame, content: DataFrame, base: str) -> DataFrame:

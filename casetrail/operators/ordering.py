@@ -1,8 +1,11 @@
 """Order-dependent operators that stay distributed when one group is huge.
 
-A plain ``Window.partitionBy(group)`` sorts each group in one task. When a single
-group may hold a large share of all rows, that task is the whole job. Here a
-group is cut along its sort order into cells; only per-cell totals cross cells.
+A plain ``Window.partitionBy(group)`` sorts each group in one task. That is right for
+the many groups of ordinary size, but when one group holds a large share of all rows
+its task is the whole job. Groups above ``hot_rows`` are therefore cut along their
+sort order into cells, and only per-cell totals cross cells; other groups are one cell
+each. If no group is hot, adaptive execution finds the list of hot groups empty and
+drops the whole splitting branch.
 
 * ``coarse`` is a monotone bucket of the sort order whose number of values per
   group is bounded by the domain (minutes of a collection, blocks of an id).
@@ -17,15 +20,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CELL = "__cell"
+# Rows of a group that one task sorts without trouble.
+HOT_ROWS = 1_000_000
 
+_CELL, _GROUP, _HOT = "__cell", "__group", "__hot"
 
-def _cell(group: Sequence[str], coarse: Column, fine: Sequence[Column]) -> Column:
-    """One never-null struct key, so rows with null group values are kept."""
-    parts = [F.col(name).alias(f"g{i}") for i, name in enumerate(group)]
-    parts.append(coarse.alias("coarse"))
-    parts.extend(column.alias(f"f{i}") for i, column in enumerate(fine))
-    return F.struct(*parts)
+
+def _keyed(df: DataFrame, group: Sequence[str], cuts: Sequence[Column], hot_rows: int) -> DataFrame:
+    """Adds ``__hot`` and ``__cell``: the group, and for hot groups also the cuts.
+
+    The list of hot groups has at most ``rows / hot_rows`` entries, whatever the keys
+    are, which bounds what is broadcast. Keys are structs, never null themselves, so
+    rows with null group values are kept.
+    """
+    grouped = df.withColumn(_GROUP, F.struct(*group))
+    hot = (
+        grouped.groupBy(_GROUP)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > hot_rows)
+        .select(_GROUP, F.lit(True).alias(_HOT))
+    )
+    marked = grouped.join(F.broadcast(hot), _GROUP, "left")
+    return marked.withColumn(
+        _CELL,
+        F.struct(_GROUP, *[F.when(F.col(_HOT), cut).alias(f"cut{i}") for i, cut in enumerate(cuts)]),
+    )
 
 
 def number_rows(
@@ -36,40 +55,42 @@ def number_rows(
     fine: Sequence[Column] = (),
     name: str = "seq",
     start: int = 1,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact consecutive numbers per group in ``order``.
 
-    ``coarse`` then ``fine`` then ``order`` must sort rows as ``order`` does. Rows
-    are shuffled once, on the cell: the join with the cell offsets and the
-    numbering inside a cell share that partitioning.
+    ``coarse`` then ``fine`` then ``order`` must sort rows as ``order`` does. Rows are
+    shuffled once, on the cell: the join with the cell offsets and the numbering inside
+    a cell share that partitioning.
     """
-    keyed = df.withColumn(_CELL, _cell(group, coarse, fine))
-    group_cols = [F.col(f"{_CELL}.g{i}") for i in range(len(group))]
-    fine_cols = [F.col(f"{_CELL}.f{i}") for i in range(len(fine))]
-    span = F.struct(*[c.alias(f"g{i}") for i, c in enumerate(group_cols)], F.col(f"{_CELL}.coarse").alias("coarse"))
-
-    cells = keyed.groupBy(_CELL).agg(F.count(F.lit(1)).alias("__n")).withColumn("__span", span)
-    before_span = Window.partitionBy(*[F.col(f"__span.g{i}") for i in range(len(group))]).orderBy(
-        "__span.coarse"
-    ).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = [coarse, *fine]
+    keyed = _keyed(df, group, cuts, hot_rows)
+    span = F.struct(f"{_CELL}.{_GROUP}", f"{_CELL}.cut0")
+    fine_order = [F.col(f"{_CELL}.cut{i}") for i in range(1, len(cuts))]
+
+    cells = keyed.filter(F.col(_HOT)).groupBy(_CELL).agg(F.count(F.lit(1)).alias("__n")).withColumn("__span", span)
+    earlier = Window.unboundedPreceding, -1
+    before_span = Window.partitionBy(f"__span.{_GROUP}").orderBy("__span.cut0").rowsBetween(*earlier)
     spans = (
         cells.groupBy("__span")
         .agg(F.sum("__n").alias("__n"))
         .select("__span", F.coalesce(F.sum("__n").over(before_span), F.lit(0)).alias("__before"))
     )
-    if fine:
-        before_cell = Window.partitionBy("__span").orderBy(*fine_cols).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        cells = cells.withColumn("__inside", F.coalesce(F.sum("__n").over(before_cell), F.lit(0)))
-    else:
-        cells = cells.withColumn("__inside", F.lit(0))
-    offsets = cells.join(spans, "__span").select(
-        _CELL, (F.col("__before") + F.col("__inside")).alias("__offset")
+    inside_span = F.lit(0)
+    if fine_order:
+        before_cell = Window.partitionBy("__span").orderBy(*fine_order).rowsBetween(*earlier)
+        inside_span = F.coalesce(F.sum("__n").over(before_cell), F.lit(0))
+    offsets = (
+        cells.withColumn("__inside", inside_span)
+        .join(spans, "__span")
+        .select(_CELL, (F.col("__before") + F.col("__inside")).alias("__offset"))
+    )
+    position = F.coalesce("__offset", F.lit(0)) + F.row_number().over(Window.partitionBy(_CELL).orderBy(*order))
+    return (
+        keyed.join(offsets, _CELL, "left")
+        .withColumn(name, (position + F.lit(start - 1)).cast("long"))
+        .drop(_CELL, _GROUP, _HOT, "__offset")
     )
-    inside = Window.partitionBy(_CELL).orderBy(*order)
-    position = F.col("__offset") + F.row_number().over(inside) + F.lit(start - 1)
-    return keyed.join(offsets, _CELL).withColumn(name, position.cast("long")).drop(_CELL, "__offset")
 
 
 def previous_row(
@@ -79,28 +100,28 @@ def previous_row(
     coarse: Column,
     carry: Sequence[str],
     name: str = "previous",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Struct of ``carry`` from the row before in the group; null for its first row.
 
-    Inside a cell this is ``lag``; the first row of a cell takes the last row of
+    Inside a cell this is ``lag``; the first row of a later cell takes the last row of
     the nearest earlier cell, found on a table with one row per cell.
     """
-    keyed = df.withColumn(_CELL, _cell(group, coarse, ()))
+    keyed = _keyed(df, group, [coarse], hot_rows)
     row = F.struct(*carry)
     rank = F.struct(*[column.alias(f"o{i}") for i, column in enumerate(order)])
-    before = Window.partitionBy(*[F.col(f"{_CELL}.g{i}") for i in range(len(group))]).orderBy(
-        f"{_CELL}.coarse"
-    )
+    before = Window.partitionBy(f"{_CELL}.{_GROUP}").orderBy(f"{_CELL}.cut0")
     edges = (
-        keyed.groupBy(_CELL)
+        keyed.filter(F.col(_HOT))
+        .groupBy(_CELL)
         .agg(F.max_by(row, rank).alias("__last"))
         .select(_CELL, F.lag("__last").over(before).alias("__edge"))
     )
-    inside = Window.partitionBy(_CELL).orderBy(*order)
+    inside = F.lag(row).over(Window.partitionBy(_CELL).orderBy(*order))
     return (
-        keyed.join(edges, _CELL)
-        .withColumn(name, F.coalesce(F.lag(row).over(inside), F.col("__edge")))
-        .drop(_CELL, "__edge")
+        keyed.join(edges, _CELL, "left")
+        .withColumn(name, F.coalesce(inside, F.col("__edge")))
+        .drop(_CELL, _GROUP, _HOT, "__edge")
     )
 
 

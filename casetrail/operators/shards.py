@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions import measures, paths
-from casetrail.operators.ordering import latest_by, previous_row
+from casetrail.operators.ordering import HOT_ROWS, latest_by, previous_row
 
 DAY_MICROS = 86_400_000_000
 
@@ -110,16 +110,27 @@ def sharded_job_metrics(
     )
 
 
+def _bin(ts: Column, days: int) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(days * DAY_MICROS)).cast("long")
+
+
 def assign_items(
-    items: DataFrame, windows: DataFrame, date: str = "item_date", boundary: str = "half_open"
+    items: DataFrame,
+    windows: DataFrame,
+    date: str = "item_date",
+    boundary: str = "half_open",
+    bin_days: int = 30,
 ) -> DataFrame:
     """Items with the shard whose window holds their date.
 
-    Windows are spread over the days they touch and joined on (custodian, day) with
-    the exact bounds as a residual: a hash or merge join instead of a nested loop,
-    and a custodian's items spread over days. Items outside every window keep a null
-    shard. ``half_open`` gives each item one shard per job, the last one closed at its
-    end; ``inclusive`` also repeats an item that lies exactly on a shared edge.
+    Windows are spread over the time bins they touch and joined on (custodian, bin)
+    with the exact bounds as a residual: a hash or merge join instead of a nested
+    loop, and a custodian's items spread over bins. With bins about as long as the
+    windows, a window is repeated two or three times and an item meets as many
+    windows; the left join lets adaptive execution split a hot bin of items. Items
+    outside every window keep a null shard. ``half_open`` gives each item one shard
+    per job, the last one closed at its end; ``inclusive`` also repeats an item that
+    lies exactly on a shared edge.
     """
     if boundary not in ("half_open", "inclusive"):
         raise ValueError("boundary must be 'half_open' or 'inclusive'")
@@ -138,18 +149,18 @@ def assign_items(
             F.col("end_date").alias("__to"),
             closed.alias("__closed"),
         )
-        .withColumn("__day", F.explode(F.sequence(F.to_date("__from"), F.to_date("__to"))))
+        .withColumn("__bin", F.explode(F.sequence(_bin(F.col("__from"), bin_days), _bin(F.col("__to"), bin_days))))
     )
     when = F.col(date).cast("timestamp")
     inside = (when >= F.col("__from")) & (
         (when < F.col("__to")) | (F.col("__closed") & (when == F.col("__to")))
     )
-    keyed = items.withColumn("__item_day", F.to_date(when))
+    keyed = items.withColumn("__item_bin", _bin(when, bin_days))
     return keyed.join(
         bins,
-        (F.col("custodian") == F.col("__custodian")) & (F.col("__item_day") == F.col("__day")) & inside,
+        (F.col("custodian") == F.col("__custodian")) & (F.col("__item_bin") == F.col("__bin")) & inside,
         "left",
-    ).drop("__custodian", "__from", "__to", "__closed", "__day", "__item_day")
+    ).drop("__custodian", "__from", "__to", "__closed", "__bin", "__item_bin")
 
 
 def shard_activity(assigned: DataFrame, size: str) -> DataFrame:
@@ -266,7 +277,7 @@ def last_checkpoints(checkpoints: DataFrame) -> DataFrame:
     return latest_by(done, ["shard_id", "checkpoint_type"], [F.col("created_date"), F.col("checkpoint_id")])
 
 
-def sequence_errors(checkpoints: DataFrame) -> DataFrame:
+def sequence_errors(checkpoints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Completed checkpoints that directly follow an incomplete one of their (shard, type)."""
     linked = previous_row(
         checkpoints.select("shard_id", "checkpoint_type", "checkpoint_id", "created_date", "is_completed"),
@@ -274,6 +285,7 @@ def sequence_errors(checkpoints: DataFrame) -> DataFrame:
         [F.col("created_date"), F.col("checkpoint_id")],
         coarse=F.date_trunc("hour", "created_date"),
         carry=["checkpoint_id", "is_completed"],
+        hot_rows=hot_rows,
     )
     wrong = linked.filter(F.col("is_completed") & ~F.col("previous.is_completed"))
     return wrong.select(
@@ -313,7 +325,7 @@ def resume_set(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.filter(~F.col("is_completed")).join(unsound, "shard_id", "left_anti")
 
 
-def heartbeat_gaps(heartbeats: DataFrame, lease_minutes: int = 30) -> DataFrame:
+def heartbeat_gaps(heartbeats: DataFrame, lease_minutes: int = 30, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Silences of a worker longer than its lease: from, to and seconds."""
     linked = previous_row(
         heartbeats.select("worker_id", "ts"),
@@ -321,6 +333,7 @@ def heartbeat_gaps(heartbeats: DataFrame, lease_minutes: int = 30) -> DataFrame:
         [F.col("ts")],
         coarse=F.date_trunc("hour", "ts"),
         carry=["ts"],
+        hot_rows=hot_rows,
     )
     silence = measures.duration_seconds(F.col("previous.ts"), F.col("ts"))
     return (

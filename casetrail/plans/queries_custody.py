@@ -9,6 +9,10 @@ from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
 
 
+# Small enough that groups of the provided data are split as huge ones would be.
+HOT = 1000
+
+
 @query("collection_sequence", "SELECT job_id, item_id, sha256, sequence FROM sequenced")
 def collection_sequence(spark, sf_dir):
     return custody.collection_sequence(domain.items(spark, sf_dir)).select("job_id", "item_id", "sha256", "sequence")
@@ -22,7 +26,7 @@ def collection_sequence(spark, sf_dir):
 )
 def matter_sequence(spark, sf_dir):
     rows = domain.items(spark, sf_dir).withColumn("order_key", F.col("job_id")).withColumn("job_id", F.lit(1))
-    return custody.collection_sequence(rows).select("order_key", "item_id", "sequence")
+    return custody.collection_sequence(rows, HOT).select("order_key", "item_id", "sequence")
 
 
 @query("manifest_totals", "SELECT * FROM totals")
@@ -47,7 +51,7 @@ def items_hash(spark, sf_dir):
 )
 def items_hash_tree(spark, sf_dir):
     rows = domain.items(spark, sf_dir).withColumn("job_id", F.col("job_id") % 4)
-    digests = custody.items_hash(custody.collection_sequence(rows), chunk_rows=1000)
+    digests = custody.items_hash(custody.collection_sequence(rows, HOT), chunk_rows=1000)
     return digests.withColumnRenamed("job_id", "matter")
 
 

@@ -10,7 +10,7 @@ from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
 
 MAX_ERRORS = 2
-BLOCK = 4096
+BLOCK = 64
 
 
 @query(
@@ -45,7 +45,9 @@ def file_record_triage(spark, sf_dir):
 
 def _results(spark, sf_dir):
     kept = ingest.triage(ingest.filter_records(domain.file_records(spark, sf_dir)))
-    indexed = ingest.index_records(kept, "dataset", [F.col("doc_id")], coarse=F.floor(F.col("doc_id") / BLOCK))
+    indexed = ingest.index_records(
+        kept, "dataset", [F.col("doc_id")], coarse=F.floor(F.col("doc_id") / BLOCK), hot_rows=20
+    )
     fetched = ingest.fetch(indexed, domain.landed_content(spark, sf_dir), "/evidence")
     return ingest.cut_off(fetched, "dataset", MAX_ERRORS)
 

@@ -197,7 +197,7 @@ def metric_retention(spark, sf_dir):
          ORDER BY ts, md5(event_type || '|' || event_id), event_id) AS BIGINT) AS position FROM lifecycle""",
 )
 def correlation_chain(spark, sf_dir):
-    rows = audit.correlation_chain(domain.lifecycle_events(spark, sf_dir))
+    rows = audit.correlation_chain(domain.lifecycle_events(spark, sf_dir), hot_rows=50)
     return rows.select("correlation_id", "event_id", "event_type", "position")
 
 

@@ -63,7 +63,9 @@ def sharded_job_metrics(spark, sf_dir):
 
 def _assigned(spark, sf_dir, boundary="half_open"):
     windows = shards.shard_windows(domain.shard_requests(spark, sf_dir), YEARS)
-    return shards.assign_items(domain.dated_items(spark, sf_dir), windows, boundary=boundary)
+    return shards.assign_items(
+        domain.dated_items(spark, sf_dir), windows, boundary=boundary, bin_days=YEARS.window_days
+    )
 
 
 _ASSIGN_SQL = """
@@ -219,7 +221,7 @@ def last_checkpoint(spark, sf_dir):
        FROM checkpoint_pairs WHERE is_completed AND NOT prev_completed""",
 )
 def checkpoint_sequence_errors(spark, sf_dir):
-    return shards.sequence_errors(domain.checkpoints(spark, sf_dir))
+    return shards.sequence_errors(domain.checkpoints(spark, sf_dir), hot_rows=10)
 
 
 @query(
@@ -262,7 +264,7 @@ def checkpoint_payloads(spark, sf_dir):
        WHERE ts - prev > INTERVAL 30 MINUTE""",
 )
 def heartbeat_gaps(spark, sf_dir):
-    rows = shards.heartbeat_gaps(domain.heartbeats(spark, sf_dir))
+    rows = shards.heartbeat_gaps(domain.heartbeats(spark, sf_dir), hot_rows=100)
     return rows.select("worker_id", stamp("silent_from").alias("silent_from"), stamp("silent_to").alias("silent_to"))
 
 

@@ -29,9 +29,11 @@ class ChangeLog:
     def changes_path(self) -> str:
         return f"{self.root}/changes"
 
-    def append(self, batch: DataFrame, batch_id: int) -> None:
-        reduced = latest_by(batch, ["item_id"], [F.col("version")])
-        reduced.write.mode("overwrite").parquet(f"{self.changes_path}/batch_id={batch_id}")
+    def append(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Write the latest change of each item of the batch and return what was written."""
+        path = f"{self.changes_path}/batch_id={batch_id}"
+        latest_by(batch, ["item_id"], [F.col("version")]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def changes(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.changes_path}/batch_id=*")
@@ -60,9 +62,10 @@ def run_change_feed(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        log.append(batch, batch_id)
-        live = batch.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
-        moment = batch.agg(F.max("ts")).first()[0]
+        # The batch itself, with its state lookups, is evaluated once, by the append.
+        written = log.append(batch, batch_id)
+        live = written.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
+        moment = written.agg(F.max("ts")).first()[0]
         before = cursors.load(before=batch_id + 2)
         cursors.save(advance_cursors(before, query_results(live), F.lit(moment)), version=batch_id + 2)
 

@@ -71,6 +71,7 @@ def retention_sink(kept_path: str, late_path: str, horizon_path: str, hours: int
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         newest = batch.agg(F.max("ts").alias("newest"))
         newest.write.mode("overwrite").parquet(f"{horizon_path}/batch_id={batch_id}")
         seen = spark.read.parquet(horizon_path).filter(F.col("batch_id") < batch_id)
@@ -81,5 +82,6 @@ def retention_sink(kept_path: str, late_path: str, horizon_path: str, hours: int
             kept, late = split_retention(batch, F.lit(horizon), hours)
         kept.write.mode("overwrite").parquet(f"{kept_path}/batch_id={batch_id}")
         late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return write
