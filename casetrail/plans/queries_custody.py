@@ -18,14 +18,14 @@ def collection_sequence(spark, sf_dir):
     return custody.collection_sequence(domain.items(spark, sf_dir)).select("job_id", "item_id", "sha256", "sequence")
 
 
-# One matter-wide group: every task numbers a part of the same group.
+# Two groups only: every task numbers a part of the same group.
 @query(
     "matter_sequence",
-    """SELECT job_id AS order_key, item_id, CAST(row_number() OVER (ORDER BY collected_date, md5(item_id), item_id, sha256) AS BIGINT) AS sequence
+    """SELECT job_id AS order_key, item_id, CAST(row_number() OVER (PARTITION BY job_id % 2 ORDER BY collected_date, md5(item_id), item_id, sha256) AS BIGINT) AS sequence
        FROM items""",
 )
 def matter_sequence(spark, sf_dir):
-    rows = domain.items(spark, sf_dir).withColumn("order_key", F.col("job_id")).withColumn("job_id", F.lit(1))
+    rows = domain.items(spark, sf_dir).withColumn("order_key", F.col("job_id")).withColumn("job_id", F.col("job_id") % 2)
     return custody.collection_sequence(rows, HOT).select("order_key", "item_id", "sequence")
 
 

@@ -38,8 +38,9 @@ def read_file_records(spark: SparkSession, path: str, array: bool | None = None)
         .select("*", F.col("_metadata.file_path").alias("source_file"))
     )
     good = with_path_metadata(rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT))
+    # Spark refuses to read the corrupt column alone, so a data column goes with it.
     rejects = rows.filter(F.col(_CORRUPT).isNotNull()).select(
-        "source_file", F.col(_CORRUPT).alias("raw"), F.lit("not a record").alias("reason")
+        "source_file", F.coalesce(_CORRUPT, "id").alias("raw"), F.lit("not a record").alias("reason")
     )
     return good, rejects
 

@@ -38,10 +38,15 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def success_markers(spark: SparkSession, root: str, depth: int = 6) -> DataFrame:
-    """``_SUCCESS`` markers down to ``depth`` folders below ``root``, one row each."""
+def marker_files(spark: SparkSession, root: str, depth: int = 6) -> DataFrame:
+    """``_SUCCESS`` and ``*.complete`` markers down to ``depth`` folders below ``root``.
+
+    Spark's listing leaves out hidden and empty files, so these are listed by name:
+    one short row per finished run.
+    """
+    levels = [root.rstrip("/") + "/*" * level for level in range(depth + 1)]
     found = [
-        (name,) for level in range(depth + 1) for name in list_names(spark, root.rstrip("/") + "/*" * level + "/_SUCCESS")
+        (name,) for level in levels for glob in ("_SUCCESS", "*.complete") for name in list_names(spark, f"{level}/{glob}")
     ]
     return spark.createDataFrame(found, T.StructType([T.StructField("path", T.StringType())]))
 

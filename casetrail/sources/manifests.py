@@ -95,6 +95,8 @@ def read_csv_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
+        # With pruned columns the parser would not notice rows of the wrong width.
+        .option("columnPruning", False)
         .csv(path)
         .select("*", _source_file())
     )
@@ -131,9 +133,14 @@ def manifest_from_csv_rows(rows: DataFrame, headers: list[str]) -> tuple[DataFra
 
 def manifest_from_json_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse one JSON object per row (``value``, ``source_file``), names without case."""
-    folded = lines.filter(F.length(F.trim("value")) > 0).withColumn(
+    objects = lines.filter(F.length(F.trim("value")) > 0).withColumn(
         "__map", F.from_json("value", "map<string,string>")
     )
+    return manifest_from_maps(objects)
+
+
+def manifest_from_maps(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows from ``__map`` (null when unreadable), ``value`` and ``source_file``."""
     pairs = F.transform(
         F.map_entries("__map"), lambda e: F.struct(F.lower(e.getField("key")).alias("key"), e.getField("value"))
     )
@@ -143,7 +150,7 @@ def manifest_from_json_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         matching = F.filter("__pairs", lambda e: e.getField("key") == JSON_NAMES[field])
         return F.try_element_at(matching, F.lit(-1)).getField("value")
 
-    parsed = folded.withColumn("__pairs", pairs).select(
+    parsed = objects.withColumn("__pairs", pairs).select(
         "value", "source_file", F.col("__map").isNull().alias("__bad"), *[cell(f).alias(f) for f in FIELDS]
     )
     size, modified, collected = (
@@ -168,7 +175,7 @@ def manifest_from_json_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rejects = parsed.filter(F.col("__bad") | bad_type).select(
         "source_file",
-        F.col("value").alias("raw"),
+        F.coalesce("value", F.to_json(F.struct(*FIELDS))).alias("raw"),
         F.when(F.col("__bad"), "not a JSON object").otherwise("wrong value type").alias("reason"),
     )
     return good, rejects
@@ -182,12 +189,17 @@ def starts_with_array(spark: SparkSession, path: str) -> bool:
 
 def read_json_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines (split between tasks) or JSON arrays (one task per file, by nature)."""
-    if starts_with_array(spark, path):
-        records = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
-        lines = records.select(F.to_json("v").alias("value"), _source_file())
-    else:
-        lines = spark.read.text(path).select("value", _source_file())
-    return manifest_from_json_text(lines)
+    if not starts_with_array(spark, path):
+        return manifest_from_json_text(spark.read.text(path).select("value", _source_file()))
+    texts = spark.read.text(path, wholetext=True).select("value", _source_file())
+    arrays = texts.withColumn("__maps", F.from_json("value", "array<map<string,string>>"))
+    # An unreadable array stays one row with a null map, and so becomes one reject.
+    elements = arrays.select(
+        F.when(F.col("__maps").isNull(), F.col("value")).alias("value"),
+        "source_file",
+        F.explode(F.coalesce("__maps", F.expr("array(cast(null AS map<string,string>))"))).alias("__map"),
+    )
+    return manifest_from_maps(elements)
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
