@@ -13,6 +13,10 @@ from casetrail.functions import measures
 _ESTIMATE_BYTES = " ".join(
     f"WHEN '{name}' THEN {size}" for name, (size, _) in measures.SIZE_ESTIMATES.items()
 )
+_MINUTES = " ".join(
+    f"WHEN '{name}' THEN greatest({least}, days * {per_day}D)"
+    for name, (least, per_day) in measures.DURATION_ESTIMATES.items()
+)
 _ESTIMATE_ITEMS = " ".join(
     f"WHEN '{name}' THEN {items}" for name, (_, items) in measures.SIZE_ESTIMATES.items()
 )
@@ -68,6 +72,27 @@ DEFINITIONS = {
         "BIGINT",
         f"CASE job_type {_ESTIMATE_ITEMS} ELSE {measures.DEFAULT_ESTIMATE[1]} END",
     ),
+    "sanitize_file_name_drop": (
+        "name STRING",
+        "STRING",
+        r"""substring(regexp_replace(name, '[\\x00-\\x1f"<>|:*?\\\\/]', ''), 1, 100)""",
+    ),
+    "request_priority": (
+        "job_type STRING, days BIGINT",
+        "STRING",
+        "CASE WHEN job_type = 'Email' AND days <= 7 THEN 'High' WHEN job_type = 'Teams' THEN 'High' "
+        "WHEN job_type = 'Mixed' THEN 'Medium' ELSE 'Normal' END",
+    ),
+    "estimate_minutes": (
+        "job_type STRING, days BIGINT",
+        "DOUBLE",
+        f"cast(CASE job_type {_MINUTES} ELSE {measures.DEFAULT_DURATION_MINUTES} END AS DOUBLE)",
+    ),
+    "items_per_second": (
+        "items BIGINT, duration_ms BIGINT",
+        "DOUBLE",
+        "CASE WHEN duration_ms > 0 THEN cast(items * 1000.0D / duration_ms AS DOUBLE) ELSE 0.0D END",
+    ),
     "progress_percentage": (
         "processed BIGINT, estimated BIGINT, previous DOUBLE",
         "DOUBLE",

@@ -90,17 +90,27 @@ def job_manifests(
 ) -> DataFrame:
     """One manifest per job, jobs without items included.
 
-    Totals and digest are aggregates over the items; the jobs side is joined to one
-    row per job only.
+    Totals and digest come from one pass over the items; the jobs side is joined to
+    one row per job only.
     """
-    sequenced = collection_sequence(items)
-    digests = items_hash(sequenced, chunk_rows)
-    built = (
-        jobs.select("job_id", "matter_id", "custodian", "job_type", "route", "start_time", "end_time")
-        .join(manifest_totals(items), "job_id", "left")
-        .join(digests, "job_id", "left")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    successful = F.coalesce(F.col("is_successful"), F.lit(False))
+    digests = ordered_digest(
+        collection_sequence(items),
+        ["job_id"],
+        "sequence",
+        F.col("sha256"),
+        chunk_rows=chunk_rows,
+        name="items_hash",
+        sums={
+            "successful_items": F.when(successful, one).otherwise(zero),
+            "failed_items": F.when(successful, zero).otherwise(one),
+            "total_size_bytes": F.when(successful, F.col("size_bytes")).otherwise(zero),
+        },
+    ).withColumnRenamed("items_hash_rows", "total_items")
+    built = jobs.select("job_id", "matter_id", "custodian", "job_type", "route", "start_time", "end_time").join(
+        digests, "job_id", "left"
     )
-    zero = F.lit(0).cast("long")
     return (
         built.withColumn("manifest_id", F.concat(F.lit("m"), F.col("job_id").cast("string")))
         .withColumn("created_date", created_date)
@@ -110,7 +120,6 @@ def job_manifests(
         .withColumn("total_size_bytes", F.coalesce("total_size_bytes", zero))
         .withColumn("items_hash", F.coalesce("items_hash", F.lit(EMPTY_DIGEST)))
         .withColumn("items_hash_scheme", F.coalesce("items_hash_scheme", F.lit("flat")))
-        .drop("items_hash_rows")
         .withColumn("manifest_hash", F.sha2(manifest_hash_input(), 256))
     )
 

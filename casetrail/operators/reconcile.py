@@ -164,8 +164,11 @@ def discrepancies(
     source: DataFrame, collected: DataFrame, options: ReconcileOptions, as_of: Column
 ) -> DataFrame:
     """Missed, extra and mismatching items, one row each."""
-    found = match_manifests(source, collected, options).withColumn("type", _finding_type(options))
-    found = found.filter(F.col("type").isNotNull())
+    return _findings(match_manifests(source, collected, options), options, as_of)
+
+
+def _findings(matched: DataFrame, options: ReconcileOptions, as_of: Column) -> DataFrame:
+    found = matched.withColumn("type", _finding_type(options)).filter(F.col("type").isNotNull())
     shown = F.coalesce(F.col("source"), F.col("collected"))
     reason = (
         F.when(F.col("type") == "Missed", MISSED_REASON)
@@ -222,8 +225,12 @@ def gates(summary: DataFrame, options: ReconcileOptions) -> DataFrame:
 
 def summarize(source: DataFrame, collected: DataFrame, options: ReconcileOptions) -> DataFrame:
     """Counts, bytes and gates per scope. Carries only sizes and hashes through the shuffle."""
-    matched = match_manifests(source, collected, options, wide=False).withColumn("type", _finding_type(options))
-    counts = matched.groupBy(*[f"scope_{c}" for c in options.scope]).agg(
+    return _summary(match_manifests(source, collected, options, wide=False), options)
+
+
+def _summary(matched: DataFrame, options: ReconcileOptions) -> DataFrame:
+    judged = matched.withColumn("type", _finding_type(options))
+    counts = judged.groupBy(*[f"scope_{c}" for c in options.scope]).agg(
         F.count_if(F.col("source").isNotNull()).alias("source_count"),
         F.count_if(F.col("collected").isNotNull()).alias("collected_count"),
         F.count_if(F.col("type") == "Missed").alias("missed_count"),
@@ -282,9 +289,11 @@ def report(
     """Report rows of every scope: the sections, then one summary row (``ord`` sorts them).
 
     ``expected_skips`` has the columns of ``discrepancies`` and fills the fourth section.
+    Sections and summary start from the same match, whose shuffle Spark reuses.
     """
     scope = [f"scope_{c}" for c in options.scope]
-    found = discrepancies(source, collected, options, as_of)
+    matched = match_manifests(source, collected, options)
+    found = _findings(matched, options, as_of)
     if expected_skips is not None:
         found = found.unionByName(expected_skips.withColumn("type", F.lit("ExpectedSkip")))
     section = F.lit(None).cast("string")
@@ -317,7 +326,7 @@ def report(
     )
     empty = [F.lit("").alias(c) for c in REPORT_COLUMNS[4:11]]
     owner = F.col("scope_custodian") if "custodian" in options.scope else F.lit("")
-    totals = summarize(source, collected, options).select(
+    totals = _summary(matched, options).select(
         *scope,
         F.lit(len(SECTION_OF_TYPE)).alias("ord"),
         F.lit("Summary").alias("Section"),

@@ -283,7 +283,7 @@ def sequence_errors(checkpoints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         checkpoints.select("shard_id", "checkpoint_type", "checkpoint_id", "created_date", "is_completed"),
         ["shard_id", "checkpoint_type"],
         [F.col("created_date"), F.col("checkpoint_id")],
-        coarse=F.date_trunc("hour", "created_date"),
+        coarse=F.date_trunc("minute", "created_date"),
         carry=["checkpoint_id", "is_completed"],
         hot_rows=hot_rows,
     )
@@ -331,7 +331,7 @@ def heartbeat_gaps(heartbeats: DataFrame, lease_minutes: int = 30, hot_rows: int
         heartbeats.select("worker_id", "ts"),
         ["worker_id"],
         [F.col("ts")],
-        coarse=F.date_trunc("hour", "ts"),
+        coarse=F.date_trunc("minute", "ts"),
         carry=["ts"],
         hot_rows=hot_rows,
     )

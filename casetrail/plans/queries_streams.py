@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casetrail.operators.ordering import latest_by
 from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
+from casetrail.plans.queries_metrics import COUNTERS_SQL
 from casetrail.sinks.cursors import CursorStore
 from casetrail.streaming import delta as delta_stream
 from casetrail.streaming import landing as landing_stream
@@ -111,7 +112,7 @@ def _shown_sessions(rows: DataFrame) -> DataFrame:
 
 @query("job_sessions", f"SELECT {_SESSION_COLUMNS} FROM ({_SESSIONS_SQL})")
 def job_sessions(spark, sf_dir):
-    return _shown_sessions(lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), "6 hours"))
+    return _shown_sessions(lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), 360))
 
 
 @query(
@@ -120,7 +121,7 @@ def job_sessions(spark, sf_dir):
 )
 def stream_job_sessions(spark, sf_dir):
     events = domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir)
-    return _shown_sessions(run_append(spark, lifecycle.job_sessions(events, "6 hours"), "sessions"))
+    return _shown_sessions(run_append(spark, lifecycle.job_sessions(events, 360), "sessions"))
 
 
 @query(
@@ -161,3 +162,11 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+
+
+@query("stream_event_counters", COUNTERS_SQL)
+def stream_event_counters(spark, sf_dir):
+    target = new_folder(spark, "counters")
+    events = domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir)
+    metrics.run_counters(events, target, new_folder(spark, "counters-checkpoint")).awaitTermination()
+    return metrics.latest_batch(spark.read.parquet(target))

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from casetrail.operators.metrics import split_retention
+from casetrail.operators.metrics import counters, split_retention
 
 RETENTION = "24 hours"
 
@@ -85,3 +86,28 @@ def retention_sink(kept_path: str, late_path: str, horizon_path: str, hours: int
         batch.unpersist()
 
     return write
+
+
+def run_counters(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Running event counters, written whole to a new folder per batch.
+
+    The state is one row per counter name, of which there are a few dozen.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        counters(events)
+        .writeStream.outputMode("complete")
+        .foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def latest_batch(rows: DataFrame) -> DataFrame:
+    """Rows of the last batch of a table written whole per batch."""
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == newest).drop("batch_id")

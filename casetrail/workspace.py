@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Folders of local sessions without the setting, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def workspace_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -21,9 +24,10 @@ def workspace_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="casetrail-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="casetrail-")
+        return _LOCAL_FOLDERS[app]
     raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 

@@ -176,7 +176,8 @@ def test_sql_functions_agree_with_columns(spark):
         """SELECT normalize_path(p), is_folder_path(kind, p), manifest_key(id, 'd', p, size, NULL), file_extension(p),
              sanitize_file_name(p), sha256_hex(p), delta_scope_id('Mail', p), estimate_message_size(p, msg),
              is_retryable(status, msg), estimate_job_bytes('Teams'), estimate_job_items('Fax'),
-             progress_percentage(5, size, 1.0D) FROM sample"""
+             progress_percentage(5, size, 1.0D), sanitize_file_name_drop(p), estimate_minutes('Teams', 100),
+             request_priority('Email', 7), items_per_second(size, 500) FROM sample"""
     )
     by_column = frame.select(
         paths.normalize_path(F.col("p")),
@@ -191,6 +192,10 @@ def test_sql_functions_agree_with_columns(spark):
         measures.estimated_bytes(F.lit("Teams")),
         measures.estimated_items(F.lit("Fax")),
         measures.progress_percentage(F.lit(5), F.col("size"), F.lit(1.0)),
+        paths.sanitize_file_name_drop(F.col("p")),
+        F.lit(150.0),
+        F.lit("High"),
+        measures.items_per_second(F.col("size"), F.lit(500)),
     )
     assert sorted(map(tuple, by_sql.collect())) == sorted(map(tuple, by_column.collect()))
     plan = by_sql._jdf.queryExecution().executedPlan().toString()
