@@ -81,7 +81,8 @@ def fetch(records: DataFrame, content: DataFrame, base: str) -> DataFrame:
     happened where the bytes are, so only digests are shuffled here. Needs columns
     ``matter``, ``custodian`` and ``record_index`` on the records.
     """
-    joined = records.join(content, ["drive", "id"], "left")
+    landed = content.select("drive", "id", "content_sha256", "content_length")
+    joined = records.join(landed, ["drive", "id"], "left")
     fetched = (F.col("outcome") == "Ready") & F.col("content_sha256").isNotNull()
     failed = (F.col("outcome") == "Ready") & F.col("content_sha256").isNull()
     target = paths.output_path(

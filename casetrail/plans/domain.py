@@ -202,13 +202,14 @@ def landed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('d', doc_id) AS id",
         "sha2(text, 256) AS content_sha256",
         "cast(octet_length(text) AS BIGINT) AS content_length",
+        "concat('/store/', doc_id) AS storage_uri",
     )
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "concat('msg-', conv_id, '-', turn) AS id",
-        "substr(text, 1, 40) AS subject",
+        r"split(text, '\n')[0] AS subject",
         "text AS preview",
         "concat(role, '@x.org') AS sender",
         "CASE role WHEN 'user' THEN array(named_struct('address', 'assistant@x.org'), named_struct('address', 'log@x.org')) "

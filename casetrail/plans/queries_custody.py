@@ -132,14 +132,14 @@ def custody_validation(spark, sf_dir):
 
 @query(
     "content_rehash",
-    """SELECT m.item_id, CASE WHEN c.id IS NULL THEN 'Missing' WHEN c.content_sha256 = lower(m.sha256) THEN 'Match' ELSE 'Mismatch' END AS outcome
-       FROM (SELECT 'd' || doc_id AS item_id, sha256 FROM collected_manifest WHERE item_id LIKE 'd%') m
-       LEFT JOIN landed_content c ON m.item_id = c.id""",
+    """SELECT m.storage_uri, CASE WHEN c.id IS NULL THEN 'Missing' WHEN c.content_sha256 = lower(m.sha256) THEN 'Match' ELSE 'Mismatch' END AS outcome
+       FROM (SELECT '/store/' || doc_id AS storage_uri, sha256 FROM collected_manifest) m
+       LEFT JOIN landed_content c ON m.storage_uri = c.storage_uri""",
 )
 def content_rehash(spark, sf_dir):
-    manifest = domain.collected_manifest(spark, sf_dir).filter(F.col("item_id").startswith("d"))
-    inventory = domain.landed_content(spark, sf_dir).withColumnRenamed("id", "item_id")
-    return custody.rehash_check(manifest, inventory, "item_id")
+    return custody.rehash_check(
+        domain.collected_manifest(spark, sf_dir), domain.landed_content(spark, sf_dir), "storage_uri"
+    )
 
 
 @query(

@@ -154,7 +154,8 @@ VIEWS: dict[str, str] = {
           lang AS matter, source AS dataset
         FROM documents""",
     "landed_content": """
-        SELECT source AS drive, 'd' || doc_id AS id, sha256(text) AS content_sha256, strlen(text) AS content_length
+        SELECT source AS drive, 'd' || doc_id AS id, sha256(text) AS content_sha256, strlen(text) AS content_length,
+          '/store/' || doc_id AS storage_uri
         FROM documents WHERE doc_id % 14 <> 5""",
     "fetched": """
         SELECT r.*, row_number() OVER (PARTITION BY r.dataset ORDER BY r.doc_id) - 1 AS record_index,
@@ -167,7 +168,7 @@ VIEWS: dict[str, str] = {
             OVER (PARTITION BY dataset ORDER BY record_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2 AS counted
         FROM fetched""",
     "messages": """
-        SELECT 'msg-' || conv_id || '-' || turn AS id, substr(text, 1, 40) AS subject, text AS preview, role || '@x.org' AS sender,
+        SELECT 'msg-' || conv_id || '-' || turn AS id, split_part(text, chr(10), 1) AS subject, text AS preview, role || '@x.org' AS sender,
           CASE role WHEN 'user' THEN 'assistant@x.org;log@x.org' ELSE 'user@x.org' END AS recipients,
           TIMESTAMP '2024-01-01' + to_hours(conv_id * 3 + turn) AS received, 'conv' || conv_id || '@x.org' AS custodian
         FROM conversations""",

@@ -74,7 +74,7 @@ def empty_manifest(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Header names of the first file, trimmed of spaces and quotes, lower case."""
     first = spark.read.text(path).first()
-    return [h.strip(' "').lower() for h in first[0].lstrip("﻿").split(",")] if first else []
+    return [h.strip(' "').lower() for h in first[0].lstrip("\ufeff").split(",")] if first else []
 
 
 def read_csv_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -133,9 +133,8 @@ def manifest_from_csv_rows(rows: DataFrame, headers: list[str]) -> tuple[DataFra
 
 def manifest_from_json_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse one JSON object per row (``value``, ``source_file``), names without case."""
-    objects = lines.filter(F.length(F.trim("value")) > 0).withColumn(
-        "__map", F.from_json("value", "map<string,string>")
-    )
+    text = F.ltrim(F.col("value"), F.lit("\ufeff"))
+    objects = lines.filter(F.length(F.trim(text)) > 0).withColumn("__map", F.from_json(text, "map<string,string>"))
     return manifest_from_maps(objects)
 
 
@@ -184,7 +183,7 @@ def manifest_from_maps(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
 def starts_with_array(spark: SparkSession, path: str) -> bool:
     """True when the first non-blank character of the first file is ``[``."""
     first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return bool(first) and first[0].lstrip("﻿ \t").startswith("[")
+    return bool(first) and first[0].lstrip("\ufeff \t").startswith("[")
 
 
 def read_json_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +191,7 @@ def read_json_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     if not starts_with_array(spark, path):
         return manifest_from_json_text(spark.read.text(path).select("value", _source_file()))
     texts = spark.read.text(path, wholetext=True).select("value", _source_file())
-    arrays = texts.withColumn("__maps", F.from_json("value", "array<map<string,string>>"))
+    arrays = texts.withColumn("__maps", F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), "array<map<string,string>>"))
     # An unreadable array stays one row with a null map, and so becomes one reject.
     elements = arrays.select(
         F.when(F.col("__maps").isNull(), F.col("value")).alias("value"),

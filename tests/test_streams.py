@@ -115,3 +115,24 @@ def test_reconcile_on_arrival(spark, small, tmp_path, extra):
     assert sum(r.missed_count + r.extra_count for r in got.values()) > 0
     report = spark.read.option("header", True).csv(f"{out}/reports")
     assert report.filter("Section = 'Summary'").count() == 2 + extra
+
+
+def test_log_lines_stream_like_a_batch(spark, small, tmp_path, rows):
+    from casetrail.plans.queries_files import _log_folder
+    from casetrail.sources import logs
+
+    folder = _log_folder(spark, small)
+    lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("source_file"))
+    parsed, _ = logs.parse_log(lines)
+    out = str(tmp_path / "parsed")
+    (
+        parsed.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    batch, _ = logs.read_log(spark, folder)
+    columns = ["ts", "category", "name", "correlation_id", "message"]
+    assert rows(spark.read.parquet(out), *columns) == rows(batch, *columns)
