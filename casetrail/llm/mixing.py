@@ -131,8 +131,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     goal = TOTAL_SHARE * F.sum("words").over(everything)
     level = (goal - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)
-    levelled = weighed.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    levelled = weighed.withColumn("level", level).withColumn("nth", F.row_number().over(filling))
+    # The first source in that order that stays below its cap, and so do all after it.
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("nth", "level"))
+    reached = F.min(fits).over(everything)["level"]
     return levelled.withColumn("target", F.least("cap", F.coalesce(reached, F.lit(float("inf"))) * F.col("weight"))).select(
         "source", "words", "rows", "target"
     )
