@@ -33,8 +33,8 @@ FENCES = (
     Fence("symbol_share", 0.1),
     Fence("mark_share", 0.5),
     Fence("upper_share", 0.25),
-    Fence("dup_line_share", 0.3),
-    Fence("repeat_share", 0.15),
+    Fence("dup_line_share", 0.45),
+    Fence("repeat_share", 0.2),
     Fence("word_length", 3.0),
 )
 REACH = 6.0
