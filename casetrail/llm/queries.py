@@ -31,6 +31,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.windows import remove_repeated_windows
+
+    return remove_repeated_windows(read_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casetrail.llm.sharding import shard_by_size
 
@@ -45,6 +51,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op9_sharding)
+    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op8_substring_dedup, op9_sharding)
 }
 ORACLES: dict[str, str] = {}
