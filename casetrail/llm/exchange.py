@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, on average.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+#: Chunks there are at least, so that small inputs spread too.
+LEAST_CHUNKS = 32
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ def layout(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> La
     n_bytes = int(sums["n"] or 0)
     # Larger inputs get larger chunks, so that packed rows do not become too small.
     size = chunk_bytes * min(8.0, max(1.0, (n_bytes / (chunk_bytes * 4096)) ** 0.5))
-    return Layout(n_bytes, int(sums["rows"]), max(1, round(n_bytes / size), int(sums["rows"]) // 200_000))
+    return Layout(n_bytes, int(sums["rows"]), max(LEAST_CHUNKS, round(n_bytes / size), int(sums["rows"]) // 200_000))
 
 
 def chunk_of(id_col: Column, n_chunks: int) -> Column:

@@ -43,6 +43,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.suffixes import remove_repeated_strings
+
+    return remove_repeated_strings(read_table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; ``CASETRAIL_TOKENIZERS`` names another folder."""
     import os
@@ -51,6 +57,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op8_substring_dedup, op9_sharding)
+    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
