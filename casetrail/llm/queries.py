@@ -31,6 +31,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casetrail.llm.windows import remove_repeated_windows
 
@@ -57,6 +63,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
+    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op7_minhash_near_dedup, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
