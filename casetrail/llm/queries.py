@@ -25,6 +25,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.language_model import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casetrail.llm.tokens import count_tokens
 
@@ -63,6 +69,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op6_token_counts, op7_minhash_near_dedup, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
+    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op5_lm_scoring, op6_token_counts, op7_minhash_near_dedup, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
