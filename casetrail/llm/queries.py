@@ -12,6 +12,18 @@ from casetrail.llm.common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.decontamination import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casetrail.llm.pii import personal_data
+
+    return personal_data(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casetrail.llm.mixing import mix_sources
 
@@ -69,6 +81,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op5_lm_scoring, op6_token_counts, op7_minhash_near_dedup, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_pii_disclosure, op3_mix_sources, op4_quality_rules, op5_lm_scoring, op6_token_counts, op7_minhash_near_dedup, op8_substring_dedup, op9_sharding, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
