@@ -47,18 +47,33 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - Q + 1,), "<u8", np.ascontiguousarray(data).data, strides=(1,))
 
 
-def banded_distance(piece: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int]:
-    """Least edit distance of the piece to any part of the region on the first ``width`` diagonals, and where that part ends."""
-    padded = np.zeros(len(piece) + width, np.uint8)
-    padded[: min(len(region), len(padded))] = region[: len(padded)]
+def banded_distances(pieces: list[np.ndarray], regions: list[np.ndarray], widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece, its least edit distance to any part of its region, and where that part ends.
+
+    Only alignments on the first ``width`` diagonals of a region count. All are aligned at once, a row
+    of the piece at a time.
+    """
+    n, width = len(pieces), max(widths)
+    sizes = np.array([len(p) for p in pieces])
+    pattern = np.zeros((n, sizes.max()), np.uint8)
+    text = np.zeros((n, sizes.max() + width), np.uint8)
+    for k in range(n):
+        pattern[k, : sizes[k]] = pieces[k]
+        part = regions[k][: text.shape[1]]
+        text[k, : len(part)] = part
     steps = np.arange(width, dtype=np.int32)
-    row = np.zeros(width, np.int32)
-    for i, byte in enumerate(piece.tolist()):
-        best = row + (padded[i : i + width] != byte)
-        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
-        row = np.minimum.accumulate(best - steps) + steps
-    at = int(row.argmin())
-    return int(row[at]), len(piece) + at
+    closed = np.where(steps < np.array(widths)[:, None], 0, 1 << 20).astype(np.int32)
+    row = closed.copy()
+    distance, stop = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(pattern.shape[1]):
+        best = row + (text[:, i : i + width] != pattern[:, i : i + 1])
+        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
+        row = np.minimum.accumulate(best - steps, axis=1) + steps + closed
+        done = np.flatnonzero(sizes == i + 1)
+        if len(done):
+            at = row[done].argmin(axis=1)
+            distance[done], stop[done] = row[done, at], at + i + 1
+    return distance, stop
 
 
 @dataclass
@@ -128,35 +143,36 @@ class Index:
             return []
         step = self.budget[piece] + 1
         # A match on up to ``step`` neighbouring diagonals lies wholly in one of two overlapping bands.
-        band = (at - place + (1 << 40)) // step
-        keys = np.concatenate([(piece << 42) + band, (piece << 42) + band - 1])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        counts = np.diff(np.r_[heads, len(keys)])
-        enough = counts >= self.needed[keys[heads] >> 42]
+        band = (at - place + PIECE) // step + 1
+        keys = np.concatenate([(piece << 30) + band, (piece << 30) + band - 1])
+        # Each gram of the piece counts once in a band, however often the text repeats it.
+        grams_of = np.sort((keys << 8) + np.concatenate([place, place]))
+        counted = grams_of[np.r_[True, grams_of[1:] != grams_of[:-1]]] >> 8
+        heads = np.flatnonzero(np.r_[True, counted[1:] != counted[:-1]])
+        counts = np.diff(np.r_[heads, len(counted)])
+        found = counted[heads[counts >= self.needed[counted[heads] >> 30]]]
+        candidates = []
+        for key in found.tolist():
+            k, number = key >> 30, (key & ((1 << 30) - 1)) - 1
+            e, size = int(self.budget[k]), len(self.pieces[k])
+            low = number * (e + 1) - PIECE
+            high = low + 2 * (e + 1) + size
+            # Texts the band touches; their q-grams may have been counted together, the alignment is of one.
+            texts = np.searchsorted(offsets, [max(low, 0), max(min(high, len(data)) - 1, 0)], side="right") - 1
+            for text in range(int(texts[0]), min(int(texts[1]), len(offsets) - 2) + 1):
+                begin, end = max(int(offsets[text]), low - e), min(int(offsets[text + 1]), high + e)
+                if end - begin >= size - e:
+                    candidates.append((text, k, begin, end))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for head, count in zip(heads[enough].tolist(), counts[enough].tolist()):
-            key = int(keys[head])
-            k, number = key >> 42, key & ((1 << 42) - 1)
-            e, pattern = int(self.budget[k]), self.pieces[k]
-            low = number * (e + 1) - (1 << 40)
-            inside = at[order[head : head + count] % len(at)]
-            texts = np.searchsorted(offsets, [inside.min(), inside.max()], side="right") - 1
-            for text in range(int(texts[0]), int(texts[1]) + 1):
-                begin = max(int(offsets[text]), low - e)
-                end = min(int(offsets[text + 1]), low + 2 * (e + 1) + len(pattern) + e)
-                if end - begin < len(pattern) - e or best.get((text, k), (e + 1,))[0] == 0:
-                    continue
-                region = data[begin:end]
-                exact = region.tobytes().find(pattern.tobytes())
-                if exact >= 0:
-                    distance, stop = 0, exact + len(pattern)
-                else:
-                    distance, stop = banded_distance(pattern, region, max(1, 4 * e + 3))
-                    stop = min(stop, len(region))
-                if distance <= e and distance < best.get((text, k), (e + 1,))[0]:
-                    best[text, k] = (distance, begin + max(0, stop - len(pattern) - distance), begin + stop)
+        for first in range(0, len(candidates), 512):
+            group = candidates[first : first + 512]
+            distances, stops = banded_distances(
+                [self.pieces[k] for _, k, _, _ in group], [data[b:e] for _, _, b, e in group], [4 * int(self.budget[k]) + 3 for _, k, _, _ in group]
+            )
+            for (text, k, begin, end), distance, stop in zip(group, distances.tolist(), stops.tolist()):
+                if distance <= self.budget[k] and distance < best.get((text, k), (1 << 20,))[0]:
+                    stop = min(stop, end - begin)
+                    best[text, k] = (distance, begin + max(0, stop - len(self.pieces[k]) - distance), begin + stop)
         return [(text, k, start, stop, distance) for (text, k), (distance, start, stop) in best.items()]
 
 
