@@ -162,16 +162,19 @@ class Index:
             for text in range(int(texts[0]), min(int(texts[1]), len(offsets) - 2) + 1):
                 begin, end = max(int(offsets[text]), low - e), min(int(offsets[text + 1]), high + e)
                 if end - begin >= size - e:
-                    candidates.append((text, k, begin, end))
+                    # What the band has before the text's start is filled with bytes that match nothing.
+                    candidates.append((text, k, begin, end, begin - (low - e)))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for first in range(0, len(candidates), 512):
             group = candidates[first : first + 512]
             distances, stops = banded_distances(
-                [self.pieces[k] for _, k, _, _ in group], [data[b:e] for _, _, b, e in group], [4 * int(self.budget[k]) + 3 for _, k, _, _ in group]
+                [self.pieces[k] for _, k, _, _, _ in group],
+                [np.concatenate([np.zeros(pad, np.uint8), data[b:e]]) for _, _, b, e, pad in group],
+                [4 * int(self.budget[k]) + 3 for _, k, _, _, _ in group],
             )
-            for (text, k, begin, end), distance, stop in zip(group, distances.tolist(), stops.tolist()):
+            for (text, k, begin, end, pad), distance, stop in zip(group, distances.tolist(), stops.tolist()):
                 if distance <= self.budget[k] and distance < best.get((text, k), (1 << 20,))[0]:
-                    stop = min(stop, end - begin)
+                    stop = min(stop - pad, end - begin)
                     best[text, k] = (distance, begin + max(0, stop - len(self.pieces[k]) - distance), begin + stop)
         return [(text, k, start, stop, distance) for (text, k), (distance, start, stop) in best.items()]
 

@@ -81,8 +81,14 @@ class Counter:
             self.by_piece = False
 
             def encode(text: str) -> list[tuple[int, int, int]]:
-                pieces = model.encode(text, out_type="immutable_proto", num_threads=1).pieces
-                return [(p.id, p.begin, p.end) for p in pieces]
+                pieces = model.encode(text, return_type="proto", num_threads=1).pieces
+                if text.isascii():
+                    return [(p.id, p.begin, p.end) for p in pieces]
+                # Places are in bytes; a character ends where its last byte does.
+                place = [0]
+                for k, character in enumerate(text):
+                    place += [k] * (len(character.encode()) - 1) + [k + 1]
+                return [(p.id, place[p.begin], place[p.end]) for p in pieces]
 
             self.lengths = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
