@@ -14,8 +14,9 @@ CHUNK = 1 << 16
 OVERLAP = 1 << 9
 #: Consecutive tokens, equal in id and place, that must agree before a boundary counts as stable.
 AGREE = 8
-# Words remembered by a Python worker.
-MEMO = 400_000
+# Words remembered by a Python worker, and characters split or encoded at a time.
+MEMO = 300_000
+PART = 1 << 19
 
 # A space before a visible character always starts a piece of a byte-level pre-tokenizer.
 PIECE_START = re.compile(r" (?=\S)")
@@ -116,32 +117,50 @@ class Counter:
             self.lengths = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.encode = encode
 
+    def sizes(self, texts: list[str]) -> list[int]:
+        """Tokens of texts encoded whole, a few at a time: the library's results are far larger than the texts."""
+        found, begin = [], 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= PART):
+                size += len(texts[end]) + 64
+                end += 1
+            found += self.lengths(texts[begin:end])
+            begin = end
+        return found
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; texts above the chunk length are spliced."""
         counts = [0] * len(texts)
-        ordinary = [k for k, text in enumerate(texts) if len(text) <= self.chunk]
+        part: list[int] = []
+        size = 0
         for k, text in enumerate(texts):
             if len(text) > self.chunk:
                 counts[k] = len(splice(text, self.encode, self.chunk, self.overlap))
+                continue
+            part.append(k)
+            size += len(text)
+            if size >= PART:
+                self._count_part(texts, part, counts)
+                part, size = [], 0
+        self._count_part(texts, part, counts)
+        return counts
+
+    def _count_part(self, texts: list[str], part: list[int], counts: list[int]) -> None:
         if not self.by_piece:
-            for k, n in zip(ordinary, self.lengths([texts[k] for k in ordinary])):
+            for k, n in zip(part, self.sizes([texts[k] for k in part])):
                 counts[k] = n
-            return counts
+            return
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        pieces = {}
-        for k in ordinary:
-            # The first part has no space before it; the others had one, which the split took away.
-            first, *rest = PIECE_START.split(texts[k])
-            pieces[k] = (first, rest)
-        unknown = set().union(*[rest for _, rest in pieces.values()]).difference(memo) if pieces else set()
-        unknown = list(unknown)
-        memo.update(zip(unknown, self.lengths([f" {piece}" for piece in unknown])))
-        heads = self.lengths([first for first, _ in pieces.values()])
-        for (k, (_, rest)), head in zip(pieces.items(), heads):
-            counts[k] = head + sum(map(memo.__getitem__, rest))
-        return counts
+        # The first part of a text has no space before it; the others had one, which the split took away.
+        split = [PIECE_START.split(texts[k]) for k in part]
+        unknown = list(set().union(*[pieces[1:] for pieces in split]).difference(memo))
+        memo.update(zip(unknown, self.sizes([f" {piece}" for piece in unknown])))
+        heads = self.sizes([pieces[0] for pieces in split])
+        for k, pieces, head in zip(part, split, heads):
+            counts[k] = head + sum(map(memo.__getitem__, pieces[1:]))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
