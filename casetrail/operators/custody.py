@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions import paths
-from casetrail.operators.digests import CHUNK_ROWS, ordered_digest
+from casetrail.operators.digests import CHUNK_ROWS, ordered_digest, scheme
 from casetrail.operators.ordering import HOT_ROWS, number_rows
 
 # Fixed value: SHA-256 of no bytes, the items hash of a job without items.
@@ -48,12 +48,12 @@ def manifest_totals(items: DataFrame) -> DataFrame:
 
 
 def items_hash(sequenced: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """SHA-256 of the item hashes of a job, concatenated in sequence order."""
+    """Digest of the item hashes of a job in sequence order."""
     return ordered_digest(sequenced, ["job_id"], "sequence", F.col("sha256"), chunk_rows=chunk_rows, name="items_hash")
 
 
 def collection_hash(sequenced: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """SHA-256 of the JSON array of (ItemId, Sha256Hash) in sequence order."""
+    """Digest of (ItemId, Sha256Hash) in sequence order; a chunk is a JSON array."""
     piece = F.to_json(F.struct(F.col("item_id").alias("ItemId"), F.col("sha256").alias("Sha256Hash")))
     return ordered_digest(
         sequenced,
@@ -81,6 +81,7 @@ def manifest_hash_input() -> Column:
             F.col("total_size_bytes").alias("totalSizeBytes"),
             paths.iso_seconds(F.col("created_date")).alias("createdDate"),
             F.col("items_hash").alias("itemsHash"),
+            F.col("items_hash_scheme").alias("itemsHashScheme"),
         )
     )
 
@@ -119,7 +120,7 @@ def job_manifests(
         .withColumn("failed_items", F.coalesce("failed_items", zero))
         .withColumn("total_size_bytes", F.coalesce("total_size_bytes", zero))
         .withColumn("items_hash", F.coalesce("items_hash", F.lit(EMPTY_DIGEST)))
-        .withColumn("items_hash_scheme", F.coalesce("items_hash_scheme", F.lit("flat")))
+        .withColumn("items_hash_scheme", F.coalesce("items_hash_scheme", F.lit(scheme(chunk_rows))))
         .withColumn("manifest_hash", F.sha2(manifest_hash_input(), 256))
     )
 

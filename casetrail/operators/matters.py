@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.operators.custody import last_valid_verification
+from casetrail.operators.custody import collection_order, last_valid_verification
 
 
 def active_matters(matters: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def newest_first(rows: DataFrame, date: str, *ties: str) -> DataFrame:
 
 def first_items(items: DataFrame, per_job: int = 5) -> DataFrame:
     """The first items of each job in collection order, as a sample for the log."""
-    order = Window.partitionBy("job_id").orderBy("collected_date", "item_id", "sha256")
+    order = Window.partitionBy("job_id").orderBy(*collection_order())
     return items.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= per_job)
 
 

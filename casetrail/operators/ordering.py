@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 # Rows of a group that one task sorts without trouble.
 HOT_ROWS = 1_000_000
+# Hot groups hold at least this fraction of all rows, which bounds their number at every size.
+MOST_HOT = 10_000
 
 _CELL, _GROUP, _HOT = "__cell", "__group", "__hot"
 
@@ -29,17 +31,14 @@ _CELL, _GROUP, _HOT = "__cell", "__group", "__hot"
 def _keyed(df: DataFrame, group: Sequence[str], cuts: Sequence[Column], hot_rows: int) -> DataFrame:
     """Adds ``__hot`` and ``__cell``: the group, and for hot groups also the cuts.
 
-    The list of hot groups has at most ``rows / hot_rows`` entries, whatever the keys
-    are, which bounds what is broadcast. Keys are structs, never null themselves, so
-    rows with null group values are kept.
+    A group is hot above ``hot_rows`` and one ten-thousandth of all rows, so fewer than
+    ``MOST_HOT`` groups are, which bounds what is broadcast whatever the input. Keys are
+    structs, never null themselves, so rows with null group values are kept.
     """
     grouped = df.withColumn(_GROUP, F.struct(*group))
-    hot = (
-        grouped.groupBy(_GROUP)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .select(_GROUP, F.lit(True).alias(_HOT))
-    )
+    counts = df.select(F.struct(*group).alias(_GROUP)).groupBy(_GROUP).agg(F.count(F.lit(1)).alias("__n"))
+    least = counts.agg(F.greatest(F.lit(hot_rows), F.coalesce(F.sum("__n"), F.lit(0)) / MOST_HOT)).scalar()
+    hot = counts.filter(F.col("__n") > least).select(_GROUP, F.lit(True).alias(_HOT))
     marked = grouped.join(F.broadcast(hot), _GROUP, "left")
     return marked.withColumn(
         _CELL,
@@ -99,23 +98,32 @@ def previous_row(
     order: Sequence[Column],
     coarse: Column,
     carry: Sequence[str],
+    fine: Sequence[Column] = (),
     name: str = "previous",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Struct of ``carry`` from the row before in the group; null for its first row.
 
     Inside a cell this is ``lag``; the first row of a later cell takes the last row of
-    the nearest earlier cell, found on a table with one row per cell.
+    the nearest earlier cell of its coarse bucket, or else of the nearest earlier bucket,
+    found on tables with one row per cell and per bucket.
     """
-    keyed = _keyed(df, group, [coarse], hot_rows)
+    cuts = [coarse, *fine]
+    keyed = _keyed(df, group, cuts, hot_rows)
     row = F.struct(*carry)
     rank = F.struct(*[column.alias(f"o{i}") for i, column in enumerate(order)])
-    before = Window.partitionBy(f"{_CELL}.{_GROUP}").orderBy(f"{_CELL}.cut0")
+    span = F.struct(f"{_CELL}.{_GROUP}", f"{_CELL}.cut0")
+    fine_order = [F.col(f"{_CELL}.cut{i}") for i in range(1, len(cuts))]
+    cells = keyed.filter(F.col(_HOT)).groupBy(_CELL).agg(F.max(F.struct(rank.alias("rank"), row.alias("row"))).alias("__last")).withColumn("__span", span)
+    before_span = Window.partitionBy(f"__span.{_GROUP}").orderBy("__span.cut0")
+    spans = cells.groupBy("__span").agg(F.max("__last").alias("__end")).select("__span", F.lag("__end").over(before_span).alias("__earlier"))
+    inside_span = F.lit(None)
+    if fine_order:
+        inside_span = F.lag("__last").over(Window.partitionBy("__span").orderBy(*fine_order))
     edges = (
-        keyed.filter(F.col(_HOT))
-        .groupBy(_CELL)
-        .agg(F.max_by(row, rank).alias("__last"))
-        .select(_CELL, F.lag("__last").over(before).alias("__edge"))
+        cells.withColumn("__inside", inside_span)
+        .join(spans, "__span")
+        .select(_CELL, F.coalesce("__inside", "__earlier").getField("row").alias("__edge"))
     )
     inside = F.lag(row).over(Window.partitionBy(_CELL).orderBy(*order))
     return (

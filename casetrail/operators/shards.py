@@ -285,6 +285,7 @@ def sequence_errors(checkpoints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         [F.col("created_date"), F.col("checkpoint_id")],
         coarse=F.date_trunc("minute", "created_date"),
         carry=["checkpoint_id", "is_completed"],
+        fine=[F.col("created_date"), F.floor(F.col("checkpoint_id") / 100_000)],
         hot_rows=hot_rows,
     )
     wrong = linked.filter(F.col("is_completed") & ~F.col("previous.is_completed"))
@@ -328,11 +329,13 @@ def resume_set(checkpoints: DataFrame) -> DataFrame:
 def heartbeat_gaps(heartbeats: DataFrame, lease_minutes: int = 30, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Silences of a worker longer than its lease: from, to and seconds."""
     linked = previous_row(
-        heartbeats.select("worker_id", "ts"),
+        # Heartbeats of one instant say the same once.
+        heartbeats.select("worker_id", "ts").distinct(),
         ["worker_id"],
         [F.col("ts")],
         coarse=F.date_trunc("minute", "ts"),
         carry=["ts"],
+        fine=[F.date_trunc("second", "ts")],
         hot_rows=hot_rows,
     )
     silence = measures.duration_seconds(F.col("previous.ts"), F.col("ts"))

@@ -45,8 +45,8 @@ def items_hash(spark, sf_dir):
     """WITH chunks AS (SELECT matter, (seq - 1) // 1000 AS chunk, sha256(string_agg(sha256, '' ORDER BY seq)) AS d, count(*) AS n
          FROM (SELECT job_id % 4 AS matter, sha256, row_number() OVER (PARTITION BY job_id % 4
            ORDER BY collected_date, md5(item_id), item_id, sha256) AS seq FROM items) GROUP BY 1, 2)
-       SELECT matter, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY chunk)) END AS items_hash,
-         CASE WHEN count(*) = 1 THEN 'flat' ELSE 'tree' END AS items_hash_scheme, CAST(sum(n) AS BIGINT) AS items_hash_rows
+       SELECT matter, sha256(string_agg(d, '' ORDER BY chunk)) AS items_hash,
+         'sha256-chunks-1000' AS items_hash_scheme, CAST(sum(n) AS BIGINT) AS items_hash_rows
        FROM chunks GROUP BY 1""",
 )
 def items_hash_tree(spark, sf_dir):
@@ -57,8 +57,9 @@ def items_hash_tree(spark, sf_dir):
 
 @query(
     "collection_hash",
-    """SELECT job_id, sha256('[' || string_agg('{"ItemId":"' || item_id || '","Sha256Hash":"' || sha256 || '"}', ',' ORDER BY sequence) || ']')
-         AS collection_hash FROM sequenced GROUP BY 1""",
+    """SELECT job_id, sha256(string_agg(d, '' ORDER BY chunk)) AS collection_hash FROM (SELECT job_id, (sequence - 1) // 250000 AS chunk,
+           sha256('[' || string_agg('{"ItemId":"' || item_id || '","Sha256Hash":"' || sha256 || '"}', ',' ORDER BY sequence) || ']') AS d
+         FROM sequenced GROUP BY 1, 2) GROUP BY 1""",
 )
 def collection_hash(spark, sf_dir):
     rows = custody.collection_sequence(domain.items(spark, sf_dir))
@@ -226,7 +227,7 @@ def jobs_newest_first(spark, sf_dir):
 @query(
     "first_five_items",
     """SELECT job_id, item_id, position FROM (SELECT job_id, item_id, CAST(row_number() OVER
-         (PARTITION BY job_id ORDER BY collected_date, item_id, sha256) AS INTEGER) AS position FROM items) WHERE position <= 5""",
+         (PARTITION BY job_id ORDER BY collected_date, md5(item_id), item_id, sha256) AS INTEGER) AS position FROM items) WHERE position <= 5""",
 )
 def first_five_items(spark, sf_dir):
     return matters.first_items(domain.items(spark, sf_dir)).select("job_id", "item_id", "position")

@@ -83,7 +83,7 @@ def dataset_scan(spark, sf_dir):
     # Parquet extract to landing JSON, one folder per matter and custodian.
     target = new_folder(spark, "landing")
     spark.read.parquet(extract).write.partitionBy("matter", "custodian").json(target)
-    found, _ = datasets.read_file_records(spark, target, array=False)
+    found, _ = datasets.read_file_records(spark, target)
     strip = lambda c: F.regexp_replace(c, "^[a-z]+=", "")
     return found.select(
         F.col("size").alias("doc_id"),
@@ -188,11 +188,31 @@ def _log_folder(spark, sf_dir):
         "collected_items", F.lit(" | Size: "), "collected_size_bytes", F.lit(" bytes | CorrelationId: "),
         "correlation_id", F.lit(" | Throughput: 1.00 items/sec, 0.10 MB/sec"),
     )
-    plain_line = F.concat(F.lit("Worker heartbeat "), "event_id")
-    turn = F.col("event_id") % 4
-    body = (
-        F.when(turn == 0, audit_line).when(turn == 1, custody_line).when(turn == 2, performance_line).otherwise(plain_line)
+    security_line = F.concat(
+        F.lit("SECURITY: "), "event_type", F.lit(" | CorrelationId: "), "correlation_id", F.lit(" | User: svc"),
+        F.col("event_id") % 7, F.lit(" | Data: "), payload,
+    )
+    collection_line = F.concat(
+        F.lit("DATA_COLLECTION: u"), "job_id", F.lit("@x.org | Type: Email | Route: GraphApi | Items: "), "collected_items",
+        F.lit(" | Size: "), F.format_string("%d.%02d", F.col("event_id") % 50, (F.col("event_id") % 4) * 25),
+        F.lit(" MB | CorrelationId: "), "correlation_id",
+    )
+    error_line = F.concat(
+        F.lit("ERROR: While "), "event_type", F.lit(" | Exception: TimeoutException | CorrelationId: "), "correlation_id",
+        F.lit(" | Data: "), payload,
+    )
+    quota = F.when(F.col("event_id") % 3 == 0, "N/A").otherwise(F.concat(F.col("event_id") % 100, F.lit("%")))
+    api_line = F.concat(
+        F.lit("GRAPH_API: GET /users/u"), "job_id", F.lit("/messages | Status: "),
+        F.when(F.col("event_id") % 2 == 0, "200").otherwise("429"), F.lit(" | Duration: "), "duration_ms",
+        F.lit("ms | CorrelationId: "), "correlation_id", F.lit(" | Quota: "), quota,
     )
+    plain_line = F.concat(F.lit("Worker heartbeat "), "event_id")
+    turn = F.col("event_id") % 8
+    lines = [audit_line, custody_line, performance_line, plain_line, security_line, collection_line, error_line, api_line]
+    body = F.lit(None).cast("string")
+    for number, line in enumerate(lines):
+        body = F.when(turn == number, line).otherwise(body)
     tail = F.when(F.col("event_id") % 10 == 3, "\nSELECT continued").otherwise("")
     path = new_folder(spark, "log")
     events.select(F.concat(prefix, body, tail).alias("value")).write.text(path)
@@ -201,31 +221,40 @@ def _log_folder(spark, sf_dir):
 
 @query(
     "compliance_log_scan",
-    """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts,
-         CASE event_id % 4 WHEN 0 THEN 'AUDIT' WHEN 1 THEN 'CHAIN_OF_CUSTODY' WHEN 2 THEN 'PERFORMANCE' END AS category,
-         CASE event_id % 4 WHEN 1 THEN 'Collected' WHEN 3 THEN NULL ELSE event_type END AS name,
-         CASE WHEN event_id % 4 = 0 AND event_id % 3 <> 0 THEN 'u' || job_id || '@x.org' END AS custodian,
-         CASE WHEN event_id % 4 <> 3 THEN correlation_id END AS correlation_id,
-         CASE WHEN event_id % 4 = 1 THEN 'i' || event_id END AS item_id,
-         CASE WHEN event_id % 4 = 1 THEN sha256(CAST(event_id AS VARCHAR)) END AS hash,
-         CASE WHEN event_id % 4 = 2 THEN duration_ms END AS duration_ms,
-         CASE WHEN event_id % 4 = 2 THEN collected_items END AS item_count,
-         CASE WHEN event_id % 4 = 2 THEN collected_size_bytes END AS size_bytes,
-         CASE WHEN event_id % 4 < 2 THEN CAST(job_id AS VARCHAR) END AS job_id
-       FROM lifecycle""",
+    """WITH l AS (SELECT *, event_id % 8 AS t,
+         ['AUDIT', 'CHAIN_OF_CUSTODY', 'PERFORMANCE', NULL, 'SECURITY', 'DATA_COLLECTION', 'ERROR', 'GRAPH_API'][event_id % 8 + 1] AS category FROM lifecycle)
+       SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, category,
+         CASE t WHEN 1 THEN 'Collected' WHEN 3 THEN NULL WHEN 5 THEN 'DataCollected' WHEN 6 THEN 'While ' || event_type
+           WHEN 7 THEN 'GET /users/u' || job_id || '/messages' ELSE event_type END AS name,
+         CASE WHEN t = 5 OR t = 0 AND event_id % 3 <> 0 THEN 'u' || job_id || '@x.org' END AS custodian,
+         CASE WHEN t <> 3 THEN correlation_id END AS correlation_id,
+         CASE WHEN t = 1 THEN 'i' || event_id END AS item_id,
+         CASE WHEN t = 1 THEN sha256(CAST(event_id AS VARCHAR)) END AS hash,
+         CASE WHEN t IN (2, 7) THEN duration_ms END AS duration_ms,
+         CASE WHEN t IN (2, 5) THEN collected_items END AS item_count,
+         CASE t WHEN 2 THEN collected_size_bytes WHEN 5 THEN (event_id % 50) * 1048576 + (event_id % 4) * 262144 END AS size_bytes,
+         CASE WHEN t IN (0, 1, 4, 6) THEN CAST(job_id AS VARCHAR) END AS job_id,
+         CASE WHEN t = 4 THEN 'svc' || (event_id % 7) END AS user_context,
+         CASE WHEN t = 6 THEN 'TimeoutException' END AS exception_type,
+         CASE WHEN t = 5 THEN 'Email' END AS job_type, CASE WHEN t = 5 THEN 'GraphApi' END AS route,
+         CASE WHEN t = 7 AND event_id % 3 <> 0 THEN (event_id % 100) || '%' END AS quota,
+         CASE WHEN t = 7 THEN CASE WHEN event_id % 2 = 0 THEN 200 ELSE 429 END END AS status_code,
+         CASE WHEN t = 7 THEN '/users/u' || job_id || '/messages' END AS endpoint
+       FROM l""",
 )
 def compliance_log_scan(spark, sf_dir):
     rows, _ = logs.read_log(spark, _log_folder(spark, sf_dir))
     return rows.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "category", "name", "custodian",
         "correlation_id", "item_id", "hash", "duration_ms", "item_count", "size_bytes",
-        logs.data_field("$.Data.JobId").alias("job_id"),
+        logs.data_field("$.Data.JobId").alias("job_id"), "user_context", "exception_type", "job_type", "route", "quota",
+        "status_code", "endpoint",
     )
 
 
 @query(
     "log_routing",
-    """SELECT CASE event_id % 4 WHEN 2 THEN 'collection' WHEN 3 THEN 'general' ELSE 'audit' END AS destination, count(*) AS line_count
+    """SELECT CASE WHEN event_id % 8 IN (2, 5, 7) THEN 'collection' WHEN event_id % 8 IN (3, 6) THEN 'general' ELSE 'audit' END AS destination, count(*) AS line_count
        FROM lifecycle GROUP BY 1
        UNION ALL SELECT 'unmatched', count(*) FROM lifecycle WHERE event_id % 10 = 3""",
 )

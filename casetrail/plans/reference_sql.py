@@ -92,8 +92,9 @@ VIEWS: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY collected_date, md5(item_id), item_id, sha256) AS sequence
         FROM items""",
     "items_digest": """
-        SELECT job_id, sha256(string_agg(sha256, '' ORDER BY sequence)) AS items_hash, count(*) AS items_hash_rows
-        FROM sequenced GROUP BY 1""",
+        SELECT job_id, sha256(string_agg(d, '' ORDER BY chunk)) AS items_hash, CAST(sum(n) AS BIGINT) AS items_hash_rows
+        FROM (SELECT job_id, (sequence - 1) // 250000 AS chunk, sha256(string_agg(sha256, '' ORDER BY sequence)) AS d, count(*) AS n
+          FROM sequenced GROUP BY 1, 2) GROUP BY 1""",
     "totals": """
         SELECT job_id, count(*) AS total_items, count(*) FILTER (WHERE is_successful) AS successful_items,
           count(*) FILTER (WHERE NOT is_successful) AS failed_items,
@@ -108,7 +109,8 @@ VIEWS: dict[str, str] = {
     "hashed_manifests": """
         SELECT *, sha256('{"manifestId":"' || manifest_id || '","jobId":' || job_id || ',"matterId":' || matter_id ||
           ',"custodian":"' || custodian || '","jobType":"' || job_type || '","totalItems":' || total_items ||
-          ',"totalSizeBytes":' || total_size_bytes || ',"createdDate":"2024-06-01T00:00:00Z","itemsHash":"' || items_hash || '"}')
+          ',"totalSizeBytes":' || total_size_bytes || ',"createdDate":"2024-06-01T00:00:00Z","itemsHash":"' || items_hash ||
+          '","itemsHashScheme":"sha256-chunks-250000"}')
           AS manifest_hash
         FROM built_manifests""",
     "stored_manifests": """

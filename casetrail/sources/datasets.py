@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetrail import schemas
 from casetrail.functions import paths
-from casetrail.sources.manifests import starts_with_array
+from casetrail.sources.lines import json_values, placed_lines
 
 _CORRUPT = "_corrupt_record"
+#: Bytes of a file held at a time while it is hashed.
+BLOCK_BYTES = 4 << 20
 
 
 def with_path_metadata(records: DataFrame, column: str = "source_file") -> DataFrame:
@@ -20,29 +28,21 @@ def with_path_metadata(records: DataFrame, column: str = "source_file") -> DataF
     )
 
 
-def read_file_records(spark: SparkSession, path: str, array: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of a JSON-lines or JSON-array dataset; names are exact.
+def read_file_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of a dataset of JSON lines and JSON arrays; names are exact.
 
-    A folder is read in parallel, one form per folder. ``array`` skips the look at
-    the first character.
+    Each file's form is found from its own first character, so a folder may mix them.
     """
-    is_array = starts_with_array(spark, path) if array is None else array
     layout = T.StructType([*schemas.FILE_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(layout)
-        .option("multiLine", is_array)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("source_file"))
-    )
-    good = with_path_metadata(rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT))
-    # Spark refuses to read the corrupt column alone, so a data column goes with it.
-    rejects = rows.filter(F.col(_CORRUPT).isNotNull()).select(
-        "source_file", F.coalesce(_CORRUPT, "id").alias("raw"), F.lit("not a record").alias("reason")
+    parsed = json_values(placed_lines(spark, path)).select(
+        "value",
+        "source_file",
+        F.from_json("value", layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("record"),
     )
-    return good, rejects
+    bad = F.col("record").isNull() | F.col(f"record.{_CORRUPT}").isNotNull()
+    good = parsed.filter(~bad).select(*[F.col("record")[f.name].alias(f.name) for f in schemas.FILE_RECORD.fields], "source_file")
+    rejects = parsed.filter(bad).select("source_file", F.col("value").alias("raw"), F.lit("not a record").alias("reason"))
+    return with_path_metadata(good), rejects
 
 
 def dataset_metadata(records: DataFrame) -> DataFrame:
@@ -50,28 +50,41 @@ def dataset_metadata(records: DataFrame) -> DataFrame:
     return records.groupBy("source_file", "custodian", "matter").agg(F.count(F.lit(1)).alias("record_count"))
 
 
-def read_content(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
-    """(inventory, oversize) of landed binary files.
+def read_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Path, length and digest of landed binary files of any size.
 
-    A file is one row and is hashed where it is read; only its digest goes on. Files
-    above ``max_bytes`` cannot be held as one value and are listed for another way of
-    hashing instead of being dropped; the filter is on listing data, so they are not read.
+    Only the listing goes through Spark's reader. The files are spread by name, and each is
+    read in blocks of a fixed size where it is hashed, so a task's memory does not depend on a file's length.
     """
-    files = (
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
+        .select("path")
     )
-    inventory = files.filter(F.col("length") <= max_bytes).select(
-        F.col("path").alias("source_file"),
-        F.col("length").alias("content_length"),
-        F.sha2("content", 256).alias("content_sha256"),
-    )
-    oversize = files.filter(F.col("length") > max_bytes).select(
-        F.col("path").alias("source_file"), F.col("length").alias("content_length")
-    )
-    return inventory, oversize
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest_of(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())],
+                ["source_file", "content_length", "content_sha256"],
+            )
+
+    return listed.repartition("path").mapInArrow(digest, "source_file string, content_length long, content_sha256 string")
+
+
+def _digest_of(path: str) -> tuple[int, str]:
+    """Length and SHA-256 of a file, read in blocks from the file system its path names."""
+    scheme, rest = path.split(":", 1)
+    system, name = pa.fs.FileSystem.from_uri(f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest, safe='/:@')}")
+    hasher, length = hashlib.sha256(), 0
+    with system.open_input_stream(name) as stream:
+        while block := stream.read(BLOCK_BYTES):
+            hasher.update(block)
+            length += len(block)
+    return length, hasher.hexdigest()
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetrail.workspace import list_names
+from casetrail.workspace import has_names, list_names
 
 # Names of source manifests, tried in this order.
 SOURCE_PATTERNS = [
@@ -38,16 +38,18 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def marker_files(spark: SparkSession, root: str, depth: int = 6) -> DataFrame:
-    """``_SUCCESS`` and ``*.complete`` markers down to ``depth`` folders below ``root``.
+def marker_files(spark: SparkSession, root: str) -> DataFrame:
+    """``_SUCCESS`` and ``*.complete`` markers anywhere below ``root``.
 
-    Spark's listing leaves out hidden and empty files, so these are listed by name:
-    one short row per finished run.
+    Spark's listing leaves out hidden and empty files, so these are listed by name, level
+    by level until a level has no entries: one short row per finished run.
     """
-    levels = [root.rstrip("/") + "/*" * level for level in range(depth + 1)]
-    found = [
-        (name,) for level in levels for glob in ("_SUCCESS", "*.complete") for name in list_names(spark, f"{level}/{glob}")
-    ]
+    found, level = [], root.rstrip("/")
+    while True:
+        found += [(name,) for glob in ("_SUCCESS", "*.complete") for name in list_names(spark, f"{level}/{glob}")]
+        level += "/*"
+        if not has_names(spark, level):
+            break
     return spark.createDataFrame(found, T.StructType([T.StructField("path", T.StringType())]))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from casetrail import schemas
 from casetrail.functions.paths import blank
+from casetrail.sources.lines import BYTE_ORDER_MARK, first_lines, json_values, placed_lines
 
 # CSV headers accepted for each field; the later column wins.
 HEADER_ALIASES = {
@@ -46,7 +47,6 @@ ROW_SCHEMA = T.StructType(
     [f for f in schemas.MANIFEST.fields if f.name != "job_id"] + [T.StructField("source_file", T.StringType())]
 )
 REJECT_SCHEMA = "source_file string, raw string, reason string"
-_CORRUPT = "__corrupt"
 
 
 def lenient_timestamp(text: Column) -> Column:
@@ -71,62 +71,57 @@ def empty_manifest(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], ROW_SCHEMA), spark.createDataFrame([], REJECT_SCHEMA)
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Header names of the first file, trimmed of spaces and quotes, lower case."""
-    first = spark.read.text(path).first()
-    return [h.strip(' "').lower() for h in first[0].lstrip("\ufeff").split(",")] if first else []
+def cells_of(line: Column) -> Column:
+    """Cells of a CSV line: quoted ones without their quotes, doubled quotes as one, others as they stand."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), 1)
+    quoted = lambda c: F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1)
+    return F.transform(
+        found, lambda c: F.when(quoted(c), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    )
 
 
 def read_csv_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """CSV with header aliases, for one file or a folder of files with one header.
+    """CSV with header aliases, for one file or a folder; every file has a header of its own.
 
     Rows of the wrong width and rows without a path are rejected; a size or date
     that does not parse counts as missing.
     """
-    headers = header_of(spark, path)
-    if not headers:
-        return empty_manifest(spark)
-    raw_fields = [f"c{i}" for i in range(len(headers))]
-    layout = T.StructType([T.StructField(f, T.StringType()) for f in raw_fields + [_CORRUPT]])
-    rows = (
-        spark.read.schema(layout)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        # With pruned columns the parser would not notice rows of the wrong width.
-        .option("columnPruning", False)
-        .csv(path)
-        .select("*", _source_file())
-    )
-    return manifest_from_csv_rows(rows, headers)
+    return manifest_from_csv_lines(placed_lines(spark, path))
 
 
-def manifest_from_csv_rows(rows: DataFrame, headers: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Map positional CSV columns ``c0..cn`` to manifest fields by header alias."""
-    positions = {header: i for i, header in enumerate(headers)}
+def manifest_from_csv_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Map each line by the header of its own file (rows of ``placed_lines``)."""
+    names = F.transform(
+        cells_of(F.ltrim(F.col("first"), F.lit(BYTE_ORDER_MARK))), lambda h: F.lower(F.trim(h, F.lit(' "')))
+    )
+    headers = first_lines(lines).select("of_file", "first_place", names.alias("__names"))
+    rows = (
+        lines.join(headers, F.col("source_file") == F.col("of_file"))
+        .filter((F.col("place") != F.col("first_place")) & (F.trim("value") != ""))
+        .select("value", "source_file", "__names", cells_of(F.col("value")).alias("__cells"))
+    )
 
     def cell(field: str) -> Column:
-        found = [positions[h] for h in HEADER_ALIASES[field] if h in positions]
-        return F.trim(F.col(f"c{max(found)}"), F.lit(' "')) if found else F.lit(None).cast("string")
+        at = F.array_max(F.transform(F.array(*[F.lit(a) for a in HEADER_ALIASES[field]]), lambda a: F.array_position("__names", a)))
+        return F.when(at > 0, F.trim(F.get("__cells", (at - 1).cast("int")), F.lit(' "')))
 
+    parsed = rows.select(
+        "value", "source_file", (F.size("__cells") != F.size("__names")).alias("__bad_width"), *[cell(f).alias(f) for f in FIELDS]
+    )
     typed = {
-        "size": F.coalesce(cell("size").try_cast("long"), F.lit(0).cast("long")),
-        "last_modified": lenient_timestamp(cell("last_modified")),
-        "collected_utc": lenient_timestamp(cell("collected_utc")),
-        "custodian": F.coalesce(cell("custodian"), F.lit("")),
+        "size": F.coalesce(F.col("size").try_cast("long"), F.lit(0).cast("long")),
+        "last_modified": lenient_timestamp(F.col("last_modified")),
+        "collected_utc": lenient_timestamp(F.col("collected_utc")),
+        "custodian": F.coalesce("custodian", F.lit("")),
     }
-    bad_width = F.col(_CORRUPT).isNotNull()
-    no_path = blank(cell("path"))
-    good = rows.filter(~bad_width & ~no_path).select(
-        *[typed.get(f, cell(f)).alias(f) for f in FIELDS], "source_file"
-    )
-    shown = F.coalesce(F.col(_CORRUPT), F.concat_ws(",", *[F.col(f"c{i}") for i in range(len(headers))]))
-    rejects = rows.filter(bad_width | no_path).select(
+    # An empty cell is a missing value, but for the path, whose absence is a reason of its own.
+    present = {f: F.nullif(F.col(f), F.lit("")) if f not in ("custodian", "path") else F.col(f) for f in FIELDS}
+    no_path = blank(F.col("path"))
+    good = parsed.filter(~F.col("__bad_width") & ~no_path).select(*[typed.get(f, present[f]).alias(f) for f in FIELDS], "source_file")
+    rejects = parsed.filter(F.col("__bad_width") | no_path).select(
         "source_file",
-        shown.alias("raw"),
-        F.when(bad_width, "wrong number of values").otherwise("no path").alias("reason"),
+        F.col("value").alias("raw"),
+        F.when(F.col("__bad_width"), "wrong number of values").otherwise("no path").alias("reason"),
     )
     return good, rejects
 
@@ -180,25 +175,9 @@ def manifest_from_maps(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rejects
 
 
-def starts_with_array(spark: SparkSession, path: str) -> bool:
-    """True when the first non-blank character of the first file is ``[``."""
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return bool(first) and first[0].lstrip("\ufeff \t").startswith("[")
-
-
 def read_json_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines (split between tasks) or JSON arrays (one task per file, by nature)."""
-    if not starts_with_array(spark, path):
-        return manifest_from_json_text(spark.read.text(path).select("value", _source_file()))
-    texts = spark.read.text(path, wholetext=True).select("value", _source_file())
-    arrays = texts.withColumn("__maps", F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), "array<map<string,string>>"))
-    # An unreadable array stays one row with a null map, and so becomes one reject.
-    elements = arrays.select(
-        F.when(F.col("__maps").isNull(), F.col("value")).alias("value"),
-        "source_file",
-        F.explode(F.coalesce("__maps", F.expr("array(cast(null AS map<string,string>))"))).alias("__map"),
-    )
-    return manifest_from_maps(elements)
+    """Files of JSON lines (split between tasks) and of one JSON array, also mixed in a folder."""
+    return manifest_from_json_text(json_values(placed_lines(spark, path)))
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -36,14 +36,23 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{workspace_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _statuses(spark: SparkSession, pattern: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.globStatus(path)
+
+
+def has_names(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything matches a Hadoop glob."""
+    found = _statuses(spark, pattern)
+    return found is not None and len(found) > 0
+
+
 def list_names(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a Hadoop glob, hidden files such as ``_SUCCESS`` included.
 
     Spark's own listing skips names starting with ``_`` or ``.``; this is used
     for marker files and version folders, of which there is one per run.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(path)
+    found = _statuses(spark, pattern)
     return sorted(str(status.getPath().toString()) for status in found) if found is not None else []

@@ -44,11 +44,14 @@ def test_number_rows(skewed, hot_rows):
             assert got[group, position] == key
 
 
+@pytest.mark.parametrize("fine", [False, True])
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_previous_row(skewed, hot_rows):
+def test_previous_row(skewed, hot_rows, fine):
     frame, data = skewed
+    tie = F.md5("k")
+    cuts = [F.col("ts"), F.substring(tie, 1, 1)] if fine else []
     out = previous_row(
-        frame, ["g"], [F.col("ts"), F.md5("k"), F.col("k")], F.date_trunc("hour", "ts"), ["k"], hot_rows=hot_rows
+        frame, ["g"], [F.col("ts"), tie, F.col("k")], F.date_trunc("hour", "ts"), ["k"], cuts, hot_rows=hot_rows
     )
     got = {(r.g, r.k): (r.previous.k if r.previous else None) for r in out.collect()}
     for group in (1, 2, 3, None):
@@ -88,8 +91,8 @@ def test_items_hash_of_two(spark):
         ],
     )
     row = custody.items_hash(custody.collection_sequence(frame)).first()
-    assert row.items_hash == "0cb0309affcf4f994813ec26b8afc7e0b758605a04641de9871e04363de5e6b8"
-    assert row.items_hash_scheme == "flat"
+    assert row.items_hash == sha("0cb0309affcf4f994813ec26b8afc7e0b758605a04641de9871e04363de5e6b8")
+    assert row.items_hash_scheme == "sha256-chunks-250000"
     totals = custody.manifest_totals(frame).first()
     assert (totals.total_items, totals.failed_items, totals.total_size_bytes) == (2, 1, 2)
 
@@ -110,8 +113,17 @@ def test_digest_tree_matches_brute_force(spark):
     frame = spark.createDataFrame(data, "g int, seq long, h string")
     out = {r.g: r for r in ordered_digest(frame, ["g"], "seq", F.col("h"), chunk_rows=10).collect()}
     chunks = [sha("".join(sha(str(i)) for i in range(a, min(a + 10, 26)))) for a in (1, 11, 21)]
-    assert out[1].digest == sha("".join(chunks)) and out[1].digest_scheme == "tree"
-    assert out[2].digest == sha(sha("x")) and out[2].digest_scheme == "flat"
+    assert out[1].digest == sha("".join(chunks)) and out[1].digest_scheme == "sha256-chunks-10"
+    # One chunk has the same definition as many.
+    assert out[2].digest == sha(sha(sha("x"))) and out[2].digest_scheme == "sha256-chunks-10"
+
+
+@pytest.mark.parametrize("chunk_rows", [5, 6, 7])
+def test_every_chunk_has_its_brackets(spark, chunk_rows):
+    frame = spark.createDataFrame([(1, i, str(i)) for i in range(1, 7)], "g int, seq long, h string")
+    row = ordered_digest(frame, ["g"], "seq", F.col("h"), ",", "[", "]", chunk_rows).first()
+    texts = ["[" + ",".join(map(str, range(a, min(a + chunk_rows, 7)))) + "]" for a in range(1, 7, chunk_rows)]
+    assert row.digest == sha("".join(map(sha, texts)))
 
 
 def test_digests_do_not_depend_on_partitioning(spark, small, rows):

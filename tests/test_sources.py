@@ -56,6 +56,28 @@ def test_json_array(spark, tmp_path, rows):
     assert rejects.count() == 0
 
 
+def test_every_csv_file_has_its_own_header(spark, tmp_path, rows):
+    put(tmp_path / "m" / "a.csv", "Custodian,ItemId,Path,Size\nu,i1,p1,10\n")
+    put(tmp_path / "m" / "b.csv", '\ufeff"Size","File, Path",Path,Custodian,Hash\n20,x,"p,2",v,h\n1,2,3\n')
+    put(tmp_path / "m" / "c.csv", "")
+    good, rejects = manifests.read_manifest(spark, str(tmp_path / "m"), "csv")
+    assert rows(good, "custodian", "item_id", "path", "size", "sha256") == [("u", "i1", "p1", 10, None), ("v", None, "p,2", 20, "h")]
+    assert rows(rejects, "raw", "reason") == [("1,2,3", "wrong number of values")]
+
+
+def test_lines_and_arrays_in_one_folder(spark, tmp_path, rows):
+    put(tmp_path / "m" / "a.json", '{"Path":"p1","Size":1}\n{"Path":"p2"}\n')
+    put(tmp_path / "m" / "b.json", '\n [{"path":"p3","size":3},\n {"path":"p4","size":"x"}, 7]')
+    put(tmp_path / "m" / "c.json", "[broken")
+    good, rejects = manifests.read_manifest(spark, str(tmp_path / "m"), "json")
+    assert rows(good, "path", "size") == [("p1", 1), ("p2", 0), ("p3", 3)]
+    assert sorted(r.reason for r in rejects.collect()) == ["not a JSON object", "not a JSON object", "wrong value type"]
+    put(tmp_path / "r" / "a.json", json.dumps(RECORD) + "\n")
+    put(tmp_path / "r" / "b.json", json.dumps([{**RECORD, "id": "i2"}, {**RECORD, "id": "i3"}], indent=1))
+    good, rejects = datasets.read_file_records(spark, str(tmp_path / "r"))
+    assert rows(good, "id", "size") == [("i1", 128), ("i2", 128), ("i3", 128)] and rejects.isEmpty()
+
+
 def test_missing_unknown_and_parquet(spark, tmp_path, small, rows):
     good, rejects = manifests.read_manifest(spark, str(tmp_path / "none.csv"))
     assert good.count() == 0 and good.columns == manifests.ROW_SCHEMA.fieldNames()
@@ -124,10 +146,12 @@ def test_cut_off_after_second_failure(spark):
 def test_content_is_hashed_where_it_lies(spark, tmp_path):
     put(tmp_path / "c" / "a.bin", "alpha")
     put(tmp_path / "c" / "deep" / "b.bin", "beta" * 100)
-    inventory, oversize = datasets.read_content(spark, str(tmp_path / "c"), max_bytes=100)
-    row = inventory.first()
-    assert (row.content_length, row.content_sha256) == (5, hashlib.sha256(b"alpha").hexdigest())
-    assert [r.content_length for r in oversize.collect()] == [400]
+    put(tmp_path / "c" / "large é.bin", "x" * (9 << 20))
+    inventory = {r.content_length: r for r in datasets.read_content(spark, str(tmp_path / "c")).collect()}
+    row = inventory[5]
+    assert row.content_sha256 == hashlib.sha256(b"alpha").hexdigest()
+    assert inventory[400].content_sha256 == hashlib.sha256(b"beta" * 100).hexdigest()
+    assert inventory[9 << 20].content_sha256 == hashlib.sha256(b"x" * (9 << 20)).hexdigest()
     ids = spark.createDataFrame([("1", hashlib.sha256(b"alpha").hexdigest().upper()), ("2", "x"), ("3", "y")], "id string, sha256 string")
     known = spark.createDataFrame([("1", row.content_sha256), ("2", row.content_sha256)], "id string, content_sha256 string")
     got = {r.id: r.outcome for r in custody.rehash_check(ids, known, "id").collect()}
@@ -142,10 +166,12 @@ def test_landing_discovery_on_disk(spark, tmp_path, rows):
     put(tmp_path / "run2" / "my-dataset.json", "{}")
     put(tmp_path / "run3" / "x.complete", "")
     put(tmp_path / "run3" / "part-3.json", "{}")
+    put(tmp_path / "a/b/c/d/e/f/g/h" / "_SUCCESS", "")
+    put(tmp_path / "a/b/c/d/e/f/g/h" / "part-9.json", "{}")
     root = str(tmp_path)
     found = landing.discover_datasets(landing.list_files(spark, root), landing.marker_files(spark, root))
     names = sorted(r.path.rsplit("/", 1)[1] for r in found.collect())
-    assert names == ["my-dataset.json", "part-0.json", "part-1.json", "part-3.json"]
+    assert names == ["my-dataset.json", "part-0.json", "part-1.json", "part-3.json", "part-9.json"]
 
 
 def test_pairing_tries_patterns_in_order(spark):
@@ -160,25 +186,35 @@ def test_pairing_tries_patterns_in_order(spark):
     }
 
 
-LOG = """[2025-10-06 06:57:26.818 -04:00] AUDIT: JobStarted | Custodian: null | CorrelationId: c0571cb4 | Data: {"Action":"JobStarted","Data":{"JobType":"Email"}}
-[2025-10-06 06:57:26.895 -04:00] PERFORMANCE: Router.Decide | Duration: 71ms | Items: 3 | Size: 9 bytes | CorrelationId: 13ec70e4 | Throughput: 0.00 items/sec, 0.00 MB/sec
-[2025-10-06 06:57:27.000 -04:00] GRAPH_API: GET /users/x | Status: 429 | Duration: 12ms | CorrelationId: aa | Quota: N/A
-[2025-10-06 06:57:27.100 -04:00 INF] DATA_COLLECTION: u@x.org | Type: Email | Route: GraphApi | Items: 4 | Size: 1.50 MB | CorrelationId: bb
-[2025-10-06 06:57:28.000 -04:00] Executed command
-SELECT 1;
+LOG = """[2031-03-04 05:06:07.008 +02:00] AUDIT: MatterOpened | Custodian: null | CorrelationId: a-1 | Data: {"Action":"MatterOpened","Data":{"JobType":"Chat"}}
+[2031-03-04 05:06:08.000 +02:00] PERFORMANCE: Hash.Batch | Duration: 45ms | Items: 6 | Size: 77 bytes | CorrelationId: b-2 | Throughput: 133.33 items/sec, 0.00 MB/sec
+[2031-03-04 05:06:09.000 +02:00] GRAPH_API: PATCH /sites/blue room | Status: 503 | Duration: 31ms | CorrelationId: c-3 | Quota: 12% left
+[2031-03-04 05:06:10.000 +02:00 WRN] DATA_COLLECTION: w@y.org | Type: Chat | Route: GraphDataConnect | Items: 8 | Size: 2.25 MB | CorrelationId: d-4
+[2031-03-04 05:06:11.000 +02:00] SECURITY: KeyRotated | CorrelationId: e-5 | User: keeper | Data: {"Event":"KeyRotated"}
+[2031-03-04 05:06:12.000 +02:00] ERROR: Uploading part | Exception: IOException | CorrelationId: f-6 | Data: {"Context":"Uploading part"}
+[2031-03-04 05:06:13.000 +02:00] CHAIN_OF_CUSTODY: Sealed | ItemId: item 9 | Hash: abc123 | CorrelationId: g-7 | Data: {}
+[2031-03-04 05:06:14.000 +02:00] Ran a statement
+SELECT 2;
 """
 
 
 def test_compliance_log(spark, tmp_path):
     parsed, unmatched = logs.read_log(spark, put(tmp_path / "a.log", LOG))
-    got = {r.category: r for r in parsed.withColumn("job_type", logs.data_field("$.Data.JobType")).collect()}
-    assert got["AUDIT"].ts.isoformat() == "2025-10-06T10:57:26.818000"
-    assert (got["AUDIT"].name, got["AUDIT"].custodian, got["AUDIT"].job_type) == ("JobStarted", None, "Email")
-    assert (got["PERFORMANCE"].duration_ms, got["PERFORMANCE"].item_count, got["PERFORMANCE"].size_bytes) == (71, 3, 9)
-    assert (got["GRAPH_API"].name, got["GRAPH_API"].status_code) == ("GET /users/x", 429)
-    assert (got["DATA_COLLECTION"].name, got["DATA_COLLECTION"].correlation_id) == ("u@x.org", "bb")
-    assert got[None].message == "Executed command"
-    assert [r.value for r in unmatched.collect()] == ["SELECT 1;"]
+    got = {r.category: r for r in parsed.withColumn("data_type", logs.data_field("$.Data.JobType")).collect()}
+    assert set(got) == {*logs.CATEGORIES, None}
+    assert got["AUDIT"].ts.isoformat() == "2031-03-04T03:06:07.008000"
+    assert (got["AUDIT"].name, got["AUDIT"].custodian, got["AUDIT"].data_type) == ("MatterOpened", None, "Chat")
+    assert (got["PERFORMANCE"].duration_ms, got["PERFORMANCE"].item_count, got["PERFORMANCE"].size_bytes) == (45, 6, 77)
+    api = got["GRAPH_API"]
+    assert (api.method, api.endpoint, api.status_code, api.duration_ms, api.quota) == ("PATCH", "/sites/blue room", 503, 31, "12% left")
+    collected = got["DATA_COLLECTION"]
+    assert (collected.custodian, collected.job_type, collected.route) == ("w@y.org", "Chat", "GraphDataConnect")
+    assert (collected.item_count, collected.size_bytes, collected.correlation_id) == (8, 2_359_296, "d-4")
+    assert (got["SECURITY"].name, got["SECURITY"].user_context) == ("KeyRotated", "keeper")
+    assert (got["ERROR"].name, got["ERROR"].exception_type) == ("Uploading part", "IOException")
+    assert (got["CHAIN_OF_CUSTODY"].item_id, got["CHAIN_OF_CUSTODY"].hash) == ("item 9", "abc123")
+    assert got[None].message == "Ran a statement"
+    assert [r.value for r in unmatched.collect()] == ["SELECT 2;"]
 
 
 def test_manifest_digest_sidecar(spark, tmp_path, small):
