@@ -35,11 +35,19 @@ def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Drive changes must be files; deletions become tombstones instead of being lost.
     Needs ``delta_type``, ``deleted``, ``is_folder``, ``is_file``.
     """
-    deleted = F.coalesce(F.col("deleted"), F.lit(False))
+    return changes.filter(is_live()), changes.filter(is_deleted())
+
+
+def is_deleted() -> Column:
+    return F.coalesce(F.col("deleted"), F.lit(False))
+
+
+def is_live() -> Column:
+    """A change that brings an item to collect: not a deletion, and mail or a file."""
     collectable = (F.col("delta_type") == "Mail") | (
         ~F.coalesce(F.col("is_folder"), F.lit(False)) & F.coalesce(F.col("is_file"), F.lit(False))
     )
-    return changes.filter(~deleted & collectable), changes.filter(deleted)
+    return ~is_deleted() & F.coalesce(collectable, F.lit(False))
 
 
 def active_cursors(cursors: DataFrame) -> DataFrame:
@@ -159,27 +167,35 @@ def apply_commands(cursors: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def query_results(items: DataFrame, scope: str = "scope_id", size: str = "size_bytes", version: str = "version") -> DataFrame:
-    """Item count, bytes and highest version per scope of one round of changes."""
-    return items.groupBy(scope).agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.sum(size).alias("total_bytes"),
+def query_results(changes: DataFrame, scope: str = "scope_id", size: str = "size_bytes", version: str = "version") -> DataFrame:
+    """Item count and bytes of what is to collect, and the highest version, per scope of one round of changes.
+
+    Deletions and folders are not counted, but move the token like any other change.
+    """
+    return changes.groupBy(scope).agg(
+        F.count_if(is_live()).alias("item_count"),
+        F.coalesce(F.sum(F.when(is_live(), F.col(size))), F.lit(0)).alias("total_bytes"),
         F.max(version).cast("string").alias("next_token"),
     )
 
 
 def advance_cursors(cursors: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Active cursors moved on by ``query_results``; scopes without a new token stay as they are."""
+    """Active cursors moved on by ``query_results``; scopes without a new token stay as they are.
+
+    A token that is a number never becomes a lower one, whatever arrives late.
+    """
     joined = cursors.join(
         results.select("scope_id", "item_count", "total_bytes", "next_token"), "scope_id", "left"
     )
     moved = F.col("is_active") & ~paths.blank(F.col("next_token"))
+    old, new = (F.col(c).try_cast("long") for c in ("delta_token", "next_token"))
+    newer = F.when(old > new, F.col("delta_token")).otherwise(F.col("next_token"))
 
     def pick(value: Column, old: str) -> Column:
         return F.when(moved, value).otherwise(F.col(old)).alias(old)
 
     changed = {
-        "delta_token": pick(F.col("next_token"), "delta_token"),
+        "delta_token": pick(newer, "delta_token"),
         "last_delta_time": pick(as_of, "last_delta_time"),
         "baseline_completed_at": pick(F.coalesce("baseline_completed_at", as_of), "baseline_completed_at"),
         "last_delta_item_count": pick(F.col("item_count"), "last_delta_item_count"),

@@ -103,16 +103,18 @@ def delta_apply(spark, sf_dir):
 
 @query(
     "delta_query_results",
-    """SELECT scope_id, count(*) AS item_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, CAST(max(version) AS VARCHAR) AS next_token
-       FROM changes WHERE NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file)) GROUP BY 1""",
+    """SELECT scope_id, count(*) FILTER (WHERE live) AS item_count, CAST(coalesce(sum(size_bytes) FILTER (WHERE live), 0) AS BIGINT) AS total_bytes,
+         CAST(max(version) AS VARCHAR) AS next_token
+       FROM (SELECT *, NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file)) AS live FROM changes) GROUP BY 1""",
 )
 def delta_query_results(spark, sf_dir):
-    return delta.query_results(delta.split_changes(domain.changes(spark, sf_dir))[0])
+    return delta.query_results(domain.changes(spark, sf_dir))
 
 
 @query(
     "cursor_advance",
-    """WITH r AS (SELECT scope_id, count(*) AS n, sum(size_bytes) AS b, max(version) AS v FROM changes WHERE NOT deleted GROUP BY 1)
+    """WITH r AS (SELECT scope_id, count(*) FILTER (WHERE live) AS n, coalesce(sum(size_bytes) FILTER (WHERE live), 0) AS b, max(version) AS v
+         FROM (SELECT *, NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file)) AS live FROM changes) GROUP BY 1)
        SELECT c.scope_id, CASE WHEN r.v IS NOT NULL THEN CAST(r.v AS VARCHAR) ELSE c.delta_token END AS delta_token,
          CAST(CASE WHEN r.v IS NOT NULL THEN r.n ELSE c.last_delta_item_count END AS BIGINT) AS last_delta_item_count,
          CAST(CASE WHEN r.v IS NOT NULL THEN r.b ELSE c.last_delta_size_bytes END AS BIGINT) AS last_delta_size_bytes,
@@ -122,7 +124,7 @@ def delta_query_results(spark, sf_dir):
        FROM latest_cursors c LEFT JOIN r ON c.scope_id = r.scope_id""",
 )
 def cursor_advance(spark, sf_dir):
-    results = delta.query_results(domain.changes(spark, sf_dir).filter("NOT deleted"))
+    results = delta.query_results(domain.changes(spark, sf_dir))
     rows = delta.advance_cursors(delta.latest_cursors(domain.cursors(spark, sf_dir)), results, _as_of())
     return rows.select(
         "scope_id", "delta_token", "last_delta_item_count", "last_delta_size_bytes", "delta_query_count",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casetrail.operators import delta
 from casetrail.operators.ordering import latest_by
 from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
@@ -124,25 +125,58 @@ def stream_job_sessions(spark, sf_dir):
     return _shown_sessions(run_append(spark, lifecycle.job_sessions(events, 360), "sessions"))
 
 
+_LIVE = "NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file))"
+
+
+def _run_feed(spark, sf_dir):
+    """The change log as three batches, the later ones full of changes older than what came before."""
+    changes = domain.changes(spark, sf_dir)
+    root = new_folder(spark, "feed")
+    for number in range(3):
+        changes.filter(F.col("version") % 3 == number).coalesce(1).write.mode("append").parquet(root)
+    log = delta_stream.ChangeLog(spark, new_folder(spark, "change-log"), domain.CHANGE_SCHEMA)
+    store = CursorStore(spark, new_folder(spark, "feed-cursors"))
+    known = changes.filter("delta_type = 'OneDrive'").select("scope_id").distinct()
+    store.save(
+        domain.cursors(spark, sf_dir).limit(0).unionByName(
+            known.select(
+                "scope_id", F.lit("OneDrive").alias("delta_type"), F.lit("").alias("delta_token"), F.lit(True).alias("is_active"),
+                F.lit(0).cast("long").alias("delta_query_count"), F.lit(0).cast("long").alias("last_delta_item_count"),
+            ),
+            allowMissingColumns=True,
+        )
+    )
+    feed = spark.readStream.schema(domain.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(root)
+    delta_stream.run_change_feed(feed, log, store, new_folder(spark, "feed-checkpoint")).awaitTermination()
+    return log, store
+
+
 @query(
     "stream_delta_apply",
-    """SELECT item_id, version, size_bytes, scope_id FROM (SELECT * FROM changes
+    f"""SELECT item_id, version, size_bytes, scope_id FROM (SELECT * FROM changes WHERE deleted OR {_LIVE}
          QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY version DESC) = 1) WHERE NOT deleted""",
 )
 def stream_delta_apply(spark, sf_dir):
-    base = latest_by(
-        domain.changes(spark, sf_dir).filter(F.col("ts") < domain.instant(domain.BASE_UNTIL)),
-        ["item_id"],
-        [F.col("version")],
-    ).filter("NOT deleted")
-    feed = domain.changes(_Streamed(spark, sf_dir), sf_dir)
-    log = delta_stream.ChangeLog(spark, new_folder(spark, "change-log"), domain.CHANGE_SCHEMA)
-    store = CursorStore(spark, new_folder(spark, "feed-cursors"))
-    store.save(store.load())
-    delta_stream.run_change_feed(feed, log, store, new_folder(spark, "feed-checkpoint")).awaitTermination()
+    before = domain.changes(spark, sf_dir).filter(F.col("ts") < domain.instant(domain.BASE_UNTIL))
+    base = latest_by(before.filter(delta.is_live() | delta.is_deleted()), ["item_id"], [F.col("version")]).filter("NOT deleted")
+    log, _ = _run_feed(spark, sf_dir)
     return log.snapshot(base).select("item_id", "version", "size_bytes", "scope_id")
 
 
+@query(
+    "stream_delta_cursors",
+    f"""WITH c AS (SELECT *, version % 3 AS k, {_LIVE} AS live FROM changes
+           QUALIFY row_number() OVER (PARTITION BY version % 3, item_id, deleted OR ({_LIVE}) ORDER BY version DESC) = 1),
+         r AS (SELECT scope_id, k, count(*) FILTER (WHERE live) AS n, coalesce(sum(size_bytes) FILTER (WHERE live), 0) AS b, max(version) AS v FROM c GROUP BY 1, 2),
+         s AS (SELECT scope_id, max(v) AS v, count(*) AS q, arg_max(n, k) AS n, arg_max(b, k) AS b FROM r GROUP BY 1)
+       SELECT scope_id, CAST(v AS VARCHAR) AS delta_token, q AS delta_query_count, n AS last_delta_item_count, CAST(b AS BIGINT) AS last_delta_size_bytes
+       FROM s WHERE scope_id IN (SELECT scope_id FROM changes WHERE delta_type = 'OneDrive')""",
+)
+def stream_delta_cursors(spark, sf_dir):
+    _, store = _run_feed(spark, sf_dir)
+    return store.load().select("scope_id", "delta_token", "delta_query_count", "last_delta_item_count", "last_delta_size_bytes")
+
+
 @query(
     "stream_ingest",
     """SELECT custodian, outcome, count(*) AS record_count, CAST(sum(bytes_fetched) AS BIGINT) AS total_bytes FROM fetched GROUP BY 1, 2""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casetrail.operators.delta import advance_cursors, apply_changes, query_results
+from casetrail.operators.delta import advance_cursors, apply_changes, is_deleted, is_live, query_results
 from casetrail.operators.ordering import latest_by
 from casetrail.sinks.cursors import CursorStore
 
@@ -30,13 +30,19 @@ class ChangeLog:
         return f"{self.root}/changes"
 
     def append(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Write the latest change of each item of the batch and return what was written."""
+        """Write the latest change of each item of the batch and return what was written.
+
+        Changes of folders are kept beside an item's other changes: they move the token only.
+        """
         path = f"{self.changes_path}/batch_id={batch_id}"
-        latest_by(batch, ["item_id"], [F.col("version")]).write.mode("overwrite").parquet(path)
+        marked = batch.withColumn("__taken", is_live() | is_deleted())
+        latest_by(marked, ["item_id", "__taken"], [F.col("version")]).drop("__taken").write.mode("overwrite").parquet(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
     def changes(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.changes_path}/batch_id=*")
+        """What the snapshot takes: items to collect and deletions, without folders."""
+        written = self.spark.read.schema(self.schema).parquet(f"{self.changes_path}/batch_id=*")
+        return written.filter(is_live() | is_deleted())
 
     def snapshot(self, base: DataFrame) -> DataFrame:
         return apply_changes(base, self.changes())
@@ -51,31 +57,29 @@ def run_change_feed(
     log: ChangeLog,
     cursors: CursorStore,
     checkpoint: str,
-    lateness: str = "1 day",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the loop: each change once, change log appended, cursors advanced.
+    """Start the loop: change log appended, cursors advanced.
 
-    ``feed`` has ``scope_id``, ``item_id``, ``version``, ``size_bytes``, ``deleted``
-    and ``ts``. Batch and cursor versions derive from the batch id, so a batch that is
+    ``feed`` has ``scope_id``, ``item_id``, ``version``, ``size_bytes``, ``deleted``,
+    ``is_folder``, ``is_file``, ``delta_type`` and ``ts``. A change may come at any time
+    and more than once: the log keeps every batch, and the snapshot takes an item's
+    highest version. Batch and cursor versions derive from the batch id, so a batch that is
     replayed after a failure writes the same state again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # The batch itself, with its state lookups, is evaluated once, by the append.
+        # The batch itself is evaluated once, by the append.
         written = log.append(batch, batch_id)
-        live = written.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
         moment = written.agg(F.max("ts")).first()[0]
         before = cursors.load(before=batch_id + 2)
-        cursors.save(advance_cursors(before, query_results(live), F.lit(moment)), version=batch_id + 2)
+        results = query_results(written)
+        touched = before.join(results.select("scope_id"), "scope_id", "left_semi")
+        cursors.append(advance_cursors(touched, results, F.lit(moment)), version=batch_id + 2)
 
-    once = (
-        feed.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .dropDuplicatesWithinWatermark(["item_id", "version"])
-    )
     return (
-        once.writeStream.foreachBatch(step)
+        feed.withColumn("ts", F.col("ts").cast("timestamp"))
+        .writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -56,3 +56,9 @@ def list_names(spark: SparkSession, pattern: str) -> list[str]:
     """
     found = _statuses(spark, pattern)
     return sorted(str(status.getPath().toString()) for status in found) if found is not None else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own state."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

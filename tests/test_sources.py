@@ -259,6 +259,21 @@ def test_cursor_store_versions(spark, tmp_path, small):
     assert store.load(before=2).count() == first.count()
 
 
+def test_cursor_store_compacts(spark, tmp_path, small, monkeypatch):
+    from casetrail.operators import delta
+    from casetrail.sinks import cursors
+
+    monkeypatch.setattr(cursors, "COMPACT_AFTER", 2)
+    store = CursorStore(spark, str(tmp_path / "cursors"))
+    first = delta.latest_cursors(domain.cursors(spark, small))
+    store.save(first)
+    for n in range(6):
+        store.upsert(store.load().orderBy("scope_id").limit(2).withColumn("delta_token", F.lit(f"t{n}")))
+    assert store.load().count() == first.count() and store.load().filter("delta_token = 't5'").count() == 2
+    # Folders before the last base but one are gone.
+    assert store.versions()[0] > 1 and store.versions()[-1] == 7
+
+
 def test_tables_and_empty_file(spark, tmp_path):
     spark.createDataFrame([], schemas.CHECKPOINT).write.parquet(str(tmp_path / "db" / "checkpoints"))
     assert datasets.read_table(spark, str(tmp_path / "db"), "checkpoints").columns == schemas.CHECKPOINT.fieldNames()

@@ -49,25 +49,23 @@ def test_change_feed_in_several_batches(spark, small, tmp_path, rows):
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     feed.run_change_feed(stream, log, store, str(tmp_path / "cp")).awaitTermination()
     base = changes.limit(0)
-    expected = rows(delta.apply_changes(base, changes), "item_id", "version", "size_bytes")
+    taken = changes.filter(delta.is_live() | delta.is_deleted())
+    expected = rows(delta.apply_changes(base, taken), "item_id", "version", "size_bytes")
     assert rows(log.snapshot(base), "item_id", "version", "size_bytes") == expected
     assert rows(log.compact(base, str(tmp_path / "base")), "item_id", "version", "size_bytes") == expected
     current = store.load()
-    live = changes.filter("NOT deleted").groupBy("scope_id").agg(F.max("version").alias("v"))
-    tokens = current.join(live, "scope_id").filter(F.col("delta_token").cast("long") <= F.col("v")).count()
-    assert tokens == live.count()
+    newest = changes.groupBy("scope_id").agg(F.max("version").alias("v"))
+    # The repeated old change came last and must not set a token back.
+    assert current.join(newest, "scope_id").filter(F.col("delta_token").cast("long") == F.col("v")).count() == newest.count()
     assert current.agg(F.max("delta_query_count")).first()[0] >= 3
     # A replay of the first batch writes the state of that batch again, and only that.
     before = rows(store.load(before=3))
     written = spark.read.parquet(f"{log.changes_path}/batch_id=0")
     first = spark.createDataFrame(written.collect(), written.schema)
     log.append(first, 0)
-    store.save(
-        delta.advance_cursors(
-            store.load(before=2), delta.query_results(first.filter("NOT deleted")), F.lit(first.agg(F.max("ts")).first()[0])
-        ),
-        version=2,
-    )
+    results = delta.query_results(first)
+    touched = store.load(before=2).join(results.select("scope_id"), "scope_id", "left_semi")
+    store.append(delta.advance_cursors(touched, results, F.lit(first.agg(F.max("ts")).first()[0])), version=2)
     assert rows(store.load(before=3)) == before
     assert rows(log.snapshot(base), "item_id", "version", "size_bytes") == expected
 
