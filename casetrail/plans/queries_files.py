@@ -15,7 +15,7 @@ from casetrail.plans.catalog import query, stamp
 from casetrail.sinks import files
 from casetrail.sinks.cursors import CursorStore
 from casetrail.sources import datasets, landing, logs, manifests
-from casetrail.workspace import new_folder
+from casetrail.workspace import list_names, new_folder, remove_folder, rename_file
 
 _MANIFEST_SQL = """SELECT custodian, kind, drive_id, coalesce(item_id, '') AS item_id, path, size, sha256 FROM collected_manifest"""
 
@@ -308,18 +308,174 @@ def job_manifest_rows(spark, sf_dir):
 
 @query(
     "job_documents",
-    """SELECT job_id, CAST(total_items AS INTEGER) AS items, items_hash, manifest_hash FROM hashed_manifests""",
+    """SELECT h.job_id, CAST(total_items AS INTEGER) AS items, CAST(ceil(total_items / 50000.0) AS BIGINT) AS item_parts, items_hash, manifest_hash,
+         coalesce(n, 0) AS written_items, CAST(coalesce(last, 0) AS BIGINT) AS last_sequence
+       FROM hashed_manifests h LEFT JOIN (SELECT job_id, count(*) AS n, max(sequence) AS last FROM sequenced GROUP BY 1) s ON h.job_id = s.job_id""",
 )
 def job_documents(spark, sf_dir):
     built, sequenced = _manifests(spark, sf_dir)
     path = files.write_job_manifest_json(built, sequenced, new_folder(spark, "job-json"))
     value = F.col("value")
-    return spark.read.text(path).select(
+    headers = spark.read.text(f"{path}/documents").select(
         F.get_json_object(value, "$.jobId").cast("long").alias("job_id"),
-        F.json_array_length(F.get_json_object(value, "$.items")).alias("items"),
+        F.get_json_object(value, "$.totalItems").cast("int").alias("items"),
+        F.get_json_object(value, "$.itemParts").cast("long").alias("item_parts"),
         F.get_json_object(value, "$.integrity.itemsHash").alias("items_hash"),
         F.get_json_object(value, "$.integrity.manifestHash").alias("manifest_hash"),
     )
+    written = spark.read.parquet(f"{path}/items").groupBy("job_id").agg(
+        F.count(F.get_json_object(value, "$.sha256Hash")).alias("written_items"),
+        F.max(F.get_json_object(value, "$.collectionSequence").cast("long")).alias("last_sequence"),
+    )
+    zero = F.lit(0).cast("long")
+    joined = headers.join(written, "job_id", "left")
+    return joined.withColumns({c: F.coalesce(c, zero) for c in ("written_items", "last_sequence")})
+
+
+@query(
+    "job_manifest_csv",
+    """SELECT 'MANIFEST_HEADER' AS type, CAST(job_id AS VARCHAR) AS job_id, CAST(NULL AS VARCHAR) AS sequence, manifest_hash AS digest FROM hashed_manifests
+       UNION ALL SELECT 'ITEM', CAST(job_id AS VARCHAR), CAST(sequence AS VARCHAR), sha256 FROM sequenced""",
+)
+def job_manifest_csv(spark, sf_dir):
+    path = files.write_job_manifest_csv(*_manifests(spark, sf_dir), new_folder(spark, "job-csv"))
+    written = spark.read.option("header", True).option("escape", '"').csv(path)
+    return written.select(
+        F.col("Type").alias("type"), "job_id", F.col("Sequence").alias("sequence"), F.coalesce("ManifestHash", "Sha256Hash").alias("digest")
+    )
+
+
+@query(
+    "content_inventory_files",
+    """SELECT lang || '/' || source AS name, CAST(sum(strlen(text) + 1) AS BIGINT) AS content_length,
+         sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content_sha256 FROM documents GROUP BY 1""",
+)
+def content_inventory_files(spark, sf_dir):
+    """Documents landed as one file for each language and source, then hashed as files."""
+    documents = domain.table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "text")
+    path = new_folder(spark, "landed")
+    placed = documents.repartition(8, "lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    placed.drop("doc_id").write.partitionBy("lang", "source").text(path)
+    found = datasets.read_content(spark, path, "*.txt")
+    name = F.regexp_extract("source_file", "lang=([^/]+)/source=([^/]+)/", 1), F.regexp_extract("source_file", "lang=([^/]+)/source=([^/]+)/", 2)
+    return found.select(F.concat_ws("/", *name).alias("name"), "content_length", "content_sha256")
+
+
+@query(
+    "manifest_digest_sidecar",
+    """SELECT custodian, count(*) AS row_count, TRUE AS digest_matches FROM collected_manifest GROUP BY 1""",
+)
+def manifest_digest_sidecar(spark, sf_dir):
+    """Digest sidecar of a written manifest, checked against digests of the bytes as Spark reads them."""
+    entries = domain.collected_manifest(spark, sf_dir).withColumn("owner", F.col("custodian"))
+    path = files.write_manifest_csv(entries, new_folder(spark, "manifest-csv"), ["owner"])
+    sidecar = spark.read.text(files.write_manifest_digest(spark, path, new_folder(spark, "digest")))
+    stored = sidecar.select(F.substring_index("value", "  ", 1).alias("stored"), F.regexp_extract("value", "owner=([^/]+)$", 1).alias("custodian"))
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    parts = whole.select(F.regexp_extract("path", "owner=([^/]+)/", 1).alias("custodian"), F.struct("path", F.sha2("content", 256).alias("d")).alias("p"))
+    again = parts.groupBy("custodian").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["d"]), ""), 256).alias("again")
+    )
+    rows, _ = manifests.read_manifest(spark, path, "csv")
+    counts = rows.groupBy("custodian").agg(F.count(F.lit(1)).alias("row_count"))
+    return counts.join(stored, "custodian").join(again, "custodian").select("custodian", "row_count", (F.col("stored") == F.col("again")).alias("digest_matches"))
+
+
+@query("landing_json", "SELECT dataset, doc_id, id, drive, is_file FROM file_records")
+def landing_json(spark, sf_dir):
+    """A Parquet extract turned into landing JSON and read as a dataset."""
+    extract = new_folder(spark, "extract")
+    domain.file_records(spark, sf_dir).withColumn("size", F.col("doc_id")).withColumn("fileName", F.col("dataset")).write.parquet(extract)
+    target = files.parquet_to_landing_json(spark, extract, new_folder(spark, "landing"))
+    found, _ = datasets.read_file_records(spark, target)
+    return found.select(
+        F.col("fileName").alias("dataset"), F.col("size").alias("doc_id"), "id",
+        F.coalesce("driveId", F.col("parentReference.driveId")).alias("drive"),
+        (F.col("file").isNotNull() & F.col("folder").isNull()).alias("is_file"),
+    )
+
+
+@query(
+    "marker_discovery",
+    """SELECT DISTINCT lang, source FROM documents WHERE lang IN ('en', 'de') OR source = 'src1'""",
+)
+def marker_discovery(spark, sf_dir):
+    """Datasets released by real markers, one of them many folders above its files."""
+    documents = domain.table(spark, sf_dir, "documents").select("lang", "source", "doc_id").distinct()
+    root = new_folder(spark, "zone")
+    for lang in ("en", "de"):
+        mine = documents.filter(F.col("lang") == lang)
+        mine.withColumn("deep", F.lit("x")).write.partitionBy("lang", "source", "deep").json(f"{root}/a/b/c/d/e/f/{lang}-run")
+    other = documents.filter("lang NOT IN ('en', 'de')")
+    # No marker of its own: only the files named as datasets are released.
+    other.repartition("lang", "source").write.partitionBy("lang", "source").json(f"{root}/open")
+    remove_folder(spark, f"{root}/open/_SUCCESS")
+    for path in list_names(spark, f"{root}/open/lang=*/source=src1/part-*.json"):
+        rename_file(spark, path, path.replace("part-", "dataset-"))
+    found = landing.discover_datasets(landing.list_files(spark, root, "*.json"), landing.marker_files(spark, root))
+    return found.select(
+        F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    ).distinct()
+
+
+@query("declared_tables", "SELECT shard_id, checkpoint_id, is_completed FROM checkpoints")
+def declared_tables(spark, sf_dir):
+    """The checkpoint table written and read back with its declared schema."""
+    root = new_folder(spark, "tables")
+    domain.checkpoints(spark, sf_dir).write.parquet(f"{root}/checkpoints")
+    return datasets.read_table(spark, root, "checkpoints").select("shard_id", "checkpoint_id", "is_completed")
+
+
+@query(
+    "manifest_csv_mixed_headers",
+    """SELECT doc_id % 3 AS form, custodian, coalesce(item_id, '') AS item_id, path, size, CASE WHEN doc_id % 3 < 2 THEN sha256 END AS sha256 FROM source_manifest""",
+)
+def manifest_csv_mixed_headers(spark, sf_dir):
+    """One folder of CSV files with three headers: other orders, other names, other widths."""
+    rows = domain.source_manifest(spark, sf_dir)
+    root = new_folder(spark, "mixed-csv")
+    forms = (
+        ["custodian", "item_id", "path", "size", "sha256"],
+        ["size AS FileSize", "sha256 AS Hash", "path AS File_Path", "custodian AS Custodian", "item_id AS ID"],
+        ["drive_id AS DriveId", "path AS `Path`", "item_id AS ItemId", "size AS Size", "custodian AS CUSTODIAN", "kind AS Kind"],
+    )
+    for number, form in enumerate(forms):
+        rows.filter(F.col("doc_id") % 3 == number).selectExpr(*form).write.mode("append").option("header", True).option("escape", '"').csv(f"{root}/f{number}")
+    found, _ = manifests.read_manifest(spark, root, "csv")
+    form = F.regexp_extract("source_file", "/f([0-9])/", 1).cast("long")
+    return found.select(form.alias("form"), "custodian", F.coalesce("item_id", F.lit("")).alias("item_id"), "path", "size", "sha256")
+
+
+def _mixed_json(spark, rows, label):
+    """A folder with JSON lines beside files of one array, some pretty-printed."""
+    root = new_folder(spark, label)
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), (F.abs(F.xxhash64(*rows.columns)) % 4).alias("k"))
+    lines.filter("k < 2").select("value").write.mode("append").text(f"{root}/lines")
+    arrays = lines.filter("k >= 2").groupBy("k").agg(F.concat(F.lit("\n[ "), F.array_join(F.collect_list("value"), ",\n  "), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("k").text(f"{root}/arrays")
+    return root
+
+
+@query("manifest_json_mixed_forms", _MANIFEST_SQL)
+def manifest_json_mixed_forms(spark, sf_dir):
+    entries = domain.collected_manifest(spark, sf_dir).select(
+        "custodian", "kind", F.col("drive_id").alias("DriveId"), F.col("item_id").alias("itemId"), "path", "size", F.col("sha256").alias("SHA256")
+    )
+    found, _ = manifests.read_manifest(spark, _mixed_json(spark, entries, "mixed-json"), "json")
+    return found.select(
+        "custodian", "kind", "drive_id", F.coalesce("item_id", F.lit("")).alias("item_id"), "path", "size", "sha256"
+    )
+
+
+@query("dataset_scan_mixed", "SELECT doc_id, id, file_name, drive, is_file FROM file_records")
+def dataset_scan_mixed(spark, sf_dir):
+    records = domain.file_records(spark, sf_dir).withColumn("size", F.col("doc_id")).drop("dataset", "matter", "custodian", "doc_id")
+    found, _ = datasets.read_file_records(spark, _mixed_json(spark, records, "mixed-records"))
+    return found.select(
+        F.col("size").alias("doc_id"), "id", F.coalesce("fileName", "name").alias("file_name"),
+        F.coalesce("driveId", F.col("parentReference.driveId")).alias("drive"),
+        (F.col("file").isNotNull() & F.col("folder").isNull()).alias("is_file"),
+    )
 
 
 @query(

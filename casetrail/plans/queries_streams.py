@@ -1,12 +1,14 @@
 """Streaming queries over the provided tables.
 
 The table is read as a stream with an ``availableNow`` trigger and the output is read
-back. In append mode only windows the watermark has closed are written.
+back. In append mode the watermark closes windows; those still open come from a batch over the tail.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail.operators import delta
@@ -14,11 +16,13 @@ from casetrail.operators.ordering import latest_by
 from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
 from casetrail.plans.queries_metrics import COUNTERS_SQL
+from casetrail.sinks import files
 from casetrail.sinks.cursors import CursorStore
 from casetrail.streaming import delta as delta_stream
 from casetrail.streaming import landing as landing_stream
 from casetrail.streaming import lifecycle, metrics
-from casetrail.workspace import new_folder
+from casetrail.streaming import reconcile as reconcile_stream
+from casetrail.workspace import list_names, new_folder, rename_file
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +41,8 @@ class _Streamed:
         return table_stream(self._spark, self._sf_dir, path.rsplit("/", 1)[-1].removesuffix(".parquet"))
 
 
-def run_append(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    """Run to the end of the input with a transactional file sink, then read the result."""
+def run_append(spark: SparkSession, frame: DataFrame, batch: DataFrame, end: Column, label: str) -> DataFrame:
+    """Run to the end of the input with a transactional file sink; the result, open windows included."""
     target = new_folder(spark, label)
     started = (
         frame.writeStream.format("parquet")
@@ -49,22 +53,27 @@ def run_append(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
         .start()
     )
     started.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(target)
+    marks = [p["eventTime"]["watermark"] for p in started.recentProgress if "watermark" in p["eventTime"]]
+    closed = spark.read.schema(frame.schema).parquet(target)
+    return metrics.with_open_windows(closed, batch, end, max(marks, default=None))
 
 
-_CLOSED = "<= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 24 HOUR"
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The metric points as a stream and as a table."""
+    return domain.metric_points(_Streamed(spark, sf_dir), sf_dir), domain.metric_points(spark, sf_dir)
 
 
 @query(
     "stream_rolling_rates",
-    f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, metric, sum(value) AS total, count(*) AS points,
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, metric, sum(value) AS total, count(*) AS points,
           round(sum(value) / 15, 6) AS rate_per_minute
         FROM (SELECT metric, value, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(5 * k AS BIGINT)) AS w
-          FROM metric_points CROSS JOIN range(3) AS r(k)) WHERE w + INTERVAL 15 MINUTE {_CLOSED} GROUP BY w, metric""",
+          FROM metric_points CROSS JOIN range(3) AS r(k)) GROUP BY w, metric""",
 )
 def stream_rolling_rates(spark, sf_dir):
-    points = domain.metric_points(_Streamed(spark, sf_dir), sf_dir)
-    rows = run_append(spark, metrics.rolling_rates(points, 15, "5 minutes"), "rates")
+    stream, table = _points(spark, sf_dir)
+    rates = lambda points: metrics.rolling_rates(points, 15, "5 minutes")
+    rows = run_append(spark, rates(stream), rates(table), F.col("window_end"), "rates")
     return rows.select(
         stamp("window_start").alias("window_start"), "metric", "total", "points",
         F.round("rate_per_minute", 6).alias("rate_per_minute"),
@@ -73,22 +82,24 @@ def stream_rolling_rates(spark, sf_dir):
 
 @query(
     "stream_minute_sums",
-    f"""SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS minute, metric, sum(value) AS total FROM metric_points
-        WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE {_CLOSED} GROUP BY 1, 2""",
+    """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS minute, metric, sum(value) AS total FROM metric_points GROUP BY 1, 2""",
 )
 def stream_minute_sums(spark, sf_dir):
-    rows = run_append(spark, metrics.minute_sums(domain.metric_points(_Streamed(spark, sf_dir), sf_dir)), "minutes")
+    stream, table = _points(spark, sf_dir)
+    end = F.col("minute") + F.expr("INTERVAL 1 MINUTE")
+    rows = run_append(spark, metrics.minute_sums(stream), metrics.minute_sums(table), end, "minutes")
     return rows.select(stamp("minute").alias("minute"), "metric", "total")
 
 
 @query(
     "stream_hourly_peaks",
-    f"""SELECT strftime(date_trunc('hour', m), '%Y-%m-%d %H:%M:%S.%f') AS hour, metric, max(total) AS peak_minute
-        FROM (SELECT date_trunc('minute', ts) AS m, metric, sum(value) AS total FROM metric_points GROUP BY 1, 2)
-        WHERE date_trunc('hour', m) + INTERVAL 1 HOUR {_CLOSED} GROUP BY 1, 2""",
+    """SELECT strftime(date_trunc('hour', m), '%Y-%m-%d %H:%M:%S.%f') AS hour, metric, max(total) AS peak_minute
+        FROM (SELECT date_trunc('minute', ts) AS m, metric, sum(value) AS total FROM metric_points GROUP BY 1, 2) GROUP BY 1, 2""",
 )
 def stream_hourly_peaks(spark, sf_dir):
-    rows = run_append(spark, metrics.hourly_peaks(domain.metric_points(_Streamed(spark, sf_dir), sf_dir)), "peaks")
+    stream, table = _points(spark, sf_dir)
+    end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
+    rows = run_append(spark, metrics.hourly_peaks(stream), metrics.hourly_peaks(table), end, "peaks")
     return rows.select(stamp("hour").alias("hour"), "metric", "peak_minute")
 
 
@@ -116,13 +127,60 @@ def job_sessions(spark, sf_dir):
     return _shown_sessions(lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), 360))
 
 
+@query("stream_job_sessions", f"SELECT {_SESSION_COLUMNS} FROM ({_SESSIONS_SQL})")
+def stream_job_sessions(spark, sf_dir):
+    stream = lifecycle.job_sessions(domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir), 360)
+    table = lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), 360)
+    return _shown_sessions(run_append(spark, stream, table, F.col("session_end"), "sessions"))
+
+
 @query(
-    "stream_job_sessions",
-    f"SELECT {_SESSION_COLUMNS} FROM ({_SESSIONS_SQL}) AS s WHERE s.session_end {_CLOSED}",
+    "stream_reconcile",
+    """SELECT job_id AS scope_job_id, source_count, collected_count, missed_count, extra_count FROM recon_counts""",
 )
-def stream_job_sessions(spark, sf_dir):
-    events = domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir)
-    return _shown_sessions(run_append(spark, lifecycle.job_sessions(events, 360), "sessions"))
+def stream_reconcile(spark, sf_dir):
+    """Manifests of each custodian arrive as files, in three batches; a second run finds all reported."""
+    sides = {}
+    for side, rows in (("source", domain.source_manifest(spark, sf_dir)), ("collected", domain.collected_manifest(spark, sf_dir))):
+        folder = new_folder(spark, f"{side}-parts")
+        files.write_manifest_csv(rows.withColumn("owner", F.col("custodian")).repartition(1), folder, ["owner", "job_id"])
+        sides[side] = new_folder(spark, side)
+        for path in list_names(spark, f"{folder}/owner=*/job_id=*/*.csv"):
+            custodian, job = path.split("owner=")[1].split("/")[0], path.split("job_id=")[1].split("/")[0]
+            rename_file(spark, path, f"{sides[side]}/{unquote(custodian)}_{job}_{side}.csv")
+    output = new_folder(spark, "reconciled")
+    for run in range(2):
+        checkpoint = new_folder(spark, f"reconcile-checkpoint-{run}")
+        reconcile_stream.run_reconciliation(spark, sides["collected"], sides["source"], output, checkpoint, max_files=3).awaitTermination()
+    counted = ("source_count", "collected_count", "missed_count", "extra_count")
+    return spark.read.parquet(f"{output}/summary").select("scope_job_id", *counted)
+
+
+@query(
+    "stream_retention",
+    """WITH p AS (SELECT metric, value, ts, epoch_us(ts) % 3 AS k FROM metric_points),
+         h AS (SELECT k, max(ts) AS newest FROM p GROUP BY 1),
+         seen AS (SELECT a.k, max(b.newest) AS horizon FROM h a LEFT JOIN h b ON b.k < a.k GROUP BY 1)
+       SELECT CASE WHEN horizon IS NULL OR ts >= horizon - INTERVAL 24 HOUR THEN 'kept' ELSE 'late' END AS destination,
+         metric, count(*) AS points FROM p JOIN seen ON p.k = seen.k GROUP BY 1, 2""",
+)
+def stream_retention(spark, sf_dir):
+    """Points in three batches; after the first, most are older than the retention."""
+    points = domain.metric_points(spark, sf_dir)
+    root = new_folder(spark, "points")
+    for number in range(3):
+        points.filter(F.unix_micros("ts") % 3 == number).coalesce(1).write.mode("append").parquet(root)
+    kept, late, horizon = (new_folder(spark, name) for name in ("kept", "late", "horizon"))
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    (
+        stream.writeStream.foreachBatch(metrics.retention_sink(kept, late, horizon))
+        .option("checkpointLocation", new_folder(spark, "retention-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    both = [spark.read.schema(points.schema).parquet(p).withColumn("destination", F.lit(n)) for n, p in (("kept", kept), ("late", late))]
+    return both[0].unionByName(both[1]).groupBy("destination", "metric").agg(F.count(F.lit(1)).alias("points"))
 
 
 _LIVE = "NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file))"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value``, ``source_file`` and ``place``: (block start, line number in the scan), which orders a file's lines."""
     return (
         spark.read.option("recursiveFileLookup", True)

@@ -5,7 +5,7 @@ The watermark is the retention: state of windows older than it is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,6 +63,18 @@ def hourly_peaks(points: DataFrame) -> DataFrame:
     )
 
 
+def with_open_windows(closed: DataFrame, batch: DataFrame, end: Column, watermark: str | None) -> DataFrame:
+    """Windows a stream has written, and those its watermark has not closed yet from the same operator over a batch.
+
+    An append stream writes a window once its end is not above the watermark; ``batch`` is the
+    operator's result over the stored points, of which only windows that end later are taken.
+    """
+    if watermark is None:
+        return closed
+    late = F.lit(watermark).cast("timestamp")
+    return closed.unionByName(batch.filter(end > late).select(*closed.columns))
+
+
 def retention_sink(kept_path: str, late_path: str, horizon_path: str, hours: int = 24):
     """``foreachBatch`` function that keeps fresh points and sets late ones aside.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +10,9 @@ from casetrail.functions.paths import blank
 from casetrail.operators.reconcile import ReconcileOptions, report, summarize
 from casetrail.sinks.files import write_report
 from casetrail.sources import landing
-from casetrail.sources.manifests import read_manifest
+from casetrail.sources.lines import json_values, placed_lines
+from casetrail.sources.manifests import empty_manifest, manifest_from_csv_lines, manifest_from_json_text
+from casetrail.workspace import has_names
 
 # The columns of Spark's binary file source.
 _LISTING = "path string, modificationTime timestamp, length bigint, content binary"
@@ -28,17 +30,32 @@ def arrivals(spark: SparkSession, root: str, max_files: int = 50) -> DataFrame:
     )
 
 
-def _read_all(spark: SparkSession, pairs: list, column: str) -> DataFrame:
-    """All manifests of one side, one reader per file, tagged with their job."""
-    frames = []
-    for pair in pairs:
-        rows, _ = read_manifest(spark, pair[column])
-        own = blank(F.col("custodian")) | (F.lower("custodian") == pair["custodian"].lower())
-        frames.append(rows.filter(own).withColumn("job_id", F.lit(pair["job_id"])))
-    stacked = frames[0]
-    for frame in frames[1:]:
-        stacked = stacked.unionByName(frame)
-    return stacked
+def _same_file(path: Column) -> Column:
+    """A path in one spelling; listings and file metadata differ in slashes and escapes."""
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.coalesce(plain, path), "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def _read_side(spark: SparkSession, pairs: DataFrame, paths: list[str], column: str) -> DataFrame:
+    """All manifests of one side in one scan per format, joined with their custodian and job by file."""
+    kinds = {"csv": [p for p in paths if p.lower().endswith(".csv")], "json": [p for p in paths if p.lower().endswith(".json")]}
+    empty, _ = empty_manifest(spark)
+    rows = empty
+    for kind, reader in (("csv", manifest_from_csv_lines), ("json", lambda lines: manifest_from_json_text(json_values(lines)))):
+        if kinds[kind]:
+            rows = rows.unionByName(reader(placed_lines(spark, kinds[kind]))[0])
+    named = pairs.select(F.col("custodian").alias("of_custodian"), "job_id", _same_file(F.col(column)).alias("of_file"))
+    joined = rows.join(named, _same_file(F.col("source_file")) == F.col("of_file"))
+    own = blank(F.col("custodian")) | (F.lower("custodian") == F.lower("of_custodian"))
+    return joined.filter(own).drop("of_custodian", "of_file")
+
+
+def _reported(spark: SparkSession, output: str, batch_id: int) -> DataFrame:
+    """Report names of the jobs that batches before this one have reported."""
+    if not has_names(spark, f"{output}/summary/batch_id=*/_SUCCESS"):
+        return spark.createDataFrame([], "path string")
+    earlier = spark.read.parquet(f"{output}/summary").filter(F.col("batch_id") < batch_id)
+    return earlier.select(F.concat(F.lit("recon_report_"), "scope_job_id", F.lit(".csv")).alias("path")).distinct()
 
 
 def run_reconciliation(
@@ -53,19 +70,20 @@ def run_reconciliation(
 ) -> StreamingQuery:
     """Pair every new collected manifest and reconcile all pairs of a batch in one plan.
 
-    What reaches the driver is the list of file pairs of one batch, at most
-    ``max_files`` short rows. The custodian comes from the file name: rows naming
+    Jobs that an earlier batch has reported are left out. What reaches the driver is the
+    list of file pairs of one batch, at most ``max_files`` short rows, which name the files
+    of its two scans. The custodian comes from the file name: rows naming
     another one are dropped, unnamed rows belong to it, so the scope is the job alone.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         sources = landing.list_files(spark, source_root)
-        reports = spark.createDataFrame([], "path string")
-        pairs = landing.pair_manifests(batch, sources, reports).filter(F.col("source_path").isNotNull()).collect()
-        if not pairs:
+        found = landing.pair_manifests(batch, sources, _reported(spark, output, batch_id)).filter("source_path IS NOT NULL").collect()
+        if not found:
             return
-        source = _read_all(spark, pairs, "source_path")
-        collected = _read_all(spark, pairs, "collected_path")
+        pairs = spark.createDataFrame(found)
+        source = _read_side(spark, pairs, sorted({p["source_path"] for p in found}), "source_path")
+        collected = _read_side(spark, pairs, sorted({p["collected_path"] for p in found}), "collected_path")
         as_of = F.current_timestamp()
         summarize(source, collected, options).write.mode("overwrite").parquet(
             f"{output}/summary/batch_id={batch_id}"

@@ -62,3 +62,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own state."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def rename_file(spark: SparkSession, path: str, target: str) -> None:
+    """Give a file of this library's own another name; its new folder is made if need be."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new = Path(path), Path(target)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot rename {path}")

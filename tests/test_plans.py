@@ -10,7 +10,7 @@ from casetrail.operators import ingest, reconcile, shards
 from casetrail.operators.reconcile import ReconcileOptions
 from casetrail.plans import catalog, domain
 
-WRITES = re.compile("stream|roundtrip|aliases|dataset_scan|log_|_log|report_files|job_documents|extract|cursor_store")
+WRITES = re.compile("stream|roundtrip|aliases|dataset_scan|log_|_log|report_files|job_documents|job_manifest_csv|extract|cursor_store|_files|sidecar|landing_json|marker_disc|declared|mixed")
 
 
 def plan_of(frame):
