@@ -24,6 +24,14 @@ EVENT_POINTS = {
     ],
 }
 
+# Failure events with the counter and the point of each.
+FAILURE_EVENTS = {
+    "AuthError": ("auth_errors_total", "auth_errors"),
+    "TimeoutError": ("timeout_errors_total", "timeout_errors"),
+    "RetrySucceeded": ("retry_success_total", "retry_success"),
+    "RetryFailed": ("retry_failure_total", "retry_failure"),
+}
+
 # Job states that count as success.
 SUCCESS_STATES = ("succeeded", "completed")
 
@@ -93,7 +101,9 @@ def retry_success_rate(successes: Column, failures: Column) -> Column:
 
 
 def error_metrics(points: DataFrame, as_of: Column) -> DataFrame:
-    """One row of error figures; retries are points ``retry_success`` and ``retry_failure``."""
+    """One row of error figures. Windows end at ``as_of``; the retry rate is over all points ever recorded."""
+    of = lambda name: F.count_if(F.col("metric") == name)
+    rate = points.agg(retry_success_rate(of("retry_success"), of("retry_failure")).alias("rate")).scalar()
     return (
         windowed_totals(points, as_of)
         .agg(
@@ -103,12 +113,9 @@ def error_metrics(points: DataFrame, as_of: Column) -> DataFrame:
             _cell("server_errors", "count_1h").alias("server_errors_1h"),
             _cell("auth_errors", "count_1h").alias("auth_errors_1h"),
             _cell("timeout_errors", "count_1h").alias("timeout_errors_1h"),
-            _cell("retry_success", "count_24h").alias("__ok"),
-            _cell("retry_failure", "count_24h").alias("__bad"),
             _cell("backoff_delay_ms", "avg_24h", 0.0).alias("average_backoff_ms"),
         )
-        .withColumn("retry_success_rate", retry_success_rate(F.col("__ok"), F.col("__bad")))
-        .drop("__ok", "__bad")
+        .withColumn("retry_success_rate", rate)
     )
 
 
@@ -185,6 +192,8 @@ def counters(events: DataFrame) -> DataFrame:
         one(kind == "BackoffTriggered", F.lit("backoff_triggered_total")),
         one((kind == "BackoffTriggered") & (code == 429), F.lit("throttling_429_total")),
         one((kind == "BackoffTriggered") & (code >= 500), F.lit("server_errors_5xx_total")),
+        one((kind == "BackoffTriggered") & ((code == 429) | (code >= 500)), F.concat(F.lit("http_errors_"), code.cast("string"))),
+        *[one(kind == event, F.lit(counter)) for event, (counter, _) in FAILURE_EVENTS.items()],
         one(kind == "AutoRoutedToGDC", F.lit("autorouted_to_gdc_total")),
         one(kind == "AutoRoutedToGDC", F.concat(F.lit("autorouted_priority_"), priority)),
         one(done, F.concat(F.lit("jobs_completed_"), status)),
@@ -216,6 +225,7 @@ def points_from_events(events: DataFrame) -> DataFrame:
     marks += [
         point((kind == "BackoffTriggered") & (code == 429), "throttling_events", F.lit(1)),
         point((kind == "BackoffTriggered") & (code >= 500), "server_errors", F.lit(1)),
+        *[point(kind == event, name, F.lit(1)) for event, (_, name) in FAILURE_EVENTS.items()],
         point(kind == "JobStarted", "jobs_started_total", F.lit(1)),
         point((kind == "JobCompleted") & ok, "jobs_completed_total", F.lit(1)),
         point((kind == "JobCompleted") & ~ok, "jobs_failed_total", F.lit(1)),

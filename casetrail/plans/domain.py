@@ -257,6 +257,17 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycle events of which a part are errors and retries instead."""
+    return lifecycle_events(spark, sf_dir).withColumn(
+        "event_type",
+        F.expr(
+            "CASE event_id % 9 WHEN 0 THEN 'AuthError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'RetrySucceeded' "
+            "WHEN 3 THEN 'RetrySucceeded' WHEN 4 THEN 'RetryFailed' WHEN 5 THEN 'BackoffTriggered' ELSE event_type END"
+        ),
+    )
+
+
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS checkpoint_id",

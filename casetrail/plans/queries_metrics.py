@@ -85,19 +85,25 @@ def throughput_metrics(spark, sf_dir):
     return rows.select(*[F.round(c, digits.get(c, 9)).alias(c) for c in rows.columns])
 
 
+def _counted(condition: str, minutes: int) -> str:
+    return f"count(*) FILTER (WHERE {condition} AND {_within(minutes)})"
+
+
 @query(
     "error_metrics",
-    f"""SELECT count(*) FILTER (WHERE metric = 'throttling_events' AND {_within(15)}) AS throttling_15m,
-          count(*) FILTER (WHERE metric = 'throttling_events' AND {_within(60)}) AS throttling_1h,
-          count(*) FILTER (WHERE metric = 'throttling_events' AND {_DAY}) AS throttling_24h,
-          CAST(0 AS BIGINT) AS server_errors_1h, CAST(0 AS BIGINT) AS auth_errors_1h, CAST(0 AS BIGINT) AS timeout_errors_1h,
-          round(coalesce(avg(value) FILTER (WHERE metric = 'backoff_delay_ms' AND {_DAY}), 0), 6) AS average_backoff_ms,
-          CAST(1.0 AS DOUBLE) AS retry_success_rate
-        FROM metric_points""",
+    f"""SELECT {_counted("event_type = 'BackoffTriggered' AND http_status_code = 429", 15)} AS throttling_15m,
+          {_counted("event_type = 'BackoffTriggered' AND http_status_code = 429", 60)} AS throttling_1h,
+          {_counted("event_type = 'BackoffTriggered' AND http_status_code = 429", 1440)} AS throttling_24h,
+          {_counted("event_type = 'BackoffTriggered' AND http_status_code >= 500", 60)} AS server_errors_1h,
+          {_counted("event_type = 'AuthError'", 60)} AS auth_errors_1h, {_counted("event_type = 'TimeoutError'", 60)} AS timeout_errors_1h,
+          round(coalesce(avg(backoff_delay_ms) FILTER (WHERE event_type = 'BackoffTriggered' AND {_DAY}), 0), 6) AS average_backoff_ms,
+          round(count(*) FILTER (WHERE event_type = 'RetrySucceeded')
+            / CAST(count(*) FILTER (WHERE event_type IN ('RetrySucceeded', 'RetryFailed')) AS DOUBLE), 9) AS retry_success_rate
+        FROM failures""",
 )
 def error_metrics(spark, sf_dir):
-    rows = metrics.error_metrics(domain.metric_points(spark, sf_dir), _as_of())
-    return rows.withColumn("average_backoff_ms", F.round("average_backoff_ms", 6))
+    rows = metrics.error_metrics(metrics.points_from_events(domain.failure_events(spark, sf_dir)), _as_of())
+    return rows.withColumns({"average_backoff_ms": F.round("average_backoff_ms", 6), "retry_success_rate": F.round("retry_success_rate", 9)})
 
 
 _POINTS_SQL = """
@@ -153,6 +159,12 @@ COUNTERS_SQL = """WITH c AS (
     UNION ALL SELECT 'backoff_triggered_total', 1 FROM lifecycle WHERE event_type = 'BackoffTriggered'
     UNION ALL SELECT 'throttling_429_total', 1 FROM lifecycle WHERE event_type = 'BackoffTriggered' AND http_status_code = 429
     UNION ALL SELECT 'server_errors_5xx_total', 1 FROM lifecycle WHERE event_type = 'BackoffTriggered' AND http_status_code >= 500
+    UNION ALL SELECT 'http_errors_' || http_status_code, 1 FROM lifecycle
+      WHERE event_type = 'BackoffTriggered' AND (http_status_code = 429 OR http_status_code >= 500)
+    UNION ALL SELECT 'auth_errors_total', 1 FROM lifecycle WHERE event_type = 'AuthError'
+    UNION ALL SELECT 'timeout_errors_total', 1 FROM lifecycle WHERE event_type = 'TimeoutError'
+    UNION ALL SELECT 'retry_success_total', 1 FROM lifecycle WHERE event_type = 'RetrySucceeded'
+    UNION ALL SELECT 'retry_failure_total', 1 FROM lifecycle WHERE event_type = 'RetryFailed'
     UNION ALL SELECT 'autorouted_to_gdc_total', 1 FROM lifecycle WHERE event_type = 'AutoRoutedToGDC'
     UNION ALL SELECT 'autorouted_priority_' || lower(priority), 1 FROM lifecycle WHERE event_type = 'AutoRoutedToGDC'
     UNION ALL SELECT 'jobs_completed_' || lower(status), 1 FROM lifecycle WHERE event_type = 'JobCompleted'
@@ -167,6 +179,11 @@ def event_counters(spark, sf_dir):
     return metrics.counters(domain.lifecycle_events(spark, sf_dir))
 
 
+@query("failure_counters", COUNTERS_SQL.replace("FROM lifecycle", "FROM failures"))
+def failure_counters(spark, sf_dir):
+    return metrics.counters(domain.failure_events(spark, sf_dir))
+
+
 @query(
     "retry_success_rate",
     """SELECT job_id, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE http_status_code <> 404) / CAST(count(*) AS DOUBLE) ELSE 1.0 END AS rate

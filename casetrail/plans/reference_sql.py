@@ -191,6 +191,9 @@ VIEWS: dict[str, str] = {
           event_id % 7000 AS collected_size_bytes,
           CASE event_id % 4 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'request TIMEOUT' WHEN 2 THEN 'bad input' END AS message
         FROM events""",
+    "failures": """
+        SELECT * REPLACE (CASE event_id % 9 WHEN 0 THEN 'AuthError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'RetrySucceeded'
+          WHEN 3 THEN 'RetrySucceeded' WHEN 4 THEN 'RetryFailed' WHEN 5 THEN 'BackoffTriggered' ELSE event_type END AS event_type) FROM lifecycle""",
     "checkpoints": """
         SELECT event_id AS checkpoint_id, user_id AS shard_id, event_type AS checkpoint_type, ts AS created_date,
           user_id % 2 = 1 OR event_id % 40 <> 0 AS is_completed, event_id % 100 AS items_processed FROM events""",
