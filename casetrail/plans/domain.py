@@ -253,7 +253,7 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id % 100000 AS duration_ms",
         "event_id % 50 AS collected_items",
         "event_id % 7000 AS collected_size_bytes",
-        "CASE event_id % 4 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'request TIMEOUT' WHEN 2 THEN 'bad input' END AS message",
+        "CASE event_id % 4 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'request TIMEOUT' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'Network unreachable' ELSE 'bad input' END END AS message",
     )
 
 

@@ -157,11 +157,46 @@ def drive_items(spark, sf_dir):
     return rows.select("item_id", "subject", "size_bytes", "custodian")
 
 
+@query(
+    "safe_names",
+    r"""WITH n AS (SELECT doc_id, lang, source, 'R' || chr(9) || 'e:' || doc_id || '?/' || lang || '|x<' || source || '>*"\.txt' AS name FROM documents)
+       SELECT doc_id, regexp_replace(name, '[\x00-\x1f"<>|:*?\\/]', '_', 'g') AS replaced,
+         substr(regexp_replace(name || repeat('y', 100), '[\x00-\x1f"<>|:*?\\/]', '', 'g'), 1, 100) AS dropped,
+         '/evidence/matter/' || lang || '/GDC/' || source || '/' || printf('%06d', doc_id) || '_' ||
+           regexp_replace(name, '[\x00-\x1f"<>|:*?\\/]', '_', 'g') AS output_path FROM n""",
+)
+def safe_names(spark, sf_dir):
+    """Names in which every invalid character occurs."""
+    rows = domain.table(spark, sf_dir, "documents").withColumn(
+        "name",
+        F.concat(F.lit("R\te:"), "doc_id", F.lit("?/"), "lang", F.lit("|x<"), "source", F.lit('>*"\\.txt')),
+    )
+    return rows.select(
+        "doc_id",
+        paths.sanitize_file_name(F.col("name")).alias("replaced"),
+        paths.sanitize_file_name_drop(F.concat("name", F.repeat(F.lit("y"), F.lit(100)))).alias("dropped"),
+        paths.output_path(F.lit("/evidence"), F.col("lang"), F.col("source"), F.col("doc_id"), F.col("name")).alias("output_path"),
+    )
+
+
+@query(
+    "item_hashes",
+    """SELECT id AS item_id, 'Email' AS item_type, sha256('{"id":' || to_json(id) || ',"subject":' || to_json(subject) || ',"sender":' || to_json(sender) ||
+         ',"recipients":' || CASE sender WHEN 'user@x.org' THEN '[{"address":"assistant@x.org"},{"address":"log@x.org"}]' ELSE '[{"address":"user@x.org"}]' END ||
+         ',"received":"' || strftime(received, '%Y-%m-%dT%H:%M:%S.000Z') || '","preview":' || to_json(preview) || '}') AS sha256
+       FROM messages""",
+)
+def item_hashes(spark, sf_dir):
+    """The digest of each message over its JSON text."""
+    return messages.mail_items(domain.messages(spark, sf_dir), "/out").select("item_id", "item_type", "sha256")
+
+
 @query(
     "retryable_errors",
     """SELECT event_id, http_status_code, message,
          http_status_code = 429 OR http_status_code BETWEEN 500 AND 599
-           OR contains(lower(coalesce(message, '')), 'timeout') OR contains(lower(coalesce(message, '')), 'connection') AS retryable
+           OR contains(lower(coalesce(message, '')), 'timeout') OR contains(lower(coalesce(message, '')), 'connection')
+           OR contains(lower(coalesce(message, '')), 'network') AS retryable
        FROM lifecycle WHERE event_type = 'BackoffTriggered'""",
 )
 def retryable_errors(spark, sf_dir):

@@ -187,3 +187,57 @@ def manifest_keys(spark, sf_dir):
         reconcile.manifest_key().alias("key"),
         paths.is_folder(F.col("kind"), F.col("path")).alias("folder"),
     )
+
+
+@query(
+    "reconcile_gates_mixed",
+    """WITH d AS (SELECT doc_id, doc_id % 8 AS j, CASE WHEN doc_id % 8 = 4 THEN 0 ELSE n_chars END AS size FROM documents),
+         s AS (SELECT * FROM d WHERE j <> 6),
+         c AS (SELECT doc_id, j, CASE WHEN j = 3 THEN size * 2 ELSE size END AS size FROM d WHERE j <> 5 AND NOT (j = 1 AND doc_id % 3 = 0)),
+         n AS (SELECT coalesce(s.j, c.j) AS j, count(s.doc_id) AS source_count, count(*) FILTER (WHERE c.doc_id IS NULL) AS missed,
+             count(*) FILTER (WHERE s.doc_id IS NULL) AS extra, count(*) FILTER (WHERE s.j = 2 AND s.doc_id % 5 = 0 AND c.doc_id IS NOT NULL) AS bad,
+             coalesce(sum(s.size), 0) AS sb, coalesce(sum(c.size), 0) AS cb FROM s FULL JOIN c ON s.doc_id = c.doc_id GROUP BY 1),
+         g AS (SELECT *, missed = 0 AS p1, CASE WHEN source_count = 0 THEN extra = 0 ELSE extra * 100.0 / source_count <= 0.05 END AS p2,
+             CASE WHEN sb = 0 THEN cb = 0 ELSE abs(cb - sb) * 100.0 / sb <= 0.1 END AS p3, bad = 0 AS p4 FROM n)
+       SELECT 'job-' || j AS job_id, 'u' || j || '@x.org' AS custodian, source_count, missed AS missed_count, extra AS extra_count,
+         p1 AS cardinality_passed, p2 AS extras_passed, p3 AS size_passed, p4 AS hash_passed, p1 AND p2 AND p3 AND p4 AS overall_passed,
+         CASE WHEN p1 AND p2 AND p3 AND p4 THEN 'Completed' ELSE 'Failed' END AS status FROM g""",
+)
+def reconcile_gates_mixed(spark, sf_dir):
+    """Jobs that pass, fail one gate each, have no source or no bytes; half the collected rows name no custodian."""
+    rows = domain.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "doc_id % 8 AS j", "CASE WHEN doc_id % 8 = 4 THEN 0 ELSE n_chars END AS size", "sha2(text, 256) AS hash"
+    )
+    shared = ["concat('job-', j) AS job_id", "concat('i', doc_id) AS item_id", "'drive' AS drive_id", "concat('/f/', doc_id) AS path",
+              "'File' AS kind", "cast(NULL AS TIMESTAMP) AS last_modified"]
+    source = rows.filter("j <> 6").selectExpr(*shared, "concat('u', j, '@x.org') AS custodian", "size", "hash AS sha256")
+    collected = rows.filter("j <> 5 AND NOT (j = 1 AND doc_id % 3 = 0)").selectExpr(
+        *shared,
+        "CASE WHEN doc_id % 16 < 8 THEN concat('U', j, '@x.org') WHEN doc_id % 3 = 0 THEN '' END AS custodian",
+        "CASE WHEN j = 3 THEN size * 2 ELSE size END AS size",
+        "CASE WHEN j = 2 AND doc_id % 5 = 0 THEN 'other' ELSE upper(hash) END AS sha256",
+    )
+    jobs = spark.range(8).selectExpr("concat('job-', id) AS job_id", "concat('u', id, '@x.org') AS custodian")
+    filled = reconcile.fill_custodian(collected, jobs)
+    found = _scope(reconcile.summarize(source, filled, ReconcileOptions(require_hash_match=True)))
+    return found.select(
+        "job_id", "custodian", "source_count", "missed_count", "extra_count", "cardinality_passed", "extras_passed", "size_passed",
+        "hash_passed", "overall_passed", "status",
+    )
+
+
+@query(
+    "reconcile_expected_skips",
+    """SELECT job_id, custodian, 'Missed' AS section, missed_count AS row_count FROM recon_counts WHERE missed_count > 0
+       UNION ALL SELECT job_id, custodian, 'Extras', extra_count FROM recon_counts WHERE extra_count > 0
+       UNION ALL SELECT job_id, custodian, 'HashMismatches', hash_mismatch_count FROM recon_counts WHERE hash_mismatch_count > 0
+       UNION ALL SELECT job_id, custodian, 'ExpectedSkips', extra_count FROM recon_counts WHERE extra_count > 0
+       UNION ALL SELECT job_id, custodian, 'Summary', 1 FROM recon_counts""",
+)
+def reconcile_expected_skips(spark, sf_dir):
+    """A report whose fourth section lists what was meant to be left out."""
+    as_of = domain.instant(AS_OF)
+    skips = reconcile.discrepancies(*_sides(spark, sf_dir), OPTIONS, as_of).filter("type = 'Extra'")
+    rows = reconcile.report(*_sides(spark, sf_dir), OPTIONS, as_of, skips)
+    counted = rows.groupBy("scope_job_id", "scope_custodian", F.col("Section").alias("section")).agg(F.count(F.lit(1)).alias("row_count"))
+    return _scope(counted)

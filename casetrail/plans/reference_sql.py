@@ -189,7 +189,7 @@ VIEWS: dict[str, str] = {
           CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 500 ELSE 404 END AS http_status_code,
           event_id % 5000 AS backoff_delay_ms, event_id % 100000 AS duration_ms, event_id % 50 AS collected_items,
           event_id % 7000 AS collected_size_bytes,
-          CASE event_id % 4 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'request TIMEOUT' WHEN 2 THEN 'bad input' END AS message
+          CASE event_id % 4 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'request TIMEOUT' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'Network unreachable' ELSE 'bad input' END END AS message
         FROM events""",
     "failures": """
         SELECT * REPLACE (CASE event_id % 9 WHEN 0 THEN 'AuthError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'RetrySucceeded'
