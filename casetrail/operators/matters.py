@@ -50,17 +50,26 @@ def matter_summary(custody: DataFrame) -> DataFrame:
     )
 
 
-def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+def with_children(parents: DataFrame, children: DataFrame, key: str, direct: DataFrame | None = None) -> DataFrame:
     """Parent rows with their child rows, childless parents kept.
 
     Written as an inner join plus the childless parents, because adaptive execution
     can split a hot key of an inner join but not the optional side of an outer one.
+    Where ``children`` has children of its own, ``direct`` is the table of the direct children, whose
+    keys alone say who is childless.
     """
     matched = parents.join(children, key)
-    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    keys = (children if direct is None else direct).select(key).distinct()
+    childless = parents.join(keys, key, "left_anti")
     return matched.unionByName(childless, allowMissingColumns=True)
 
 
+def children_newest_first(parents: DataFrame, children: DataFrame, key: str, date: str, *ties: str) -> DataFrame:
+    """Parents with their children, sorted by parent and then newest child first."""
+    joined = with_children(parents, children, key)
+    return joined.orderBy(key, F.col(date).desc_nulls_last(), *ties)
+
+
 def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
     """Parents with the number of their children."""
     counts = children.groupBy(key).agg(F.count(F.lit(1)).alias(name))

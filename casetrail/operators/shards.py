@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casetrail.functions import measures, paths
 from casetrail.operators.ordering import HOT_ROWS, latest_by, previous_row
+from casetrail.operators.routing import RouteOptions, decide_route
 
 DAY_MICROS = 86_400_000_000
 
@@ -72,9 +73,20 @@ def shard_windows(requests: DataFrame, options: ShardOptions = ShardOptions()) -
     )
 
 
-def plan_shards(requests: DataFrame, created_date: Column, options: ShardOptions = ShardOptions()) -> DataFrame:
-    """Shard rows ready to be worked on, with size estimates by job type."""
-    return (
+def plan_shards(
+    requests: DataFrame,
+    created_date: Column,
+    options: ShardOptions = ShardOptions(),
+    used_bytes: Column | None = None,
+    used_items: Column | None = None,
+    limits: RouteOptions = RouteOptions(),
+) -> DataFrame:
+    """Shard rows ready to be worked on: size estimates by job type and the route decided for each.
+
+    Usage so far is a literal or a column of the request; nothing is used by default.
+    """
+    nothing = F.lit(0).cast("long")
+    planned = (
         shard_windows(requests, options)
         .filter("kind = 'shard'")
         .withColumn("status", F.lit("Pending"))
@@ -83,6 +95,39 @@ def plan_shards(requests: DataFrame, created_date: Column, options: ShardOptions
         .withColumn("created_date", created_date)
         .withColumn("max_retries", F.lit(3))
     )
+    routed = decide_route(planned, nothing if used_bytes is None else used_bytes, nothing if used_items is None else used_items, limits)
+    return routed.withColumnsRenamed({"reason": "route_reason", "confidence": "route_confidence"})
+
+
+def split_by_size(shards: DataFrame, options: ShardOptions = ShardOptions()) -> DataFrame:
+    """Shards of which an estimate exceeds a limit, cut into equal parts of their date range.
+
+    An option of its own: the plan of windows alone does not do it. ``part`` numbers the
+    ``parts`` of a shard from 0; estimates are shared out, remainders going to the first parts. Parts are
+    not shorter than the least number of days.
+    """
+    days = F.greatest(F.floor(measures.duration_seconds(F.col("start_date"), F.col("end_date")) / 86400 / options.minimum_days), F.lit(1))
+    wanted = F.greatest(
+        F.ceil(F.col("estimated_bytes") / options.max_shard_bytes), F.ceil(F.col("estimated_items") / options.max_shard_items), F.lit(1)
+    )
+    span = F.unix_micros("end_date") - F.unix_micros("start_date")
+    cut = shards.withColumn("parts", F.least(wanted, days).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def edge(n: Column) -> Column:
+        return F.timestamp_micros(F.unix_micros("start_date") + F.floor(span * n / F.col("parts")).cast("long"))
+
+    def share(name: str) -> Column:
+        total = F.col(name)
+        return (F.floor(total / F.col("parts")) + (F.col("part") < total % F.col("parts")).cast("int")).cast("long")
+
+    return cut.withColumns(
+        {
+            "start_date": edge(F.col("part")),
+            "end_date": edge(F.col("part") + 1),
+            "estimated_bytes": share("estimated_bytes"),
+            "estimated_items": share("estimated_items"),
+        }
+    )
 
 
 def sharded_job_metrics(
@@ -176,35 +221,36 @@ _PROCESSING = ("Processing", "Running")
 _WAITING = ("Pending", "Assigned")
 
 
-def job_progress(shards: DataFrame) -> DataFrame:
+def job_progress(shards: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Roll-up of shard states per job, with the time left at the rate so far.
 
-    ``remaining_items_ratio`` is what is left over what is done; times the elapsed
-    time it is the remaining time.
+    With ``as_of`` and a ``created_date`` of the shards, ``remaining_seconds`` is the time since the first
+    was created times what is left over what is done, and ``estimated_completion`` is that much after ``as_of``; both
+    are null while nothing is done.
     """
     status = F.col("status")
+    started = [] if as_of is None else [F.min("created_date").alias("__started")]
+    rolled = shards.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("total_shards"),
+        F.count_if(status == "Completed").alias("completed_shards"),
+        F.count_if(status == "Failed").alias("failed_shards"),
+        F.count_if(status.isin(*_PROCESSING)).alias("processing_shards"),
+        F.count_if(status.isin(*_WAITING)).alias("pending_shards"),
+        F.coalesce(F.avg("progress_percentage"), F.lit(0.0)).alias("overall_progress"),
+        F.sum("processed_items").alias("items_processed"),
+        F.sum("processed_bytes").alias("bytes_processed"),
+        F.sum("estimated_items").alias("estimated_items"),
+        F.sum("estimated_bytes").alias("estimated_bytes"),
+        *started,
+    )
+    if as_of is None:
+        return rolled
+    left = F.greatest(F.col("estimated_items") - F.col("items_processed"), F.lit(0)) / F.col("items_processed")
+    seconds = F.floor(measures.duration_seconds(F.col("__started"), as_of) * left).cast("long")
     return (
-        shards.groupBy("job_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_shards"),
-            F.count_if(status == "Completed").alias("completed_shards"),
-            F.count_if(status == "Failed").alias("failed_shards"),
-            F.count_if(status.isin(*_PROCESSING)).alias("processing_shards"),
-            F.count_if(status.isin(*_WAITING)).alias("pending_shards"),
-            F.coalesce(F.avg("progress_percentage"), F.lit(0.0)).alias("overall_progress"),
-            F.sum("processed_items").alias("items_processed"),
-            F.sum("processed_bytes").alias("bytes_processed"),
-            F.sum("estimated_items").alias("estimated_items"),
-            F.sum("estimated_bytes").alias("estimated_bytes"),
-        )
-        .withColumn(
-            "remaining_items_ratio",
-            F.when(
-                F.col("items_processed") > 0,
-                F.greatest(F.col("estimated_items") - F.col("items_processed"), F.lit(0))
-                / F.col("items_processed"),
-            ),
-        )
+        rolled.withColumn("remaining_seconds", F.when(F.col("items_processed") > 0, seconds))
+        .withColumn("estimated_completion", F.timestamp_micros(F.unix_micros(as_of) + F.col("remaining_seconds") * 1_000_000))
+        .drop("__started")
     )
 
 

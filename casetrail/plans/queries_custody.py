@@ -202,7 +202,40 @@ def matter_job_items(spark, sf_dir):
     jobs = domain.jobs(spark, sf_dir).select("matter_id", "job_id")
     items = domain.items(spark, sf_dir).select("job_id", "item_id", "size_bytes")
     with_items = matters.with_children(jobs, items, "job_id")
-    return matters.with_children(domain.matters(spark, sf_dir).select("matter_id", "name"), with_items, "matter_id")
+    return matters.with_children(domain.matters(spark, sf_dir).select("matter_id", "name"), with_items, "matter_id", direct=jobs)
+
+
+@query(
+    "job_logs_newest_first",
+    """SELECT j.job_id, j.status, l.event_id, l.event_type FROM jobs j LEFT JOIN lifecycle l ON j.job_id = l.job_id""",
+)
+def job_logs_newest_first(spark, sf_dir):
+    logged = domain.lifecycle_events(spark, sf_dir).select("job_id", "event_id", "event_type", "ts")
+    jobs = domain.jobs(spark, sf_dir).select("job_id", "status")
+    return matters.children_newest_first(jobs, logged, "job_id", "ts", "event_id").drop("ts")
+
+
+@query(
+    "manifest_verifications_newest_first",
+    """SELECT m.manifest_id, m.is_sealed, v.result, strftime(v.verification_date, '%Y-%m-%d') AS verified_on
+       FROM sealed_manifests m LEFT JOIN verifications v ON m.manifest_id = v.manifest_id""",
+)
+def manifest_verifications_newest_first(spark, sf_dir):
+    manifests = domain.sealed_manifests(spark, sf_dir).select("manifest_id", "is_sealed")
+    checks = domain.verifications(spark, sf_dir).select("manifest_id", "result", "verification_date")
+    rows = matters.children_newest_first(manifests, checks, "manifest_id", "verification_date", "result")
+    return rows.select("manifest_id", "is_sealed", "result", F.date_format("verification_date", "yyyy-MM-dd").alias("verified_on"))
+
+
+@query(
+    "shard_checkpoints",
+    """SELECT s.shard_id, c.checkpoint_id, c.checkpoint_type FROM (SELECT DISTINCT user_id + 1 AS shard_id FROM events) s
+       LEFT JOIN checkpoints c ON s.shard_id = c.shard_id""",
+)
+def shard_checkpoints(spark, sf_dir):
+    shards = domain.table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("shard_id")).distinct()
+    stored = domain.checkpoints(spark, sf_dir).select("shard_id", "checkpoint_id", "checkpoint_type")
+    return matters.with_children(shards, stored, "shard_id")
 
 
 @query(

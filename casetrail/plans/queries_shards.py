@@ -135,12 +135,47 @@ _SHARD_TABLE_SQL = f"""
          count(*) FILTER (WHERE status IN ('Pending', 'Assigned')) AS pending_shards,
          round(avg(progress), 6) AS overall_progress, CAST(sum(processed_items) AS BIGINT) AS items_processed,
          CAST(sum(processed_bytes) AS BIGINT) AS bytes_processed, CAST(sum(estimated_items) AS BIGINT) AS estimated_items,
-         CAST(sum(estimated_bytes) AS BIGINT) AS estimated_bytes
+         CAST(sum(estimated_bytes) AS BIGINT) AS estimated_bytes,
+         CAST(CASE WHEN sum(processed_items) > 0 THEN floor(86400 * 30.0 * (greatest(sum(estimated_items) - sum(processed_items), 0) / sum(processed_items))) END AS BIGINT)
+           AS remaining_seconds
        FROM ({_SHARD_TABLE_SQL}) GROUP BY 1""",
 )
 def job_progress(spark, sf_dir):
-    rows = shards.job_progress(_shard_table(spark, sf_dir))
-    return rows.drop("remaining_items_ratio").withColumn("overall_progress", F.round("overall_progress", 6))
+    # Thirty days after the shards were created.
+    rows = shards.job_progress(_shard_table(spark, sf_dir), domain.instant("2024-07-01 00:00:00"))
+    return rows.drop("estimated_completion").withColumn("overall_progress", F.round("overall_progress", 6))
+
+
+_WINDOW_ESTIMATES = """CASE job_type WHEN 'Email' THEN 5 WHEN 'OneDrive' THEN 10 WHEN 'SharePoint' THEN 20 WHEN 'Teams' THEN 2 WHEN 'Mixed' THEN 25 ELSE 1 END
+  * CAST(1073741824 AS BIGINT)"""
+
+
+@query(
+    "shard_routes",
+    f"""SELECT job_id, custodian, shard_index, CASE WHEN b + 85899345920 < 107374182400 THEN 'GraphApi' ELSE 'GraphDataConnect' END AS route,
+         CASE WHEN b + 85899345920 < 107374182400 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS route_confidence
+       FROM (SELECT *, {_WINDOW_ESTIMATES} AS b FROM windows)""",
+)
+def shard_routes(spark, sf_dir):
+    """Every shard of a plan with its route, 80 GiB of the quota being used."""
+    rows = shards.plan_shards(domain.shard_requests(spark, sf_dir), domain.instant(domain.CREATED), used_bytes=F.lit(80 << 30))
+    return rows.select("job_id", "custodian", "shard_index", "route", F.col("route_confidence").cast("double").alias("route_confidence"))
+
+
+@query(
+    "shard_size_split",
+    f"""WITH w AS (SELECT *, {_WINDOW_ESTIMATES} AS b, CAST(floor((epoch_us(to_date) - epoch_us(from_date)) / 86400000000.0) AS BIGINT) AS days FROM windows),
+         p AS (SELECT *, CAST(least(greatest(ceil(b / 4294967296.0), 1), greatest(days, 1)) AS BIGINT) AS parts FROM w)
+       SELECT job_id, custodian, shard_index, part, CAST(b // parts + CASE WHEN part < b % parts THEN 1 ELSE 0 END AS BIGINT) AS estimated_bytes,
+         strftime(make_timestamp(CAST(epoch_us(from_date) + (epoch_us(to_date) - epoch_us(from_date)) * part // parts AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS start_date
+       FROM (SELECT *, CAST(unnest(range(parts)) AS INTEGER) AS part FROM p)""",
+)
+def shard_size_split(spark, sf_dir):
+    """Shards above 4 GiB in parts."""
+    options = ShardOptions(max_shard_bytes=4 << 30, max_shard_items=1 << 40)
+    planned = shards.plan_shards(domain.shard_requests(spark, sf_dir), domain.instant(domain.CREATED))
+    rows = shards.split_by_size(planned, options)
+    return rows.select("job_id", "custodian", "shard_index", "part", "estimated_bytes", stamp("start_date").alias("start_date"))
 
 
 @query(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Folders of local sessions without the setting, by application.
+# Folders of local sessions without the setting, by application; removed when the process ends.
 _LOCAL_FOLDERS: dict[str, str] = {}
+# Folders handed out to each application, which ``release`` removes.
+_HANDED_OUT: dict[str, list[str]] = {}
 
 
 def workspace_root(spark: SparkSession) -> str:
@@ -27,13 +31,24 @@ def workspace_root(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FOLDERS:
             _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="casetrail-")
+            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
         return _LOCAL_FOLDERS[app]
     raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the workspace; never reused, so never overwritten."""
-    return f"{workspace_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the folders handed out to this application, once nothing reads them any more; how many there were."""
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove_folder(spark, path)
+    return len(paths)
 
 
 def _statuses(spark: SparkSession, pattern: str):

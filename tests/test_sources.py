@@ -278,3 +278,13 @@ def test_tables_and_empty_file(spark, tmp_path):
     spark.createDataFrame([], schemas.CHECKPOINT).write.parquet(str(tmp_path / "db" / "checkpoints"))
     assert datasets.read_table(spark, str(tmp_path / "db"), "checkpoints").columns == schemas.CHECKPOINT.fieldNames()
     assert manifests.read_manifest(spark, put(tmp_path / "e.csv", ""))[0].count() == 0
+
+
+def test_folders_are_released(spark, tmp_path):
+    from casetrail import workspace
+
+    workspace._HANDED_OUT.pop(spark.sparkContext.applicationId, None)
+    path = workspace.new_folder(spark, "short")
+    spark.range(3).write.parquet(path)
+    assert workspace.release(spark) == 1 and workspace.release(spark) == 0
+    assert not workspace.has_names(spark, path)
