@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casetrail.llm.arrays import Words, mix, span_hashes, text_bytes
 from casetrail.llm.common import cut
-from casetrail.llm.components import connected_components
+from casetrail.llm.components import connected_components, merge_components
 
 SHINGLE = 5
 #: Links have ``100 * intersection >= PERCENT * union``.
@@ -283,8 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text")).join(in_buckets, "id", "left_semi")
     sets = cut(shingle_sets(texts))
 
-    links = cut(confirm(pairs, sketches, sets).unionByName(shared))
-    done = connected_components(links)
+    done = connected_components(confirm(pairs, sketches, sets).unionByName(shared))
     rounds = 0
     while True:
         located = members.select("key", "id").join(done, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -310,8 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         final = rounds >= HEAD_ROUNDS
         rounds += 1
         if not more.isEmpty():
-            links = links.unionByName(more)
-            done = connected_components(links)
+            done = merge_components(done, more)
         if final:
             break
     labelled = of_row.join(done.select(F.col("id").alias("node"), "component"), "node", "left").select(

@@ -7,7 +7,7 @@ import pytest
 from cases import SCHEMA, components, edge_rows, frame, ordered, prose, repeated_strings, repeated_windows, shingle_set
 
 from casetrail.llm import exchange, neardup, suffixes
-from casetrail.llm.components import connected_components
+from casetrail.llm.components import connected_components, merge_components
 from casetrail.llm.neardup import near_duplicates
 from casetrail.llm.suffixes import merge_runs, remove_repeated_strings
 from casetrail.llm.windows import remove_repeated_windows
@@ -124,6 +124,13 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_merge(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = connected_components(edges([(1, 2), (3, 4), (5, 6)]))
+    got = dict(merge_components(labels, edges([(4, 2), (9, 6), (7, 8), (1, 2)])).collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 7: 7, 8: 7}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_windows(empty).isEmpty()
