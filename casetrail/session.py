@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+# Applications whose workers have been given the package.
+_SHIPPED: set[str] = set()
+
 # Runtime settings only, so that they can also be applied to a session that a
 # cluster launcher has already built. Sizes of shuffles are left to AQE.
 RUNTIME_SETTINGS = {
@@ -26,6 +35,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run: once for each application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    # Served from the driver for as long as it runs, like any file given to a session.
+    folder = Path(tempfile.mkdtemp(prefix="casetrail-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / f"{package.name}-package.zip", "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(folder / f"{package.name}-package.zip"))
+    _SHIPPED.add(context.applicationId)
+
+
 def build_session(master: str | None = None, app_name: str = "casetrail", **conf: str) -> SparkSession:
     """Create a session; extra settings are given as ``{"spark.x": "y"}``."""
     builder = SparkSession.builder.appName(app_name)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from casetrail import schemas
 from casetrail.functions import paths
+from casetrail.session import ship
 from casetrail.sources.lines import json_values, placed_lines
 
 _CORRUPT = "_corrupt_record"
@@ -56,6 +57,7 @@ def read_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     Only the listing goes through Spark's reader. The files are spread by name, and each is
     read in blocks of a fixed size where it is hashed, so a task's memory does not depend on a file's length.
     """
+    ship(spark)
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
