@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.arrays import text_bytes
+from casetrail.session import ship
 
 Q = 8
 #: Items are compared as pieces of this many bytes that overlap by half, so a leaked half of an item is found.
@@ -206,6 +207,7 @@ def contaminated_regions(
     their names cannot clash; the result is (id, ``kept``, ``regions``).
     """
     spark = docs.sparkSession
+    ship(spark)
     result = docs.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from casetrail.session import ship
 
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 4 << 20
@@ -30,6 +31,7 @@ class Layout:
 
 def layout(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Layout:
     """Two totals of the table are read to size the plan; they don't change results."""
+    ship(docs.sparkSession)
     sums = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     n_bytes = int(sums["n"] or 0)
     # Larger inputs get larger chunks, so that packed rows do not become too small.

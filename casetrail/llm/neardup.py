@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casetrail.llm.arrays import Words, mix, span_hashes, text_bytes
 from casetrail.llm.common import cut
 from casetrail.llm.components import connected_components, merge_components
+from casetrail.session import ship
 
 SHINGLE = 5
 #: Links have ``100 * intersection >= PERCENT * union``.
@@ -259,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Result: id, ``n_shingles``, ``component_id``, ``kept`` (the row's id is its component's).
     """
+    ship(docs.sparkSession)
     rows = cut(signatures(docs, id_col, text_col))
     nodes = rows.where("n_shingles > 0")
     # Rows with equal sets: the smallest id stands for all; hot sets are aggregated before the join.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.common import cut
+from casetrail.session import ship
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -170,6 +171,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Result: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans`` (text), ``found``: an array of
     (start, kind, end, action).
     """
+    ship(docs.sparkSession)
     found = cut(scan(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id()))
     disclosing = disclosing_terms(found, docs, text_col)
     extra = (

@@ -7,6 +7,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from casetrail.session import ship
 
 # A group of at least this fraction of a shard is scheduled on its own, so at most SHARE groups a shard are.
 SHARE = 512
@@ -45,6 +46,7 @@ def shard_by_size(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     allowed. An empty table gives no rows. Only the id and text columns are read, so other columns
     may have any name. Result: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("__id"),

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from casetrail.session import ship
 
 #: Texts of more characters than this are encoded in chunks of this length.
 CHUNK = 1 << 16
@@ -184,6 +185,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             counts = pa.array(counter.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["id", "n_bytes", "n_tokens"])
 
+    ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     kind = chosen.schema["id"].dataType.simpleString()
     counted = chosen.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
