@@ -131,7 +131,9 @@ def job_sessions(spark, sf_dir):
 def stream_job_sessions(spark, sf_dir):
     stream = lifecycle.job_sessions(domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir), 360)
     table = lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), 360)
-    return _shown_sessions(run_append(spark, stream, table, F.col("session_end"), "sessions"))
+    # From the last event, not from the window: a filter on the window would be applied to events before they are merged.
+    end = F.col("last_event_at") + F.expr("INTERVAL 6 HOURS")
+    return _shown_sessions(run_append(spark, stream, table, end, "sessions"))
 
 
 @query(
