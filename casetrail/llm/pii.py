@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.common import cut
@@ -21,12 +24,28 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+
+
+def _letters(first: int, end: int) -> str:
+    """The letters and combining marks of a range of code points, as ranges of a character class."""
+    codes = [c for c in range(first, end) if unicodedata.category(chr(c))[0] in "LM"]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(codes), lambda x: x[1] - x[0])]
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
+# The one definition of a term, three letters or marks, for documents and vocabulary alike. Python looks
+# up classes in a table only below U+10000, so the rest is left out where a text does not need it.
+_TERM, _TERM_BMP = (re.compile(f"[{_letters(0, end)}]{{3,}}") for end in (0x110000, 0x10000))
+
+
+def pattern_of(text: str) -> re.Pattern:
+    return _TERM_BMP if text.isascii() or max(text) < "\U00010000" else _TERM
+
 
 #: Terms on each side of a protected value that count as its context.
 REACH = 8
-#: Different contexts in which a term must stand beside a value before it can disclose it.
-LEAST_CONTEXTS = 3
+#: Documents without any link of term and value that are added to those seen, so that a few meetings by chance tell less.
+PRIOR = 4
 #: Shares of the value's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.7, 0.9
 
@@ -75,29 +94,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def contexts_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, str, int, int]]:
-    """(value, context, term, start, end) for the terms around each base match.
-
-    The value is a digest of the matched text, the context one of the terms around it, so copies of
-    a passage are one context.
-    """
-    found = []
+def contexts_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str | None, int, int]]:
+    """(value, term, start, end) for the terms around each base match, and one without a term; the value is a digest of the match."""
+    found, terms_of = [], pattern_of(text)
     for start, kind, end in spans:
         # A term has a few dozen characters at most; longer ones simply leave fewer in reach.
         low, high = max(0, start - 64 * REACH), end + 64 * REACH
-        before = [m.span() for m in _TERM.finditer(text, low, start)][-REACH:]
-        after = [m.span() for m in _TERM.finditer(text, end, min(high, len(text)))][:REACH]
+        before = [m.span() for m in terms_of.finditer(text, low, start)][-REACH:]
+        after = [m.span() for m in terms_of.finditer(text, end, min(high, len(text)))][:REACH]
         around = [(s, e) for s, e in before + after if not any(a < e and s < b for a, _, b in spans)]
         terms = [text[s:e].lower() for s, e in around]
         value = hashlib.blake2b(f"{kind}:{text[start:end]}".encode(), digest_size=12).hexdigest()
-        context = hashlib.blake2b(" ".join(sorted(set(terms))).encode(), digest_size=12).hexdigest()
-        found += [(value, context, term, s, e) for term, (s, e) in zip(terms, around)]
-        found.append((value, context, None, start, end))
+        found += [(value, term, s, e) for term, (s, e) in zip(terms, around)]
+        found.append((value, None, start, end))
     return found
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CONTEXT = pa.struct([("value", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_CONTEXT = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +123,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 own = base_spans(text) if text else []
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-                contexts.append([dict(zip(("value", "context", "term", "start", "end"), c)) for c in contexts_of(text, own)] if own else [])
+                contexts.append([dict(zip(("value", "term", "start", "end"), c)) for c in contexts_of(text, own)] if own else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(contexts, pa.list_(_CONTEXT))], ["id", "spans", "contexts"]
             )
@@ -119,42 +133,43 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chosen.mapInArrow(
         run,
         f"id {kind}, spans array<struct<start:long,kind:int,end:long>>, "
-        "contexts array<struct<value:string,context:string,term:string,start:long,end:long>>",
+        "contexts array<struct<value:string,term:string,start:long,end:long>>",
     )
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(``value``, ``term``, ``share``) of the terms that disclose a protected value.
+def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
+    """(``term``, ``df_term``): how many rows have each term."""
 
-    The information of a value is ``log2(D / df(value))`` for D rows; what a term tells of it
-    is ``log2(D * df(value, term) / (df(value) * df(term)))``. The share is their quotient, 1 where the
-    value stands beside every occurrence of the term.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update({w.lower() for w in set(pattern_of(text).findall(text))} if text else ())
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+
+
+def share_told(rows: Column, both: Column, df_value: Column, df_term: Column) -> Column:
+    """How much of a value's information ``log2(rows / df_value)`` a term tells.
+
+    A term tells ``log2(P(value | term) / P(value))``. The estimate of ``P(value | term)`` is shrunk by ``PRIOR``
+    documents with the term in which the value is as common as anywhere, so no pair is left out for being rare, and
+    one meeting tells less than several. Null for a value that every row has.
     """
-    near = found.select("__row", F.explode("contexts").alias("c")).select("__row", "c.value", "c.context", "c.term")
+    everywhere = df_value / rows
+    given = (F.least(both, df_value, df_term) + PRIOR * everywhere) / (df_term + PRIOR)
+    return F.when(everywhere < 1, F.log2(given / everywhere) / -F.log2(everywhere))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(``value``, ``term``, ``share``) of the terms that disclose a protected value, see ``share_told``."""
+    near = found.select("__row", F.explode("contexts").alias("c")).select("__row", "c.value", "c.term")
     values = near.where("term IS NULL").select("__row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("df_value"))
-    together = (
-        near.where("term IS NOT NULL")
-        .groupBy("value", "term", "context", "__row")
-        .agg(F.lit(1).alias("n"))
-        .groupBy("value", "term", "context")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value", "term")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
-        .where(F.col("contexts") >= LEAST_CONTEXTS)
-    )
-    # The whole vocabulary is counted before it meets the candidates, so frequent words are one row a task.
-    letters = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)([\p{L}\p{M}]{3,})"), 1)
-    vocabulary = docs.select(F.explode(F.array_distinct(letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    together = near.where("term IS NOT NULL").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    told = together.join(vocabulary, "term").join(values, "value").withColumn("rows", total)
-    information = F.log2(F.col("rows") / F.col("df_value"))
-    told = told.withColumn(
-        "share",
-        F.when(
-            information > 0,
-            F.log2(F.col("rows") * F.least("n", "df_term", "df_value") / (F.col("df_value") * F.col("df_term"))) / information,
-        ),
-    )
+    told = together.join(vocabulary(docs, text_col), "term").join(values, "value").withColumn("rows", total)
+    told = told.withColumn("share", share_told(F.col("rows"), F.col("n"), F.col("df_value"), F.col("df_term")))
     return told.where(F.col("share") >= GENERALISE).select("value", "term", "share")
 
 
@@ -162,8 +177,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base matches of every row and the terms around them that disclose the matched values.
 
     A term (three letters or more) within eight terms of a protected value discloses it if it
-    stands beside it in at least three different contexts and tells 70 % of its information;
-    from 90 % on it is to be removed, below generalised. Statistics cover all rows.
+    tells 70 % of its information; from 90 % on it is to be removed, below generalised. Every pair of
+    a value and a term is judged, however rare. Statistics cover all rows.
 
     Null texts are empty and have no spans. Repeated rows each have their own. An empty table gives
     no rows. Only the id and text columns are read, so others may have any name.

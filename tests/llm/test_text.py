@@ -166,6 +166,23 @@ def test_personal_data(spark):
     assert terms == {"zaphod", "writes"} and got[701]["n_ip"] == 1 and not got[700]["found"]
 
 
+def rare_rows(n=400):
+    """Plain rows of two common words each, and names beside a value that stands once or twice."""
+    rng = random.Random(29)
+    rows = [(k, " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(12)), "en", "a") for k in range(n)]
+    rows += [(5000, "alpha beta quillon wrote from q@mail.org beta", "en", "a"), (5001, "gamma quillon wrote from q@mail.org delta", "en", "a")]
+    return rows + [(5002, "alpha beta tre\u0301moux 10.1.2.3 gamma", "en", "a")]
+
+
+def test_values_seen_once_or_twice_are_judged(spark):
+    rows = rare_rows()
+    texts = {r[0]: r[1] for r in rows}
+    got = personal_data(frame(spark, rows)).collect()
+    marked = {(r["doc_id"], texts[r["doc_id"]][f["start"] : f["end"]]) for r in got for f in r["found"] if f["kind"] == "term"}
+    # A letter with a combining mark is one term on both sides, and the common words tell nothing.
+    assert marked == {(i, w) for i in (5000, 5001) for w in ("quillon", "wrote", "from")} | {(5002, "tre\u0301moux")}
+
+
 def test_sanitised_texts(spark):
     rows = [r for r in private_rows() if r[0] is not None and r[0] not in (12,)]
     got = {r["doc_id"]: r["text"] for r in sanitised(frame(spark, rows)).collect()}
