@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,14 @@ def pattern_of(text: str) -> re.Pattern:
     return _TERM_BMP if text.isascii() or max(text) < "\U00010000" else _TERM
 
 
-#: Terms on each side of a protected value that count as its context.
-REACH = 8
 #: Documents without any link of term and value that are added to those seen, so that a few meetings by chance tell less.
 PRIOR = 4
+#: Bits of the filter of disclosing terms: so many a term, and no more than so many in all.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
+#: Bits set for a term.
+PROBES = 4
+#: Words whose numbers a worker remembers.
+REMEMBERED = 1 << 19
 #: Shares of the value's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.7, 0.9
 
@@ -94,60 +99,72 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def contexts_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str | None, int, int]]:
-    """(value, term, start, end) for the terms around each base match, and one without a term; the value is a digest of the match."""
-    found, terms_of = [], pattern_of(text)
-    for start, kind, end in spans:
-        # A term has a few dozen characters at most; longer ones simply leave fewer in reach.
-        low, high = max(0, start - 64 * REACH), end + 64 * REACH
-        before = [m.span() for m in terms_of.finditer(text, low, start)][-REACH:]
-        after = [m.span() for m in terms_of.finditer(text, end, min(high, len(text)))][:REACH]
-        around = [(s, e) for s, e in before + after if not any(a < e and s < b for a, _, b in spans)]
-        terms = [text[s:e].lower() for s, e in around]
-        value = hashlib.blake2b(f"{kind}:{text[start:end]}".encode(), digest_size=12).hexdigest()
-        found += [(value, term, s, e) for term, (s, e) in zip(terms, around)]
-        found.append((value, None, start, end))
-    return found
+_SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+_PLACES = pa.struct([("term", pa.int64()), ("at", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-_SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CONTEXT = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+def terms_in(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms that no base match touches; ``spans`` are sorted by start."""
+    at, reached = 0, 0
+    for m in pattern_of(text).finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][0] < end:
+            reached = max(reached, spans[at][2])
+            at += 1
+        if start >= reached:
+            yield m.group(), start, end
+
+
+def distinct_terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    words = {w for w, _, _ in terms_in(text, spans)} if spans else set(pattern_of(text).findall(text))
+    return {w.lower() for w in words}
+
+
+def number_of(term: str) -> int:
+    """A term as 64 bits, by which it is counted and joined."""
+    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class Numbers(dict):
+    """Numbers of the terms met; forgotten when there are too many."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[term] = number = number_of(term)
+        return number
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Base spans and the contexts of protected values for every row."""
+def protected(docs: DataFrame, text_col: str) -> DataFrame:
+    """``values`` and ``terms``, each distinct, of the rows that show a protected value; a value is a digest of the match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
         for batch in batches:
-            spans, contexts = [], []
-            for text in batch.column(1).to_pylist():
+            values, terms = [], []
+            for text in batch.column(0).to_pylist():
                 own = base_spans(text) if text else []
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-                contexts.append([dict(zip(("value", "term", "start", "end"), c)) for c in contexts_of(text, own)] if own else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(contexts, pa.list_(_CONTEXT))], ["id", "spans", "contexts"]
-            )
+                if own:
+                    shown = {f"{kind}:{text[start:end]}" for start, kind, end in own}
+                    values.append([hashlib.blake2b(v.encode(), digest_size=12).hexdigest() for v in sorted(shown)])
+                    terms.append([numbers[t] for t in distinct_terms(text, own)])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], ["values", "terms"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(
-        run,
-        f"id {kind}, spans array<struct<start:long,kind:int,end:long>>, "
-        "contexts array<struct<value:string,term:string,start:long,end:long>>",
-    )
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "values array<string>, terms array<long>")
 
 
 def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
     """(``term``, ``df_term``): how many rows have each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                counts.update({w.lower() for w in set(pattern_of(text).findall(text))} if text else ())
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+                counts.update([numbers[t] for t in distinct_terms(text, base_spans(text))] if text else ())
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
 
 
 def share_told(rows: Column, both: Column, df_value: Column, df_term: Column) -> Column:
@@ -162,23 +179,98 @@ def share_told(rows: Column, both: Column, df_value: Column, df_term: Column) ->
     return F.when(everywhere < 1, F.log2(given / everywhere) / -F.log2(everywhere))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(``value``, ``term``, ``share``) of the terms that disclose a protected value, see ``share_told``."""
-    near = found.select("__row", F.explode("contexts").alias("c")).select("__row", "c.value", "c.term")
-    values = near.where("term IS NULL").select("__row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("df_value"))
-    together = near.where("term IS NOT NULL").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n"))
+def disclosing_terms(docs: DataFrame, text_col: str) -> DataFrame:
+    """(``term``, ``share``) of the terms that disclose a protected value, see ``share_told``; the largest share of each.
+
+    A term and a value meet in a row that has both. Values that stand in the same rows are told alike by
+    every term, so they are judged as one.
+    """
+    seen = cut(protected(docs, text_col).withColumn("__row", F.monotonically_increasing_id()))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    told = together.join(vocabulary(docs, text_col), "term").join(values, "value").withColumn("rows", total)
-    told = told.withColumn("share", share_told(F.col("rows"), F.col("n"), F.col("df_value"), F.col("df_term")))
-    return told.where(F.col("share") >= GENERALISE).select("value", "term", "share")
+    shown = seen.select("__row", F.explode("values").alias("value"))
+    # The set of rows of a value as 128 bits, whatever their order.
+    where = [F.expr("bit_xor(xxhash64(__row))").alias("a"), F.expr("bit_xor(xxhash64(1, __row))").alias("b")]
+    values = shown.groupBy("value").agg(F.count(F.lit(1)).alias("df_value"), *where)
+    kinds = (
+        shown.join(values, "value")
+        .groupBy("__row")
+        .agg(F.collect_set(F.struct("a", "b", "df_value")).alias("kinds"))
+        .withColumnRenamed("__row", "__kinds_row")
+    )
+    terms = seen.select("__row", F.explode("terms").alias("term")).join(vocabulary(docs, text_col), "term").withColumn("rows", total)
+    met = terms.join(kinds, F.col("__row") == F.col("__kinds_row"))
+    # Pairs that would stay below the threshold even if the two met in every row of the value are not counted.
+    able = F.filter("kinds", lambda k: share_told(F.col("rows"), k["df_value"], k["df_value"], F.col("df_term")) >= GENERALISE)
+    pairs = met.select("rows", "term", "df_term", F.explode(able).alias("kind")).groupBy("kind", "term", "df_term", "rows").agg(F.count(F.lit(1)).alias("n"))
+    share = share_told(F.col("rows"), F.col("n"), F.col("kind.df_value"), F.col("df_term"))
+    return pairs.select("term", share.alias("share")).where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def term_filter(disclosing: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms, of bounded size: it spares others the exact join and never leaves out one of them."""
+    n = disclosing.count()
+    bits = 64
+    while bits < min(n * FILTER_BITS, MOST_FILTER_BITS):
+        bits *= 2
+    low, high = F.col("term").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("term", 32)
+    probes = F.array(*[(low + k * high).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)])
+    words = (
+        disclosing.select(F.explode(probes).alias("at"))
+        .select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS INT))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    filled = np.zeros(bits // 64, np.int64)
+    filled[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return np.unpackbits(filled.astype("<i8").view(np.uint8), bitorder="little")
+
+
+def scan(docs: DataFrame, id_col: str, text_col: str, filled: np.ndarray) -> DataFrame:
+    """Base spans of every row, and where each term that passes the filter stands in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value)
+        mask = len(bits) - 1
+
+        class Passing(Numbers):
+            """The number of a term that passes, else None."""
+
+            def __missing__(self, term: str) -> int | None:
+                number = super().__missing__(term)
+                low, high = number & 0xFFFFFFFF, (number >> 32) & 0xFFFFFFFF
+                if not all(bits[(low + k * high) & mask] for k in range(PROBES)):
+                    self[term] = number = None
+                return number
+
+        passing = Passing()
+        for batch in batches:
+            spans, terms = [], []
+            for text in batch.column(1).to_pylist():
+                own = base_spans(text) if text else []
+                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
+                at: dict[int, list[dict]] = {}
+                for word, start, end in terms_in(text, own) if text else ():
+                    number = passing[word.lower()]
+                    if number is not None:
+                        at.setdefault(number, []).append({"start": start, "end": end})
+                terms.append([{"term": t, "at": places} for t, places in at.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(terms, pa.list_(_PLACES))], ["id", "spans", "terms"])
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = chosen.schema["id"].dataType.simpleString()
+    return chosen.mapInArrow(
+        run, f"id {kind}, spans array<struct<start:long,kind:int,end:long>>, terms array<struct<term:long,at:array<struct<start:long,end:long>>>>"
+    )
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base matches of every row and the terms around them that disclose the matched values.
+    """Base matches of every row and the terms that disclose a matched value of any row.
 
-    A term (three letters or more) within eight terms of a protected value discloses it if it
-    tells 70 % of its information; from 90 % on it is to be removed, below generalised. Every pair of
-    a value and a term is judged, however rare. Statistics cover all rows.
+    A term (three letters or more) discloses a protected value if its standing in a row tells 70 % of the
+    value's information; from 90 % on it is to be removed, below generalised, wherever it stands in any
+    row. Every pair of a value and a term of one row is judged, however rare. Statistics cover all rows.
 
     Null texts are empty and have no spans. Repeated rows each have their own. An empty table gives
     no rows. Only the id and text columns are read, so others may have any name.
@@ -187,20 +279,18 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (start, kind, end, action).
     """
     ship(docs.sparkSession)
-    found = cut(scan(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id()))
-    disclosing = disclosing_terms(found, docs, text_col)
+    disclosing = cut(disclosing_terms(docs, text_col))
+    found = cut(scan(docs, id_col, text_col, term_filter(disclosing)).withColumn("__row", F.monotonically_increasing_id()))
+    action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
+    places = F.transform("at", lambda p: F.struct(p["start"].alias("start"), F.lit(4).alias("kind"), p["end"].alias("end"), action.alias("action")))
     extra = (
-        found.select("__row", F.explode("contexts").alias("c"))
-        .where("c.term IS NOT NULL")
-        .select("__row", "c.value", "c.term", "c.start", "c.end")
-        .join(disclosing, ["value", "term"])
-        .groupBy("__row", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .select("__row", F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action")).alias("span"))
+        found.select("__row", F.explode("terms").alias("t"))
+        .select("__row", "t.term", "t.at")
+        .join(disclosing, "term")
         .groupBy("__row")
-        .agg(F.collect_list("span").alias("extra"))
+        .agg(F.flatten(F.collect_list(places)).alias("extra"))
     )
-    joined = found.drop("contexts").join(extra, "__row", "left")
+    joined = found.drop("terms").join(extra, "__row", "left")
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def listed(spans):

@@ -183,6 +183,19 @@ def test_values_seen_once_or_twice_are_judged(spark):
     assert marked == {(i, w) for i in (5000, 5001) for w in ("quillon", "wrote", "from")} | {(5002, "tre\u0301moux")}
 
 
+def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
+    rng = random.Random(30)
+    plain = lambda n: " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(n))
+    rows = [(k, plain(12), "en", "a") for k in range(400)]
+    # The name stands a hundred terms from the value, twice, and once where the value is not.
+    rows += [(k, f"quillon {plain(100)} q@mail.org {plain(100)} Quillon", "en", "a") for k in range(5000, 5006)]
+    rows.append((5006, f"{plain(30)} quillon {plain(3)}", "en", "a"))
+    got = {r["doc_id"]: [(f["start"], f["end"]) for f in r["found"] if f["kind"] == "term"] for r in personal_data(frame(spark, rows)).collect()}
+    for doc_id, text, *_ in rows:
+        assert got[doc_id] == [m.span() for m in re.finditer("(?i)quillon", text)]
+    assert "uillon" not in "".join(r["text"] for r in sanitised(frame(spark, rows)).collect())
+
+
 def test_sanitised_texts(spark):
     rows = [r for r in private_rows() if r[0] is not None and r[0] not in (12,)]
     got = {r["doc_id"]: r["text"] for r in sanitised(frame(spark, rows)).collect()}
