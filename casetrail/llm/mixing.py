@@ -212,8 +212,9 @@ def mix_sources(
     # Where the first, second, ... draw of a block stands in its source's permuted list of draws.
     ticket = Window.partitionBy("source").orderBy("t_order", "block", "copy")
     tickets = (
-        blocks.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("tickets").cast("int"))).alias("copy"))
-        .where("copy > 0")
+        # A sequence from 1 to 0 would count down.
+        blocks.where("tickets > 0")
+        .select("source", "block", F.explode(F.sequence(F.lit(1), F.col("tickets").cast("int"))).alias("copy"))
         .withColumn("t_order", F.xxhash64(F.lit(seed), F.lit("ticket"), F.col("source"), F.col("block"), F.col("copy")))
         .withColumn("at", F.row_number().over(ticket) - 1)
         .join(ends, F.col("source").eqNullSafe(F.col("e_source")))

@@ -125,6 +125,27 @@ def test_mix_of_many_blocks(spark, monkeypatch):
     assert {d["shard"] for r in got for d in r["draws"]} <= set(range(8))
 
 
+def test_blocks_that_are_not_taken_have_no_draws(spark, monkeypatch):
+    """A source of many blocks, far above its target, fills exactly the places that the tree gives it."""
+    from casetrail.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(mixing, "TOTAL_SHARE", 0.3)
+    asked = []
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, *a: asked.append((quotas, a)) or splitting_tree(quotas, *a))
+    # Rows of one word, so every drawn block shows in the draws of its rows.
+    docs = frame(spark, [(k, "word", "en", "hot" if k < 300 else "rare") for k in range(330)])
+    n_blocks = F.when(F.col("source") == "hot", 300).otherwise(30)
+    block_of = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), n_blocks)).collect()}
+    got = mix_sources(docs, n_shards=4).collect()
+    drawn = {(r["source"], block_of[r["doc_id"]], d["shard"]) for r in got for d in r["draws"]}
+    assert {shard for _, _, shard in drawn} == set(range(4))
+    plan = {(r["source"], r["shard"]): r["n"] for r in splitting_tree(asked[0][0], *asked[0][1]).collect()}
+    assert sum(n for (source, _), n in plan.items() if source == "hot") < 100
+    counts = {key: sum((source, shard) == key for source, _, shard in drawn) for key in plan}
+    assert counts == plan
+
+
 def test_splitting_tree_meets_quotas_exactly(spark):
     quotas = [("a", 500), ("b", 40), ("c", 3), ("d", 0), (None, 70)]
     row = spark.createDataFrame([(quotas,)], "quotas array<struct<source:string,n:long>>")
