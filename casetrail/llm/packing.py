@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.llm.arrays import SPACE, Words, text_bytes
+from casetrail.llm.arrays import LOWER, SPACE, Words, text_bytes
 from casetrail.llm.common import cut
 from casetrail.session import ship
 
@@ -20,35 +22,84 @@ SEQUENCE, END = 4096, 1
 OPEN_BINS = 1024
 #: Pieces packed by one stream, on average, and streams whose open bins are packed again together.
 STREAM_ROWS, FAN_IN = 1 << 16, 64
-#: Words a Python worker remembers, words it encodes at a time, and bytes of text it takes at a time.
-REMEMBERED, ENCODED, PART = 400_000, 20_000, 1 << 22
+#: Pieces a Python worker remembers, pieces it encodes at a time, and bytes of text it takes at a time.
+REMEMBERED, ENCODED, PART = 600_000, 20_000, 1 << 22
+# The pre-tokenizer whose pieces are known, and characters that it never joins to letters; fixed values.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = np.zeros(256, bool)
+_MARKS[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 # A sequence's number holds the round, the stream and the bin.
 _ROUND, _STREAM = 1 << 58, 1 << 24
 
 
+class Pieces(Words):
+    """Words cut further where a letter or digit of ASCII meets one of the characters ``marks``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, marks: np.ndarray):
+        super().__init__(data, offsets)
+        meets = np.zeros(len(data) + 1, bool)
+        if len(data):
+            meets[1:-1] = (_ALNUM[data[:-1]] & marks[data[1:]]) | (marks[data[:-1]] & _ALNUM[data[1:]])
+        meets[offsets] = False
+        at = np.flatnonzero(meets)
+        self.starts = np.sort(np.concatenate([self.starts, at]))
+        self.ends = np.sort(np.concatenate([self.ends, at]))
+        self.first = np.searchsorted(self.starts, offsets)
+
+
 class WordIds:
-    """Token ids of texts, by encoding each distinct word once.
+    """Token ids of texts, by encoding each distinct piece of a word once.
 
-    For tokenizers that drop white space and never join characters across it, so that the ids of a
-    text are those of its words one after the other.
+    For tokenizers whose pre-tokenizer keeps runs of letters, single digits and runs of other visible characters apart
+    and drops white space: pieces cut at such borders are encoded independently, so the ids of a text are those of its pieces one after
+    the other. No cut is made at characters of added tokens or at an apostrophe, which may belong together with letters.
+    Texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        """Slot 0 is the end of a document."""
+        with open(path, encoding="utf-8") as file:
+            declared = json.load(file)
+        kinds = lambda part: [x["type"] for x in ((part or {}).get("normalizers") or (part or {}).get("pretokenizers") or [part or {"type": ""}])]
+        first = ((declared.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        added = declared.get("added_tokens", [])
+        self.by_piece = (
+            kinds(declared.get("normalizer")) == ["NFC", "Replace", "Lowercase"]
+            and first.get("pattern", {}).get("Regex") == _PIECES
+            and first.get("invert")
+            and not any(t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
+        )
+        # Characters of added tokens, which are matched before letters become lower case.
+        self.special = np.zeros(256, bool)
+        self.special[[c for t in added for c in t["content"].encode() if not _ALNUM[c]]] = True
+        self.marks = _MARKS & ~self.special
         self.slots: dict[int, int] = {}
-        self.lengths = np.ones(1, np.int64)
-        self.starts = np.zeros(1, np.int64)
+        # Slot 0 is the end of a document.
+        self.lengths, self.starts, self.used = np.ones(1, np.int64), np.zeros(1, np.int64), np.full(1, 2)
         self.flat = np.full(1, END, np.uint32)
 
+    def forget(self) -> None:
+        """Keep only pieces that more than one part has had."""
+        kept = np.flatnonzero(self.used > 1)
+        place = np.full(len(self.used), -1)
+        place[kept] = np.arange(len(kept))
+        self.slots = {h: k for h, k in zip(self.slots, place[list(self.slots.values())].tolist()) if k >= 0}
+        lengths = self.lengths[kept]
+        before = np.cumsum(lengths) - lengths
+        self.flat = self.flat[np.repeat(self.starts[kept] - before, lengths) + np.arange(int(lengths.sum()))]
+        self.lengths, self.starts = lengths, before
+        # Counted anew, so that what is no longer met goes the next time.
+        self.used = np.ones(len(kept), np.int64)
+        self.used[0] = 2
+
     def learn(self, hashes: list[int], words: list[str]) -> None:
         found: list[list[int]] = []
         for k in range(0, len(words), ENCODED):
@@ -57,37 +108,54 @@ class WordIds:
         self.slots.update(zip(hashes, range(len(self.lengths), len(self.lengths) + len(found))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.uint32)])
+        self.used = np.concatenate([self.used, np.zeros(len(found), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end, and where each text's begin and the last ones end."""
-        words = Words(data, offsets)
-        hashes, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if not self.by_piece:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            found = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
+        lowered = LOWER[data]
+        pieces = Pieces(lowered, offsets, self.marks)
+        odd = np.flatnonzero(self.special[data])
+        for k in np.unique(np.searchsorted(pieces.starts, odd, side="right") - 1).tolist():
+            lowered[pieces.starts[k] : pieces.ends[k]] = data[pieces.starts[k] : pieces.ends[k]]
+        hashes, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         if len(self.slots) > REMEMBERED:
             self.forget()
         keys = hashes.tolist()
         unknown = [k for k, h in enumerate(keys) if h not in self.slots]
         if unknown:
-            raw = data.tobytes()
-            begin, end = words.starts[first], words.ends[first]
+            raw = lowered.tobytes()
+            begin, end = pieces.starts[first], pieces.ends[first]
             self.learn([keys[k] for k in unknown], [raw[begin[k] : end[k]].decode() for k in unknown])
-        slot = np.fromiter((self.slots[h] for h in keys), np.int64, len(keys))[inverse]
-        slot = np.insert(slot, words.first[1:], 0)
+        slot = np.fromiter((self.slots[h] for h in keys), np.int64, len(keys))
+        self.used[slot] += 1
+        slot = np.insert(slot[inverse], pieces.first[1:], 0)
         lengths = self.lengths[slot]
         before = np.cumsum(lengths) - lengths
         ids = self.flat[np.repeat(self.starts[slot] - before, lengths) + np.arange(int(lengths.sum()))]
-        # The end of text k is word first[k + 1] + k of the longer list.
-        ends = before[words.first[1:] + np.arange(len(offsets) - 1)] + 1
+        # The end of text k is piece first[k + 1] + k of the longer list.
+        ends = before[pieces.first[1:] + np.arange(len(offsets) - 1)] + 1
         return ids, np.concatenate([[0], ends])
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """First and last text of parts of about ``PART`` bytes, with their bytes; a longer text is cut at white space."""
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> WordIds:
+    """One for each Python worker, whatever tasks it runs."""
+    return WordIds(path)
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray, may_cut: bool = True) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """First and last text of parts of about ``PART`` bytes, with their bytes; a longer text is cut at white space, if it may be."""
     begin = 0
     while begin < len(offsets) - 1:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PART, side="right")) - 1)
         low, high = int(offsets[begin]), int(offsets[end])
-        if high - low <= 2 * PART:
+        if high - low <= 2 * PART or not may_cut:
             yield begin, end, [(data[low:high], offsets[begin : end + 1] - low)]
         else:
             cuts = [low]
@@ -107,10 +175,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size:
     """(``id``, ``piece``, ``start``, ``length``, ``ids_crc32``) of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for begin, end, segments in _parts(data, offsets):
+            for begin, end, segments in _parts(data, offsets, coder.by_piece):
                 if len(segments) == 1:
                     ids, first = coder.encode(*segments[0])
                 else:
@@ -226,8 +294,7 @@ def pack_texts(
 ) -> DataFrame:
     """Sequence and offset of every piece of every row's tokens.
 
-    A text's tokens are its ids in ``tokenizer`` (a ``.json`` file present on every executor, whose pre-tokenizer drops white
-    space), no special ones added, then id 1. Texts of more than ``size`` tokens are cut into pieces of that many; the last may be
+    A text's tokens are its ids in ``tokenizer`` (a ``.json`` file present on every executor), no special ones added, then id 1. Texts of more than ``size`` tokens are cut into pieces of that many; the last may be
     shorter. Pieces are dealt at random to streams; each stream places them one after the
     other in the fullest of at most ``open_bins`` open sequences that has room, and closes the fullest one when it
     needs another. The sequences still open at the end of 64 streams are then packed as items themselves, round by

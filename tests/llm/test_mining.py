@@ -74,6 +74,7 @@ def test_words_are_encoded_as_the_library_encodes_texts(spark, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 50)
     texts = ["It's <|endoftext|> I'll go é ́x ΣΑΣ İ ﬁ", "", None, " ", "don't\tSTOP\n\n12345 ,.;!? a\x1cb", "x" * 3000, "é€😀 " * 700, "<|startoftext|>" * 90, prose(random.Random(1), 900)]
     coder = WordIds(PATH)
+    assert coder.by_piece
     for data, offsets in [packing.text_bytes(pa.array(texts))]:
         for begin, end, segments in packing._parts(data, offsets):
             found = [coder.encode(*s) for s in segments]
@@ -85,6 +86,33 @@ def test_words_are_encoded_as_the_library_encodes_texts(spark, monkeypatch):
             assert own == [library_ids(t) for t in texts[begin:end]]
 
 
+def test_pieces_cut_inside_words():
+    rng = random.Random(4)
+    signs = ["'s", "'", ",", ".", "-", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "(", "A", "é", "É", "\u0301", "7", "_", "…", "ß", "Fox", "\u00a0", "&&", "'ll", "`", "\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    coder = WordIds(PATH)
+    ids, first = coder.encode(*packing.text_bytes(pa.array(texts)))
+    own = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert coder.by_piece
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [[*e.ids, 1] for e in own]
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = edge_rows()[:12]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    found = pack_texts(frame(spark, rows), path, size=100).collect()
+    lengths = collections.Counter()
+    for r in found:
+        lengths[r["doc_id"]] += r["length"]
+    expected = collections.Counter()
+    for doc_id, text, *_ in rows:
+        expected[doc_id] += len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    assert lengths == expected
+
+
 def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
     bins = OpenBins(10, 2)
     assert bins.place(6) == (0, 0)
