@@ -22,7 +22,7 @@ from casetrail.streaming import delta as delta_stream
 from casetrail.streaming import landing as landing_stream
 from casetrail.streaming import lifecycle, metrics
 from casetrail.streaming import reconcile as reconcile_stream
-from casetrail.workspace import list_names, new_folder, rename_file
+from casetrail.workspace import list_names, new_folder, remove_folder, rename_file
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,26 +136,66 @@ def stream_job_sessions(spark, sf_dir):
     return _shown_sessions(run_append(spark, stream, table, end, "sessions"))
 
 
+def _manifest_files(spark: SparkSession, sf_dir: str, repeat_job: str | None = None) -> dict[str, list[tuple[str, str]]]:
+    """Per side, a manifest file for each custodian and job in a folder of its own: (path, name to land under)."""
+    found = {}
+    for side, rows in (("source", domain.source_manifest(spark, sf_dir)), ("collected", domain.collected_manifest(spark, sf_dir))):
+        if side == "collected" and repeat_job:
+            rows = rows.unionByName(rows.filter(F.col("job_id") == repeat_job))
+        folder = new_folder(spark, f"{side}-parts")
+        # A file for each custodian and job, which are dealt to as many tasks.
+        files.write_manifest_csv(rows.withColumn("owner", F.col("custodian")).repartition("owner", "job_id"), folder, ["owner", "job_id"])
+        found[side] = []
+        for path in list_names(spark, f"{folder}/owner=*/job_id=*/*.csv"):
+            custodian, job = path.split("owner=")[1].split("/")[0], path.split("job_id=")[1].split("/")[0]
+            found[side].append((path, f"{unquote(custodian)}_{job}_{side}.csv"))
+    return found
+
+
+def _land(spark: SparkSession, manifests: list[tuple[str, str]], folder: str) -> None:
+    for path, name in manifests:
+        rename_file(spark, path, f"{folder}/{name}")
+
+
+_COUNTED = ("source_count", "collected_count", "missed_count", "extra_count")
+
+
 @query(
     "stream_reconcile",
     """SELECT job_id AS scope_job_id, source_count, collected_count, missed_count, extra_count FROM recon_counts""",
 )
 def stream_reconcile(spark, sf_dir):
     """Manifests of each custodian arrive as files, in three batches; a second run finds all reported."""
-    sides = {}
-    for side, rows in (("source", domain.source_manifest(spark, sf_dir)), ("collected", domain.collected_manifest(spark, sf_dir))):
-        folder = new_folder(spark, f"{side}-parts")
-        files.write_manifest_csv(rows.withColumn("owner", F.col("custodian")).repartition(1), folder, ["owner", "job_id"])
-        sides[side] = new_folder(spark, side)
-        for path in list_names(spark, f"{folder}/owner=*/job_id=*/*.csv"):
-            custodian, job = path.split("owner=")[1].split("/")[0], path.split("job_id=")[1].split("/")[0]
-            rename_file(spark, path, f"{sides[side]}/{unquote(custodian)}_{job}_{side}.csv")
-    output = new_folder(spark, "reconciled")
-    for run in range(2):
-        checkpoint = new_folder(spark, f"reconcile-checkpoint-{run}")
+    landed = _manifest_files(spark, sf_dir)
+    sides = {side: new_folder(spark, side) for side in landed}
+    for side, manifests in landed.items():
+        _land(spark, manifests, sides[side])
+    output, checkpoint = new_folder(spark, "reconciled"), new_folder(spark, "reconcile-checkpoint")
+    for _ in range(2):
         reconcile_stream.run_reconciliation(spark, sides["collected"], sides["source"], output, checkpoint, max_files=3).awaitTermination()
-    counted = ("source_count", "collected_count", "missed_count", "extra_count")
-    return spark.read.parquet(f"{output}/summary").select("scope_job_id", *counted)
+    return spark.read.parquet(f"{output}/summary").select("scope_job_id", *_COUNTED)
+
+
+@query(
+    "stream_reconcile_waiting",
+    """SELECT job_id AS scope_job_id, CASE WHEN job_id = 'job-2' THEN 'repeated key' ELSE 'reported' END AS outcome,
+         CASE WHEN job_id <> 'job-2' THEN source_count END AS source_count, CASE WHEN job_id <> 'job-2' THEN collected_count END AS collected_count,
+         CASE WHEN job_id <> 'job-2' THEN missed_count END AS missed_count, CASE WHEN job_id <> 'job-2' THEN extra_count END AS extra_count
+       FROM recon_counts""",
+)
+def stream_reconcile_waiting(spark, sf_dir):
+    """The two manifests of a job land in different runs, in either order; one job repeats its keys and is set aside."""
+    landed = {side: sorted(manifests, key=lambda m: m[1]) for side, manifests in _manifest_files(spark, sf_dir, "job-2").items()}
+    sides = {side: new_folder(spark, side) for side in landed}
+    output, checkpoint = new_folder(spark, "reconciled"), new_folder(spark, "reconcile-checkpoint")
+    for odd in range(2):
+        # Every second job's source comes a run after what was collected, and the others' the other way round.
+        _land(spark, landed["collected"][odd::2], sides["collected"])
+        _land(spark, landed["source"][1 - odd :: 2], sides["source"])
+        reconcile_stream.run_reconciliation(spark, sides["collected"], sides["source"], output, checkpoint, max_files=2).awaitTermination()
+    reported = spark.read.parquet(f"{output}/summary").select("scope_job_id", F.lit("reported").alias("outcome"), *_COUNTED)
+    rejected = spark.read.parquet(f"{output}/rejects").select("scope_job_id", F.col("reason").alias("outcome"))
+    return reported.unionByName(rejected, allowMissingColumns=True)
 
 
 @query(
@@ -237,25 +277,61 @@ def stream_delta_cursors(spark, sf_dir):
     return store.load().select("scope_id", "delta_token", "delta_query_count", "last_delta_item_count", "last_delta_size_bytes")
 
 
+def _ingested(spark: SparkSession, output: str) -> DataFrame:
+    results = spark.read.parquet(f"{output}/results").withColumn("custodian", F.regexp_replace("custodian", "^[a-z]+=", ""))
+    return results.groupBy("custodian", "outcome").agg(F.count(F.lit(1)).alias("record_count"), F.sum("bytes_fetched").alias("total_bytes"))
+
+
 @query(
     "stream_ingest",
     """SELECT custodian, outcome, count(*) AS record_count, CAST(sum(bytes_fetched) AS BIGINT) AS total_bytes FROM fetched GROUP BY 1, 2""",
 )
 def stream_ingest(spark, sf_dir):
+    """Datasets written by a finished job, whose marker stands above them all."""
     root = new_folder(spark, "landing")
     domain.file_records(spark, sf_dir).drop("doc_id", "dataset").write.partitionBy("matter", "custodian").json(root)
-    records = landing_stream.record_stream(spark, root)
-    records = records.withColumn("custodian", F.regexp_replace("custodian", "^[a-z]+=", ""))
     output = new_folder(spark, "ingest")
     landing_stream.run_ingest(
-        records, domain.landed_content(spark, sf_dir), output, new_folder(spark, "ingest-checkpoint"), max_errors=1 << 30
+        spark, root, domain.landed_content(spark, sf_dir), output, new_folder(spark, "ingest-checkpoint"), max_errors=1 << 30
     ).awaitTermination()
-    results = spark.read.parquet(f"{output}/results")
-    return results.groupBy("custodian", "outcome").agg(
-        F.count(F.lit(1)).alias("record_count"), F.sum("bytes_fetched").alias("total_bytes")
-    )
+    return _ingested(spark, output)
 
 
+@query(
+    "stream_ingest_markers",
+    """SELECT custodian, outcome, count(*) AS record_count, CAST(sum(bytes_fetched) AS BIGINT) AS total_bytes
+       FROM fetched WHERE matter <> 'fr' GROUP BY 1, 2""",
+)
+def stream_ingest_markers(spark, sf_dir):
+    """Markers before, with and after their data; datasets of one matter never get one, those of another are arrays."""
+    records = domain.file_records(spark, sf_dir).drop("doc_id", "dataset")
+    output, checkpoint, root = new_folder(spark, "ingest"), new_folder(spark, "ingest-checkpoint"), new_folder(spark, "landing")
+    waiting = []
+    for matter in ("en", "de", "fr", "es"):
+        mine = records.filter(F.col("matter") == matter)
+        if matter == "es":
+            value = F.struct(*[c for c in mine.columns if c not in ("matter", "custodian")])
+            mine = mine.select("matter", "custodian", F.to_json(value).alias("value")).groupBy("matter", "custodian")
+            lines = F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]"))
+            writer = mine.agg(lines.alias("value")).repartition("matter", "custodian").write.partitionBy("matter", "custodian")
+            writer.mode("append").option("lineSep", "\n").format("text").save(f"{root}/{matter}-text")
+            for path in list_names(spark, f"{root}/{matter}-text/matter=*/custodian=*/part-*"):
+                rename_file(spark, path, path.replace(f"{matter}-text", f"{matter}-run").removesuffix(".txt") + ".json")
+            remove_folder(spark, f"{root}/{matter}-text")
+        else:
+            mine.write.partitionBy("matter", "custodian").json(f"{root}/{matter}-run")
+            if matter != "en":
+                waiting.append(f"{root}/{matter}-run/_SUCCESS")
+    for path in waiting:
+        remove_folder(spark, path)
+    content = domain.landed_content(spark, sf_dir)
+    for late in ((), ("de", "es"), ()):
+        for matter in late:
+            # A marker alone, without a new file: no batch of the stream starts for it.
+            spark.range(1).write.parquet(f"{root}/{matter}-marker")
+            rename_file(spark, f"{root}/{matter}-marker/_SUCCESS", f"{root}/{matter}-run/_SUCCESS")
+        landing_stream.run_ingest(spark, root, content, output, checkpoint, max_errors=1 << 30, max_files=5).awaitTermination()
+    return _ingested(spark, output)
 
 
 @query("stream_event_counters", COUNTERS_SQL)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +14,7 @@ from casetrail import schemas
 from casetrail.functions import paths
 from casetrail.session import ship
 from casetrail.sources.lines import json_values, placed_lines
+from casetrail.sources.storage import file_system
 
 _CORRUPT = "_corrupt_record"
 #: Bytes of a file held at a time while it is hashed.
@@ -29,7 +28,7 @@ def with_path_metadata(records: DataFrame, column: str = "source_file") -> DataF
     )
 
 
-def read_file_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_file_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of a dataset of JSON lines and JSON arrays; names are exact.
 
     Each file's form is found from its own first character, so a folder may mix them.
@@ -79,8 +78,7 @@ def read_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 def _digest_of(path: str) -> tuple[int, str]:
     """Length and SHA-256 of a file, read in blocks from the file system its path names."""
-    scheme, rest = path.split(":", 1)
-    system, name = pa.fs.FileSystem.from_uri(f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest, safe='/:@')}")
+    system, name = file_system(path)
     hasher, length = hashlib.sha256(), 0
     with system.open_input_stream(name) as stream:
         while block := stream.read(BLOCK_BYTES):

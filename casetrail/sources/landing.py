@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from casetrail.workspace import has_names, list_names
+from casetrail.sources.storage import list_folders, list_tree
+from casetrail.workspace import qualified
 
 # Names of source manifests, tried in this order.
 SOURCE_PATTERNS = [
@@ -41,16 +41,30 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def marker_files(spark: SparkSession, root: str) -> DataFrame:
     """``_SUCCESS`` and ``*.complete`` markers anywhere below ``root``.
 
-    Spark's listing leaves out hidden and empty files, so these are listed by name, level
-    by level until a level has no entries: one short row per finished run.
+    Spark's readers leave out hidden and empty files, so the folders are listed in tasks, see ``list_tree``.
     """
-    found, level = [], root.rstrip("/")
-    while True:
-        found += [(name,) for glob in ("_SUCCESS", "*.complete") for name in list_names(spark, f"{level}/{glob}")]
-        level += "/*"
-        if not has_names(spark, level):
-            break
-    return spark.createDataFrame(found, T.StructType([T.StructField("path", T.StringType())]))
+    name = F.lower(file_name(F.col("path")))
+    return list_tree(spark, root).filter(~F.col("is_folder") & ((name == "_success") | F.endswith(name, F.lit(".complete")))).select("path")
+
+
+def ancestors_of(files: DataFrame) -> DataFrame:
+    """The rows with ``folder``: one row for each folder above the file."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return files.withColumn("folder", F.explode(above))
+
+
+def released_files(files: DataFrame, root: str) -> DataFrame:
+    """The dataset files of a ``path`` column that a marker releases now.
+
+    Only the folders above these files and not above ``root`` are looked into, each once and in a task.
+    """
+    top = qualified(files.sparkSession, root).rstrip("/")
+    above = ancestors_of(files.select("path")).filter((F.col("folder") == top) | F.startswith("folder", F.lit(f"{top}/")))
+    marked = list_folders(above.select(F.col("folder").alias("path")).distinct(), only_markers=True)
+    by_folder = above.join(marked.select(folder_of(F.col("path")).alias("folder")).distinct(), "folder", "left_semi").select("path")
+    by_itself = files.select("path").filter(is_marker(F.col("path")) & F.endswith(F.lower("path"), F.lit(".json")))
+    return by_folder.unionByName(by_itself).distinct()
 
 
 def is_marker(path: Column) -> Column:
@@ -78,15 +92,7 @@ def discover_datasets(files: DataFrame, markers: DataFrame) -> DataFrame:
         .select(folder_of(F.col("path")).alias("folder"))
         .distinct()
     )
-    parts = F.split("path", "/")
-    ancestors = json_files.withColumn(
-        "folder",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-            )
-        ),
-    )
+    ancestors = ancestors_of(json_files)
     released = ancestors.join(folders, "folder", "left_semi").select("path")
     return by_itself.unionByName(released).distinct()
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Folders of local sessions without the setting, by application; removed when the process ends.
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -73,6 +73,20 @@ def list_names(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(status.getPath().toString()) for status in found) if found is not None else []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark's listings give it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString())
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder once and read from there by whatever follows."""
+    context = frame.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(workspace_root(frame.sparkSession))
+    return frame.checkpoint(eager=True)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own state."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
