@@ -7,28 +7,22 @@ from pyspark.sql import functions as F
 
 from casetrail.llm.common import cut
 
-#: Rows a partition of the label tables is planned for.
-PARTITION_ROWS = 250_000
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(``id``, ``component``) of every end of an edge (``a``, ``b``); a component is its smallest id.
 
     Each round lowers every node's label to the least of its neighbours' labels and then to that
     label's own label, until no label changes. Labels stay in tables; only counts
-    reach the driver, and set how many partitions the tables have. Nulls are not allowed; loops and
-    repeated edges do no harm.
+    reach the driver. Nulls are not allowed; loops and repeated edges do no harm.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parts = 1 + both.count() // PARTITION_ROWS
-    both = both.coalesce(parts)
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")).coalesce(parts))
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         named = labels.select(F.col("id").alias("a"), "component")
-        offered = both.join(named, "a").coalesce(parts).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("offer"))
-        lowered = labels.join(offered, "id").select("id", F.least("component", "offer").alias("next"), "component").coalesce(parts)
+        offered = both.join(named, "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("offer"))
+        lowered = labels.join(offered, "id").select("id", F.least("component", "offer").alias("next"), "component")
         jumps = lowered.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        moved = cut(lowered.join(jumps, "next").select("id", F.least("next", "jump").alias("next"), "component").coalesce(parts))
+        moved = cut(lowered.join(jumps, "next").select("id", F.least("next", "jump").alias("next"), "component"))
         changes = moved.where("next < component").count()
         labels = moved.select("id", F.col("next").alias("component"))
         if not changes:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.arrays import Words, mix, span_hashes, text_bytes
-from casetrail.llm.common import cut
+from casetrail.llm.common import cut, release_shuffles
 from casetrail.llm.components import connected_components, merge_components
 from casetrail.session import ship
 
@@ -94,7 +94,7 @@ def estimated_similarity(odd: np.ndarray | float) -> np.ndarray | float:
 #: Sketches of linked texts differ in at most this many bits.
 MOST_ODD = int(max(x for x in range(SKETCH_BITS // 2) if estimated_similarity(x) >= LEAST_ESTIMATE))
 
-_SIGNATURE = "id long, row_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
+_SIGNATURE = "id long, row_id {kind}, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -130,23 +130,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [
                         batch.column("id").slice(begin, end - begin),
                         batch.column("row_id").slice(begin, end - begin),
+                        batch.column("text_hash").slice(begin, end - begin),
                         pa.array(sizes, pa.int64()),
                         pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)),
                         pa.array((other[first[1:]] - other[first[:-1]]).view(np.int64)),
                         _lists(band_keys(samples)).take(at),
                         _lists(odd_sketches(samples)).take(at),
                     ],
-                    ["id", "row_id", "n_shingles", "s1", "s2", "bands", "odd"],
+                    ["id", "row_id", "text_hash", "n_shingles", "s1", "s2", "bands", "odd"],
                 )
 
     chosen = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(id_col).alias("row_id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
     )
     return chosen.mapInArrow(run, _SIGNATURE.format(kind=chosen.schema["row_id"].dataType.simpleString()))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(``id``, ``members``): 48 bits of each shingle hash, sorted, six bytes each."""
+    """(``node``, ``members``): 48 bits of each shingle hash, sorted, six bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +156,9 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 packed = []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     packed.append((hashes[a:b] >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, end - begin), pa.array(packed, pa.binary())], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(begin, end - begin), pa.array(packed, pa.binary())], ["node", "members"])
 
-    return texts.mapInArrow(run, "id long, members binary")
+    return texts.mapInArrow(run, "node long, members binary")
 
 
 def read_set(members: bytes) -> np.ndarray:
@@ -255,25 +256,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before the full sets confirm them.
 
     Null and blank texts have empty sets and are linked with nothing. A null id comes after all
-    others and null stays its own id. Rows that share an id are one document and linked. An empty
+    others and null stays its own id. Rows that share or lack an id are documents of their own, linked only by their texts. An empty
     table gives no rows. Only the id (an integer) and text columns are read.
 
-    Result: id, ``n_shingles``, ``component_id``, ``kept`` (the row's id is its component's).
+    Result: id, ``n_shingles``, ``component_id``, ``kept`` (the row's id is its component's), ``first`` (of the rows of its component
+    the one to stay: the smallest id, then the smallest hash of the text; rows equal in both are all marked),
+    ``text_hash`` (``xxhash64`` of the text).
     """
+    release_shuffles(docs.sparkSession)
     ship(docs.sparkSession)
-    rows = cut(signatures(docs, id_col, text_col))
+    # Numbers of rows are given to what the checkpoint holds, so they stay the same whatever is computed again.
+    rows = cut(signatures(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
     nodes = rows.where("n_shingles > 0")
-    # Rows with equal sets: the smallest id stands for all; hot sets are aggregated before the join.
-    classes = nodes.groupBy("s1", "s2").agg(F.min("id").alias("node"))
-    of_row = cut(rows.select("id", "row_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select(
-        "id", "row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("id")).alias("node")
-    ))
-    # An id on rows of several sets joins their nodes.
-    shared = of_row.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("most > a")
-    shared = of_row.join(shared.select("id", "a"), "id").where("node > a").select("a", F.col("node").alias("b"))
-
-    keyed = nodes.join(classes.select(F.col("node").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
-    keyed = keyed.dropDuplicates(["id", "s1", "s2"]).select("id", "n_shingles", "odd", "bands")
+    # Rows with equal sets: one row stands for all; hot sets are aggregated before the join.
+    classes = nodes.groupBy("s1", "s2").agg(
+        F.min("row").alias("node"), F.min_by("id", "row").alias("node_id"), F.min_by("text_hash", "row").alias("node_hash"), F.min(F.struct("id", "text_hash")).alias("first_row")
+    )
+    classes = cut(classes)
+
+    keyed = nodes.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n_shingles", "odd", "bands")
     banded = keyed.select("id", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(banded.join(heads, "key").select("key", "id", "head"))
@@ -281,11 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     in_buckets = members.select("id").distinct()
     sketches = cut(keyed.select("id", "n_shingles", "odd").join(in_buckets, "id", "left_semi"))
-    # Rows that share an id have one set each; the node's own row is the one whose set it stands for.
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text")).join(in_buckets, "id", "left_semi")
-    sets = cut(shingle_sets(texts))
-
-    done = connected_components(confirm(pairs, sketches, sets).unionByName(shared))
+    # A node's text is that of any row with its id and text hash.
+    wanted = classes.select(F.col("node").alias("id"), "node_id", "node_hash").join(in_buckets, "id", "left_semi")
+    wanted = wanted.withColumnRenamed("id", "node").dropDuplicates(["node_id", "node_hash"])
+    texts = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("node_id"), F.xxhash64(text_col).alias("node_hash"), F.col(text_col).alias("text")
+    ).join(wanted, ["node_id", "node_hash"])
+    sets = cut(shingle_sets(texts).dropDuplicates(["node"]).withColumnRenamed("node", "id"))
+
+    done = connected_components(confirm(pairs, sketches, sets))
     rounds = 0
     while True:
         located = members.select("key", "id").join(done, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -314,13 +319,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             done = merge_components(done, more)
         if final:
             break
-    labelled = of_row.join(done.select(F.col("id").alias("node"), "component"), "node", "left").select(
-        "id", "row_id", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
-    own = F.when(F.col("component") == _LAST, F.lit(None)).otherwise(F.col("component"))
+    # The row that stays, per component: an aggregate over classes, each of which has told its smallest row.
+    owned = classes.select("s1", "s2", "node", "first_row").join(done.select(F.col("id").alias("node"), "component"), "node", "left")
+    owned = owned.select("s1", "s2", "first_row", F.coalesce("component", "node").alias("component"))
+    least = owned.groupBy("component").agg(F.min("first_row").alias("least"))
+    of_class = owned.join(least, "component").select("s1", "s2", "least")
+    labelled = rows.select("id", "row_id", "text_hash", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("least.id")).otherwise(F.col("id"))
     return labelled.select(
-        F.col("row_id").alias(id_col), "n_shingles", own.alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
-    )
+        F.col("row_id").alias(id_col), "n_shingles", F.when(own != _LAST, own).alias("component_id"), (F.col("id") == own).alias("kept"),
+        ((F.col("n_shingles") == 0) | (F.struct("id", "text_hash") == F.col("least"))).alias("first"), "text_hash",
+    )
 
 
 def cross_links(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.groups()):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (group.lstrip("0.") for group in m.groups())):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

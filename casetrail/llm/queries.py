@@ -52,7 +52,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casetrail.llm.neardup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("first", "text_hash")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +75,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document's tokens."""
-    import public_tokenizers
-
     from casetrail.llm.packing import pack_texts
 
-    return pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_texts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +97,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Place of a public vocabulary file; ``CASETRAIL_TOKENIZERS`` names another folder."""
-    import os
+    """Place of a public vocabulary file."""
+    import public_tokenizers
 
-    return os.path.join(os.environ.get("CASETRAIL_TOKENIZERS", "/opt/tokenizers"), name)
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Query] = {

@@ -68,7 +68,8 @@ class Chunk:
         self.data, self.offsets = text_bytes(table.column("text").take(pa.array(order)))
         sizes = np.diff(self.offsets)
         # A copy of a whole earlier text is decided by that alone.
-        self.copied = np.array([i in copies for i in self.ids.tolist()], bool) & (sizes >= length)
+        keys = np.asarray(table.column("copy").combine_chunks()).astype(np.int64)[order]
+        self.copied = np.array([k in copies for k in keys.tolist()], bool) & (sizes >= length)
         places, grams, docs = [], [], []
         for doc in np.flatnonzero(~self.copied & (sizes >= length)).tolist():
             begin, end = int(self.offsets[doc]), int(self.offsets[doc + 1])
@@ -313,18 +314,22 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
     density = 2 / (length - GRAM + 2)
     cells = Cells.sized(max(int(sizes.n_bytes * density), 1), CELLS_PER_ANCHOR, 1)
     n_buckets = max(8, int(sizes.n_bytes * density / 7 / BUCKET_ENTRIES))
+    # Rows that share or lack an id are spread by their texts; a whole copy is known by its id and both hashes of its text.
     source = docs.select(
-        chunk_of(F.col(id_col), sizes.n_chunks).alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+        chunk_of(F.xxhash64(id_col, text_col), sizes.n_chunks).alias("chunk"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)).alias("copy"),
     )
     by_chunk = source.groupBy("chunk")
 
     # Whole copies: narrow rows, aggregated before they are joined, so a text that is copied very often spreads.
     hashed = source.where(F.octet_length("text") >= length).select(
-        F.col("chunk").alias("home"), F.coalesce("id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
+        F.col("chunk").alias("home"), "copy", F.coalesce("id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
     )
     firsts = hashed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
-    copied = hashed.join(firsts, ["h1", "h2"]).where("id > least").select("home", "id")
-    copies = copied.groupBy("home", (F.lit(-1) - F.pmod("id", F.lit(16))).cast("int").alias("part")).agg(F.collect_set("id").alias("ids"))
+    copied = hashed.join(firsts, ["h1", "h2"]).where("id > least").select("home", "copy")
+    copies = copied.groupBy("home", (F.lit(-1) - F.pmod("copy", F.lit(16))).cast("int").alias("part")).agg(F.collect_set("copy").alias("ids"))
     copies = copies.select(F.col("home").alias("chunk"), "part", F.lit(None).cast("binary").alias("payload"), "ids", F.lit("copy").alias("kind"))
 
     def copies_in(table: pa.Table) -> set[int]:

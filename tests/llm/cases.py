@@ -115,23 +115,35 @@ def shingle_set(text):
 
 
 def components(rows):
-    """(doc_id, set size, component, kept) from all pairs; rows that share an id are one node."""
+    """(doc_id, set size, component, kept) from all pairs; every row is a node of its own, a component its smallest id."""
     sets = [(late(i), shingle_set(t)) for i, t, *_ in rows]
-    parent = {i: i for i, _ in sets}
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for n, (i, a) in enumerate(sets):
-        for j, b in sets[:n]:
+    for n, (_, a) in enumerate(sets):
+        for m, (_, b) in enumerate(sets[:n]):
             common = len(a & b)
             if a and b and 100 * common >= 75 * (len(a) + len(b) - common):
-                x, y = find(i), find(j)
+                x, y = find(n), find(m)
                 parent[max(x, y)] = min(x, y)
+    least = collections.defaultdict(lambda: LATE)
+    for n, (i, _) in enumerate(sets):
+        least[find(n)] = min(least[find(n)], i)
     back = lambda x: None if x == LATE else x
-    return [(row[0], len(s), back(find(i)), find(i) == i) for (i, s), row in zip(sets, rows)]
+    return [(row[0], len(s), back(least[find(n)]), i == least[find(n)]) for n, ((i, s), row) in enumerate(zip(sets, rows))]
+
+
+def shared_ids(seed=9):
+    """Rows that share or lack an id, copied and clean texts mixed under each."""
+    rng = random.Random(seed)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = a.split()
+    near[10] = "changed"
+    return [(1, a, "en", "a"), (2, a, "en", "a"), (2, c, "en", "a"), (None, a, "en", "a"), (None, b, "en", "a"), (None, d, "en", "b"), (None, d, "en", "b"), (1, a, "fr", "a"), (5, " ".join(near), "en", "a"), (5, e, "en", "a"), (6, None, "en", "a"), (6, e[:120], "en", "a")]
 
 
 def language_counts(rows):

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from cases import SCHEMA, components, edge_rows, frame, ordered, prose, repeated_strings, repeated_windows, shingle_set
+from cases import SCHEMA, components, edge_rows, frame, ordered, prose, repeated_strings, repeated_windows, shared_ids, shingle_set
 
 from casetrail.llm import exchange, neardup, suffixes
 from casetrail.llm.components import connected_components, merge_components
@@ -84,20 +84,20 @@ def test_loser_tree_merges_and_gives_common_prefixes():
 
 def test_near_duplicates_match_brute_force(spark):
     rows = edge_rows()
-    assert ordered(near_duplicates(frame(spark, rows)).collect()) == ordered(components(rows))
+    assert ordered(near_duplicates(frame(spark, rows)).drop("first", "text_hash").collect()) == ordered(components(rows))
 
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rows = near_copies(150, 6)
-    assert ordered(near_duplicates(frame(spark, rows)).collect()) == ordered(components(rows))
+    assert ordered(near_duplicates(frame(spark, rows)).drop("first", "text_hash").collect()) == ordered(components(rows))
 
 
 def test_members_of_a_bucket_are_linked_without_its_head(spark, monkeypatch):
     """Two chains that only whole buckets connect."""
     monkeypatch.setattr(neardup, "HEAD_ROUNDS", 0)
     rows = near_copies(80, 7)
-    assert ordered(near_duplicates(frame(spark, rows)).collect()) == ordered(components(rows))
+    assert ordered(near_duplicates(frame(spark, rows)).drop("first", "text_hash").collect()) == ordered(components(rows))
 
 
 def test_odd_sketches_estimate_similarity():
@@ -136,3 +136,23 @@ def test_empty_tables(spark):
     assert remove_repeated_windows(empty).isEmpty()
     assert remove_repeated_strings(empty).isEmpty()
     assert near_duplicates(empty).isEmpty()
+
+
+def test_rows_that_share_or_lack_an_id_are_judged_by_their_texts(spark):
+    rows = shared_ids()
+    found = remove_repeated_strings(frame(spark, rows)).drop("kept").collect()
+    assert ordered(found) == ordered(repeated_strings(rows, 50))
+    clean = [r for r in found if r["doc_id"] is None and r["n_removed"] == 0]
+    assert len(clean) == 3 and all(r["n_removed"] in (0, r["n_bytes"]) for r in found if r["doc_id"] == 2)
+    near = near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert ordered(near) == ordered(components(rows))
+
+
+def test_one_row_of_each_group_stays_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = shared_ids()
+    docs = frame(spark, rows)
+    kept = ordered(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id", "text").collect())
+    a, b, c, d, e = rows[0][1], rows[4][1], rows[2][1], rows[5][1], rows[9][1]
+    assert kept == ordered([(1, a), (2, c), (None, b), (None, d), (5, e), (6, None), (6, rows[11][1])])

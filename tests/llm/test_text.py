@@ -325,3 +325,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert ordered((r["doc_id"], r["shard"], r["slot"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ordered(
         (r["doc_id"], r["shard"], r["slot"]) for r in shards
     )
+
+
+def test_very_long_runs_of_digits_are_no_address():
+    from casetrail.llm.pii import base_spans
+
+    for text, ip in (("0" * 5000 + ".1.2.3", True), ("9" * 5000 + ".1.2.3", False), ("1.2.3." + "0" * 9000, True), ("0" * 4400 + "255.1.2.3", True), ("0" * 4400 + "256.1.2.3", False), ("1" * 10_000, False)):
+        assert [(s, e) for s, k, e in base_spans(text) if k == 1] == ([(0, len(text))] if ip else [])
