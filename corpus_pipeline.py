@@ -6,7 +6,7 @@ return the columns of ``documents``; nulls, repeated rows and empty tables are t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casetrail.llm.common import cut, read_table, words_of
@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id. Rows that share an id stay or go together."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: the smallest id. Rows equal in id and text are one group's repeats."""
+    first = near_duplicates(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_shingles").distinct()
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__own"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
+    repeat = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("lang", "source", "n_chars"))
+    return kept.withColumn("__repeat", repeat).where((F.col("__repeat") == 1) | (F.col("n_shingles") == 0)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
