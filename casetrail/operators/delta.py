@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions import paths
-from casetrail.operators.ordering import latest_by
+from casetrail.operators.ordering import HOT_ROWS, as_of_join, latest_by
 
 # Notes left on cursors that were switched off.
 RESET_NOTE = "Reset by user/system"
@@ -70,6 +70,14 @@ def latest_cursors(cursors: DataFrame) -> DataFrame:
     return latest_by(active_cursors(cursors), ["scope_id", "delta_type"], [F.col("updated_date")])
 
 
+def cursors_as_of(requests: DataFrame, history: DataFrame, at: str = "requested_at", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each request (``scope_id``, ``delta_type`` and a time) with ``cursor``: the latest active row of its scope as of that time.
+
+    Later updates don't count, so a request can be decided again as it was; ties in time go to the later job.
+    """
+    return as_of_join(requests, active_cursors(history), ["scope_id", "delta_type"], at, "updated_date", ["job_id"], "cursor", hot_rows)
+
+
 def delta_or_full(
     requests: DataFrame, cursors: DataFrame, as_of: Column, options: DeltaOptions = DeltaOptions()
 ) -> DataFrame:

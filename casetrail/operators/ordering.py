@@ -133,6 +133,81 @@ def previous_row(
     )
 
 
+def last_value_so_far(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    coarse: Column,
+    value: Column,
+    fine: Sequence[Column] = (),
+    name: str = "last_value",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The last ``value`` that is not null among a row and those before it in its group.
+
+    Inside a cell this is a running ``last``; where a cell has none yet, the last value of the nearest earlier cell that has one
+    is carried over the edge, found on tables with one row per cell and per coarse bucket.
+    """
+    cuts = [coarse, *fine]
+    valued = df.withColumn("__value", value)
+    keyed = _keyed(valued, group, cuts, hot_rows)
+    rank = F.struct(*[column.alias(f"o{i}") for i, column in enumerate(order)])
+    span = F.struct(f"{_CELL}.{_GROUP}", f"{_CELL}.cut0")
+    fine_order = [F.col(f"{_CELL}.cut{i}") for i in range(1, len(cuts))]
+    held = F.max(F.when(F.col("__value").isNotNull(), F.struct(rank.alias("rank"), F.col("__value").alias("value"))))
+    cells = keyed.filter(F.col(_HOT)).groupBy(_CELL).agg(held.alias("__last")).withColumn("__span", span)
+    earlier = Window.unboundedPreceding, -1
+
+    def carried(column: str, window: Window) -> Column:
+        return F.last(column, ignorenulls=True).over(window.rowsBetween(*earlier))
+
+    spans = cells.groupBy("__span").agg(F.max("__last").alias("__end"))
+    spans = spans.select("__span", carried("__end", Window.partitionBy(f"__span.{_GROUP}").orderBy("__span.cut0")).alias("__earlier"))
+    inside_span = carried("__last", Window.partitionBy("__span").orderBy(*fine_order)) if fine_order else F.lit(None)
+    edges = (
+        cells.withColumn("__inside", inside_span)
+        .join(spans, "__span")
+        .select(_CELL, F.coalesce("__inside", "__earlier").getField("value").alias("__edge"))
+    )
+    so_far = Window.partitionBy(_CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        keyed.join(edges, _CELL, "left")
+        .withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(so_far), F.col("__edge")))
+        .drop(_CELL, _GROUP, _HOT, "__edge", "__value")
+    )
+
+
+def as_of_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: str,
+    right_time: str,
+    tie: Sequence[str] = (),
+    name: str = "found",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Each left row with ``name``: a struct of the last right row of its keys whose time is not after its own.
+
+    Both sides are put on one time axis and sorted once; a left row takes the last right row before it. No row meets more than its
+    predecessor, so many versions of one key cost no more than as many keys, and a hot key is cut along the time
+    axis, by days and then seconds. At one time right rows come first, among themselves in the order of ``tie``, null first.
+    Left rows without a time or before every right row get null; null keys match each other. Right rows without a time are left out.
+    """
+    columns = left.columns
+    time = F.col("__time")
+    both = left.select(*keys, F.col(left_time).alias("__time"), F.lit(True).alias("__asks"), F.struct(*[F.col(c) for c in columns]).alias("__left"), F.lit(None).alias("__right"))
+    state = right.filter(F.col(right_time).isNotNull()).select(
+        *keys, F.col(right_time).alias("__time"), F.lit(False).alias("__asks"), F.lit(None).alias("__left"), F.struct(*[F.col(c) for c in right.columns]).alias("__right")
+    )
+    order = [time, F.col("__asks"), *[F.col(f"__right.{c}") for c in tie]]
+    placed = last_value_so_far(
+        both.unionByName(state), keys, order, F.to_date(time), F.col("__right"), [F.date_trunc("second", time)], "__found", hot_rows
+    )
+    asked = placed.filter("__asks").select("__left.*", F.when(time.isNotNull(), F.col("__found")).alias(name))
+    return asked.select(*columns, name)
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row per key; rows equal in ``order`` are ranked by their remaining columns.
 

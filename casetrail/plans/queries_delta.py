@@ -81,6 +81,25 @@ def delta_or_full(spark, sf_dir):
     return rows.select("request_id", "scope_id", "reason")
 
 
+@query(
+    "cursor_as_of",
+    """WITH r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 = 0 THEN 'mail' ELSE 'onedrive' END || ':u' || (c_custkey % 710) || '@x.org' AS scope_id,
+           TIMESTAMP '2024-02-01' + to_minutes((c_custkey * 7) % 1600) AS requested_at FROM customer),
+         h AS (SELECT scope_id, updated_date, job_id, delta_token FROM cursors WHERE is_active)
+       SELECT r.request_id, r.scope_id, h.job_id, h.delta_token FROM r ASOF LEFT JOIN h ON r.scope_id = h.scope_id AND r.requested_at >= h.updated_date""",
+)
+def cursor_as_of(spark, sf_dir):
+    """The cursor that was current when each request came, from a history with several rows per scope."""
+    requests = domain.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS request_id",
+        "concat(CASE WHEN c_custkey % 4 = 0 THEN 'mail' ELSE 'onedrive' END, ':u', c_custkey % 710, '@x.org') AS scope_id",
+        "CASE WHEN c_custkey % 4 = 0 THEN 'Mail' ELSE 'OneDrive' END AS delta_type",
+        "timestampadd(MINUTE, cast((c_custkey * 7) % 1600 AS INT), TIMESTAMP '2024-02-01 00:00:00') AS requested_at",
+    )
+    found = delta.cursors_as_of(requests, domain.cursors(spark, sf_dir))
+    return found.select("request_id", "scope_id", "cursor.job_id", "cursor.delta_token")
+
+
 def _base_and_changes(spark, sf_dir):
     rows = domain.changes(spark, sf_dir)
     until = domain.instant(domain.BASE_UNTIL)

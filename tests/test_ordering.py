@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from casetrail.operators import custody
 from casetrail.operators.digests import ordered_digest
-from casetrail.operators.ordering import latest_by, number_rows, previous_row
+from casetrail.operators.ordering import as_of_join, latest_by, number_rows, previous_row
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +135,28 @@ def test_digests_do_not_depend_on_partitioning(spark, small, rows):
         for n, hot in ((1, 1_000_000), (17, 5))
     ]
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
+def test_as_of_join(spark, hot_rows):
+    """One scope with most versions and requests, equal times, long stretches without a version, rows before the first."""
+    rng = random.Random(11)
+    scope = lambda: "hot" if rng.random() < 0.8 else rng.choice(["a", "b", None])
+    at = lambda: rng.choice([0, 3, 3, 86_400 * 9]) + rng.randrange(0, 86_400 * 3, 1800)
+    history = [(scope(), at(), k) for k in range(900)] + [("hot", None, 5000), ("b", 0, None), ("b", 0, 7000)]
+    asked = [(k, scope(), rng.choice([at(), -5, 86_400 * 20, None])) for k in range(1200)] + [(2000, "nobody", 5)]
+    right = spark.createDataFrame(history, "scope string, s long, version long").withColumn("ts", F.timestamp_seconds("s"))
+    left = spark.createDataFrame(asked, "request long, scope string, s long").withColumn("at", F.timestamp_seconds("s"))
+    found = as_of_join(left, right, ["scope"], "at", "ts", ["version"], hot_rows=hot_rows).select("request", "found.s", "found.version").collect()
+    none_first = lambda v: (v is not None, v or 0)
+    expected = {}
+    for request, key, s in asked:
+        past = [(t, none_first(v), v) for name, t, v in history if name == key and t is not None and s is not None and t <= s]
+        expected[request] = (max(past)[0], max(past)[2]) if past else (None, None)
+    assert {r.request: (r.s, r.version) for r in found} == expected and len(found) == len(asked)
+
+
+def test_as_of_join_sorts_once(spark):
+    side = spark.range(10).selectExpr("id AS k", "timestamp_seconds(id) AS t")
+    plan = as_of_join(side, side, ["k"], "t", "t", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
