@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from casetrail import schemas
 from casetrail.functions import paths
 from casetrail.session import ship
-from casetrail.sources.lines import json_values, placed_lines
+from casetrail.sources.json_blocks import read_json_values
 from casetrail.sources.storage import file_system
 
 _CORRUPT = "_corrupt_record"
@@ -34,7 +34,7 @@ def read_file_records(spark: SparkSession, path: str | list[str]) -> tuple[DataF
     Each file's form is found from its own first character, so a folder may mix them.
     """
     layout = T.StructType([*schemas.FILE_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = json_values(placed_lines(spark, path)).select(
+    parsed = read_json_values(spark, path).select(
         "value",
         "source_file",
         F.from_json("value", layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("record"),

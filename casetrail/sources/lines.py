@@ -1,7 +1,7 @@
-"""Lines of text files with their place, and JSON values of files of either form.
+"""Lines of text files with their place.
 
-Form and header are facts of one file. They are found by an aggregate with one short
-row per file and joined back, so a folder may mix them, and nothing is read on the driver.
+The header is a fact of one file. It is found by an aggregate with one short
+row per file and joined back, so a folder may mix headers, and nothing is read on the driver.
 """
 
 from __future__ import annotations
@@ -31,26 +31,3 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return seen.groupBy(F.col("source_file").alias("of_file")).agg(
         F.min_by("value", "place").alias("first"), F.min("place").alias("first_place")
     )
-
-
-def json_values(lines: DataFrame) -> DataFrame:
-    """One row (``value``, ``source_file``) per JSON value of files of lines and files of one array.
-
-    A file whose first visible character is ``[`` is an array: its lines are put
-    together and its elements taken as text, one task a file, as that form demands. All
-    other files stay split between tasks. An unreadable array is one row with its text.
-    """
-    array = F.startswith(F.ltrim(F.col("first"), F.lit(BYTE_ORDER_MARK + " \t")), F.lit("["))
-    forms = first_lines(lines).select("of_file", array.alias("is_array"))
-    formed = lines.join(forms, F.col("source_file") == F.col("of_file"))
-    single = formed.filter("NOT is_array").select(F.ltrim(F.col("value"), F.lit(BYTE_ORDER_MARK)).alias("value"), "source_file")
-    whole = (
-        formed.filter("is_array")
-        .groupBy("source_file")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("parts"))
-        .select("source_file", F.ltrim(F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), F.lit(BYTE_ORDER_MARK)).alias("text"))
-    )
-    elements = whole.select(
-        F.explode(F.coalesce(F.from_json("text", "array<string>"), F.array("text"))).alias("value"), "source_file"
-    )
-    return single.filter(F.trim("value") != "").unionByName(elements)

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from casetrail import schemas
 from casetrail.functions.paths import blank
-from casetrail.sources.lines import BYTE_ORDER_MARK, first_lines, json_values, placed_lines
+from casetrail.sources.json_blocks import read_json_values
+from casetrail.sources.lines import BYTE_ORDER_MARK, first_lines, placed_lines
 
 # CSV headers accepted for each field; the later column wins.
 HEADER_ALIASES = {
@@ -176,8 +177,8 @@ def manifest_from_maps(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_json_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files of JSON lines (split between tasks) and of one JSON array, also mixed in a folder."""
-    return manifest_from_json_text(json_values(placed_lines(spark, path)))
+    """Files of JSON lines and of one JSON array, both split between tasks, also mixed in a folder."""
+    return manifest_from_json_text(read_json_values(spark, path))
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,8 @@ from casetrail.functions.paths import blank
 from casetrail.operators.reconcile import ReconcileOptions, duplicate_keys, report, summarize
 from casetrail.sinks.files import write_report
 from casetrail.sources import landing
-from casetrail.sources.lines import json_values, placed_lines
+from casetrail.sources.json_blocks import read_json_values
+from casetrail.sources.lines import placed_lines
 from casetrail.sources.manifests import empty_manifest, manifest_from_csv_lines, manifest_from_json_text
 from casetrail.streaming.waiting import Ledger, WaitingRoom
 from casetrail.workspace import checkpointed, remove_folder
@@ -51,9 +52,10 @@ def _read_side(spark: SparkSession, pairs: DataFrame, paths: list[str], column:
     kinds = {"csv": [p for p in paths if p.lower().endswith(".csv")], "json": [p for p in paths if p.lower().endswith(".json")]}
     empty, _ = empty_manifest(spark)
     rows = empty
-    for kind, reader in (("csv", manifest_from_csv_lines), ("json", lambda lines: manifest_from_json_text(json_values(lines)))):
-        if kinds[kind]:
-            rows = rows.unionByName(reader(placed_lines(spark, kinds[kind]))[0])
+    if kinds["csv"]:
+        rows = rows.unionByName(manifest_from_csv_lines(placed_lines(spark, kinds["csv"]))[0])
+    if kinds["json"]:
+        rows = rows.unionByName(manifest_from_json_text(read_json_values(spark, kinds["json"]))[0])
     named = pairs.select(F.col("custodian").alias("of_custodian"), "job_id", _same_file(F.col(column)).alias("of_file"))
     joined = rows.join(named, _same_file(F.col("source_file")) == F.col("of_file"))
     own = blank(F.col("custodian")) | (F.lower("custodian") == F.lower("of_custodian"))
