@@ -40,20 +40,22 @@ def _since(as_of: Column, minutes: int) -> Column:
     return (F.col("ts") >= as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))) & (F.col("ts") <= as_of)
 
 
-def windowed_totals(points: DataFrame, as_of: Column) -> DataFrame:
+def windowed_totals(points: DataFrame, as_of: Column, ever: tuple[str, ...] = ()) -> DataFrame:
     """Per metric: sum, count, rate per minute for 15 min, 1 h, 24 h; average and peak minute of 24 h.
 
     One scan. Points are first summed by minute on the map side; what is shuffled is
-    at most one row per metric and minute.
+    at most one row per metric and minute. ``count_ever`` counts all points of the metrics in ``ever``, whatever their time; those
+    outside the 24 h are one row per metric.
     """
-    recent = points.filter(_since(as_of, WINDOW_MINUTES["24h"]))
-    aggregates = []
+    day = _since(as_of, WINDOW_MINUTES["24h"])
+    recent = points.filter(day | F.col("metric").isin(*ever)) if ever else points.filter(day)
+    aggregates = [F.count(F.lit(1)).alias("count_ever")]
     for label, minutes in WINDOW_MINUTES.items():
         inside = _since(as_of, minutes)
         aggregates.append(F.sum(F.when(inside, F.col("value"))).alias(f"sum_{label}"))
         aggregates.append(F.count_if(inside).alias(f"count_{label}"))
-    by_minute = recent.groupBy("metric", F.date_trunc("minute", "ts").alias("minute")).agg(*aggregates)
-    rolled = []
+    by_minute = recent.groupBy("metric", F.when(day, F.date_trunc("minute", "ts")).alias("minute")).agg(*aggregates)
+    rolled = [F.sum("count_ever").alias("count_ever")] if ever else []
     for label, minutes in WINDOW_MINUTES.items():
         total = F.coalesce(F.sum(f"sum_{label}"), F.lit(0.0))
         rolled.append(total.alias(f"sum_{label}"))
@@ -102,10 +104,9 @@ def retry_success_rate(successes: Column, failures: Column) -> Column:
 
 def error_metrics(points: DataFrame, as_of: Column) -> DataFrame:
     """One row of error figures. Windows end at ``as_of``; the retry rate is over all points ever recorded."""
-    of = lambda name: F.count_if(F.col("metric") == name)
-    rate = points.agg(retry_success_rate(of("retry_success"), of("retry_failure")).alias("rate")).scalar()
+    retried = tuple(_cell(name, "count_ever") for name in ("retry_success", "retry_failure"))
     return (
-        windowed_totals(points, as_of)
+        windowed_totals(points, as_of, ("retry_success", "retry_failure"))
         .agg(
             _cell("throttling_events", "count_15m").alias("throttling_15m"),
             _cell("throttling_events", "count_1h").alias("throttling_1h"),
@@ -114,8 +115,8 @@ def error_metrics(points: DataFrame, as_of: Column) -> DataFrame:
             _cell("auth_errors", "count_1h").alias("auth_errors_1h"),
             _cell("timeout_errors", "count_1h").alias("timeout_errors_1h"),
             _cell("backoff_delay_ms", "avg_24h", 0.0).alias("average_backoff_ms"),
+            retry_success_rate(*retried).alias("retry_success_rate"),
         )
-        .withColumn("retry_success_rate", rate)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions import measures, paths
+from casetrail.operators.intervals import join_points
 from casetrail.operators.ordering import HOT_ROWS, latest_by, previous_row
 from casetrail.operators.routing import RouteOptions, decide_route
 
@@ -155,57 +156,24 @@ def sharded_job_metrics(
     )
 
 
-def _bin(ts: Column, days: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(days * DAY_MICROS)).cast("long")
-
-
 def assign_items(
-    items: DataFrame,
-    windows: DataFrame,
-    date: str = "item_date",
-    boundary: str = "half_open",
-    bin_days: int = 30,
+    items: DataFrame, windows: DataFrame, date: str = "item_date", boundary: str = "half_open", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Items with the shard whose window holds their date.
 
-    Windows are spread over the time bins they touch and joined on (custodian, bin)
-    with the exact bounds as a residual: a hash or merge join instead of a nested
-    loop, and a custodian's items spread over bins. With bins about as long as the
-    windows, a window is repeated two or three times and an item meets as many
-    windows; the left join lets adaptive execution split a hot bin of items. Items
-    outside every window keep a null shard. ``half_open`` gives each item one shard
-    per job, the last one closed at its end; ``inclusive`` also repeats an item that
-    lies exactly on a shared edge.
+    Windows may be of any lengths, days beside decades (see ``join_points``). Items outside every window keep a null shard.
+    ``half_open`` gives each item one shard per job, the last one closed at its end; ``inclusive`` also repeats
+    an item that lies exactly on a shared edge.
     """
     if boundary not in ("half_open", "inclusive"):
         raise ValueError("boundary must be 'half_open' or 'inclusive'")
-    closed = (
-        F.lit(True)
-        if boundary == "inclusive"
-        else F.col("shard_index") == F.col("total_shards") - 1
-    )
-    bins = (
-        windows.filter("kind = 'shard'")
-        .select(
-            F.col("job_id").alias("shard_job_id"),
-            F.col("custodian").alias("__custodian"),
-            "shard_index",
-            F.col("start_date").alias("__from"),
-            F.col("end_date").alias("__to"),
-            closed.alias("__closed"),
-        )
-        .withColumn("__bin", F.explode(F.sequence(_bin(F.col("__from"), bin_days), _bin(F.col("__to"), bin_days))))
-    )
-    when = F.col(date).cast("timestamp")
-    inside = (when >= F.col("__from")) & (
-        (when < F.col("__to")) | (F.col("__closed") & (when == F.col("__to")))
+    closed = F.lit(True) if boundary == "inclusive" else F.col("shard_index") == F.col("total_shards") - 1
+    first, last = F.unix_micros("start_date"), F.unix_micros("end_date") - F.when(closed, 0).otherwise(1)
+    plan = windows.filter("kind = 'shard'").select(
+        F.col("job_id").alias("shard_job_id"), "custodian", "shard_index", first.alias("__from"), last.alias("__to")
     )
-    keyed = items.withColumn("__item_bin", _bin(when, bin_days))
-    return keyed.join(
-        bins,
-        (F.col("custodian") == F.col("__custodian")) & (F.col("__item_bin") == F.col("__bin")) & inside,
-        "left",
-    ).drop("__custodian", "__from", "__to", "__closed", "__bin", "__item_bin")
+    at = F.unix_micros(F.col(date).cast("timestamp"))
+    return join_points(items, at, plan, F.col("__from"), F.col("__to"), "custodian", hot_rows).drop("__from", "__to")
 
 
 def shard_activity(assigned: DataFrame, size: str) -> DataFrame:

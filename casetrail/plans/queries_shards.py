@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from casetrail.functions import measures
 from casetrail.operators import matters, routing, shards
+from casetrail.operators.density import DensityOptions, daily_density, density_shards
 from casetrail.operators.shards import ShardOptions
 from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
 
 YEARS = ShardOptions(window_days=365, max_shards_per_custodian=5)
+SHORT = ShardOptions(window_days=3, max_shards_per_custodian=200)
+LONG = ShardOptions(window_days=3650, max_shards_per_custodian=5)
 
 
 @query(
@@ -63,9 +66,7 @@ def sharded_job_metrics(spark, sf_dir):
 
 def _assigned(spark, sf_dir, boundary="half_open"):
     windows = shards.shard_windows(domain.shard_requests(spark, sf_dir), YEARS)
-    return shards.assign_items(
-        domain.dated_items(spark, sf_dir), windows, boundary=boundary, bin_days=YEARS.window_days
-    )
+    return shards.assign_items(domain.dated_items(spark, sf_dir), windows, boundary=boundary)
 
 
 _ASSIGN_SQL = """
@@ -89,6 +90,78 @@ def item_shard_assignment_inclusive(spark, sf_dir):
     return _assigned(spark, sf_dir, "inclusive").select("item_key", "shard_index")
 
 
+@query(
+    "item_window_assignment",
+    """SELECT i.item_key, w.job_id AS shard_job_id, w.shard_index FROM dated_items i LEFT JOIN (
+         SELECT job_id, custodian, shard_index, from_date, to_date, shard_index = max(shard_index) OVER (PARTITION BY job_id, custodian) AS is_last FROM windows
+         UNION ALL SELECT 1000000000 + job_id, custodian, shard_index, from_date, to_date, shard_index = max(shard_index) OVER (PARTITION BY job_id, custodian) FROM short_windows
+         UNION ALL SELECT 2000000000 + job_id, custodian, shard_index, from_date, to_date, shard_index = max(shard_index) OVER (PARTITION BY job_id, custodian) FROM long_windows) w
+       ON i.custodian = w.custodian AND i.item_date >= w.from_date AND (i.item_date < w.to_date OR (is_last AND i.item_date = w.to_date))""",
+)
+def item_window_assignment(spark, sf_dir):
+    """Items against three plans at once: windows of three days, a month and ten years. Caps leave gaps."""
+    requests = domain.shard_requests(spark, sf_dir)
+    plans = [
+        shards.shard_windows(requests, options).withColumn("job_id", F.col("job_id") + number * 1_000_000_000)
+        for number, options in enumerate((ShardOptions(), SHORT, LONG))
+    ]
+    windows = plans[0].unionByName(plans[1]).unionByName(plans[2])
+    return shards.assign_items(domain.dated_items(spark, sf_dir), windows).select("item_key", "shard_job_id", "shard_index")
+
+
+def _density_sql(max_items, max_bytes, align):
+    """The same cuts, one day of every custodian per step of a recursive query."""
+    period = f"date_trunc('{align}', d.day)::TIMESTAMP" if align else "CAST(NULL AS TIMESTAMP)"
+    fits = lambda n, b: f"({n} = 0 OR ({n} + n <= {max_items} AND {b} + b <= {max_bytes}))"
+    return f"""SELECT job_id, custodian, CAST(row_number() OVER (PARTITION BY job_id, custodian ORDER BY from_date) - 1 AS BIGINT) AS shard_index,
+         strftime(from_date, '%Y-%m-%d %H:%M:%S.%f') AS start_date, strftime(to_date, '%Y-%m-%d %H:%M:%S.%f') AS end_date,
+         n AS estimated_items, b AS estimated_bytes, n > {max_items} OR b > {max_bytes} AS over_limit
+       FROM (WITH RECURSIVE daily AS (SELECT custodian, CAST(item_date AS DATE) AS day, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS b FROM dated_items GROUP BY 1, 2),
+         asked AS (SELECT job_id, c.custodian, start_date, end_date FROM shard_requests r CROSS JOIN unnest(r.custodians) AS c(custodian) WHERE start_date < end_date),
+         days AS (SELECT a.job_id, a.custodian, d.day::TIMESTAMP AS day, d.n, d.b, row_number() OVER (PARTITION BY a.job_id, a.custodian ORDER BY d.day) AS k
+           FROM asked a JOIN daily d ON a.custodian = d.custodian AND d.day BETWEEN CAST(a.start_date AS DATE) AND CAST(a.end_date - INTERVAL 1 MICROSECOND AS DATE)),
+         steps AS (
+           SELECT job_id, custodian, CAST(0 AS BIGINT) AS k, start_date AS s, end_date, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS bytes,
+             CAST(NULL AS TIMESTAMP) AS edge, CAST(0 AS BIGINT) AS ti, CAST(0 AS BIGINT) AS tb, 0 AS act, CAST(NULL AS TIMESTAMP) AS old_s,
+             CAST(NULL AS TIMESTAMP) AS old_edge, CAST(NULL AS TIMESTAMP) AS day, CAST(0 AS BIGINT) AS old_items, CAST(0 AS BIGINT) AS old_bytes,
+             CAST(0 AS BIGINT) AS old_ti, CAST(0 AS BIGINT) AS old_tb FROM asked
+           UNION ALL
+           SELECT job_id, custodian, k, CASE a WHEN 0 THEN s WHEN 1 THEN e ELSE day END, end_date,
+             CASE a WHEN 0 THEN items WHEN 1 THEN t ELSE 0 END + n, CASE a WHEN 0 THEN bytes WHEN 1 THEN u ELSE 0 END + b,
+             CASE a WHEN 0 THEN e END, CASE WHEN a = 0 AND e IS NOT NULL THEN t + n ELSE 0 END, CASE WHEN a = 0 AND e IS NOT NULL THEN u + b ELSE 0 END,
+             a, s, e, day, items, bytes, t, u
+           FROM (SELECT *, CASE WHEN {fits("items", "bytes")} THEN 0 WHEN e IS NULL OR items = t THEN 3 WHEN {fits("t", "u")} THEN 1 ELSE 2 END AS a
+             FROM (SELECT *, CASE WHEN fresh THEN p ELSE edge END AS e, CASE WHEN fresh THEN 0 ELSE ti END AS t, CASE WHEN fresh THEN 0 ELSE tb END AS u
+               FROM (SELECT x.job_id, x.custodian, d.k, x.s, x.end_date, x.items, x.bytes, x.edge, x.ti, x.tb, d.day, d.n, d.b, {period} AS p,
+                   coalesce({period} > x.s AND (x.edge IS NULL OR {period} > x.edge), false) AS fresh
+                 FROM steps x JOIN days d ON x.job_id = d.job_id AND x.custodian = d.custodian AND d.k = x.k + 1))))
+         SELECT job_id, custodian, old_s AS from_date, old_edge AS to_date, old_items - old_ti AS n, old_bytes - old_tb AS b FROM steps WHERE act IN (1, 2)
+         UNION ALL SELECT job_id, custodian, old_edge, day, old_ti, old_tb FROM steps WHERE act = 2
+         UNION ALL SELECT job_id, custodian, old_s, day, old_items, old_bytes FROM steps WHERE act = 3
+         UNION ALL SELECT job_id, custodian, s, end_date, items, bytes FROM steps QUALIFY k = max(k) OVER (PARTITION BY job_id, custodian))"""
+
+
+def _density_rows(spark, sf_dir, options):
+    density = daily_density(domain.dated_items(spark, sf_dir))
+    rows = density_shards(domain.shard_requests(spark, sf_dir), density, options)
+    return rows.select(
+        "job_id", "custodian", "shard_index", stamp("start_date").alias("start_date"), stamp("end_date").alias("end_date"),
+        "estimated_items", "estimated_bytes", "over_limit",
+    )
+
+
+@query("density_shards", _density_sql(4, 600_000, None))
+def density_shards_plain(spark, sf_dir):
+    """Shards of at most four items and 600,000 bytes, a day being the least."""
+    return _density_rows(spark, sf_dir, DensityOptions(4, 600_000))
+
+
+@query("density_shards_monthly", _density_sql(5, 900_000, "month"))
+def density_shards_monthly(spark, sf_dir):
+    """The same with edges on the first of a month where there is one."""
+    return _density_rows(spark, sf_dir, DensityOptions(5, 900_000, "month"))
+
+
 def _shard_table(spark, sf_dir):
     """Planned shards with the work done so far and a state."""
     planned = shards.plan_shards(domain.shard_requests(spark, sf_dir), domain.instant(domain.CREATED), YEARS)

@@ -247,6 +247,8 @@ def window_view(days: int, cap: int) -> str:
 
 VIEWS["windows"] = window_view(30, 12)
 VIEWS["year_windows"] = window_view(365, 5)
+VIEWS["short_windows"] = window_view(3, 200)
+VIEWS["long_windows"] = window_view(3650, 5)
 
 _NAMES = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
 

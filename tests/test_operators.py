@@ -71,10 +71,10 @@ def test_boundary_item(spark):
         ),
         "item_date",
     )
-    got = shards.assign_items(items, plan, bin_days=7).collect()
+    got = shards.assign_items(items, plan).collect()
     assert sorted((r.id, r.shard_index) for r in got if r.id != "out") == [("edge", 1), ("last", 2)]
     assert [r.shard_index for r in got if r.id == "out"] == [None]
-    both = shards.assign_items(items, plan, boundary="inclusive", bin_days=100).collect()
+    both = shards.assign_items(items, plan, boundary="inclusive").collect()
     assert sorted(r.shard_index for r in both if r.id == "edge") == [0, 1]
 
 
