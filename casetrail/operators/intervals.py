@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.operators.ordering import HOT_ROWS, greatest_before
-
 #: Cells are 2^36 microseconds (19 hours) wide, or wider by factors of 8 up to 36,000 years.
 LEVELS = tuple(range(36, 61, 3))
-_BUCKET = 1 << LEVELS[0]
 
 
 def _level(length: Column) -> Column:
@@ -25,26 +22,28 @@ def _cell(micros: Column, level: Column) -> Column:
     return F.call_function("shiftright", micros, level) * 64 + level
 
 
-def _gaps(intervals: DataFrame, hot_rows: int) -> DataFrame:
-    """What lies between the first and the last instant of a key and in none of its intervals."""
-    reach = greatest_before(
-        intervals.select("__key", "__first", "__last"),
-        ["__key"],
-        [F.col("__first")],
-        coarse=F.floor(F.col("__first") / F.lit(_BUCKET)),
-        value=F.col("__last"),
-        fine=[F.col("__first")],
-        name="__reach",
-        hot_rows=hot_rows,
+def _gaps(intervals: DataFrame) -> DataFrame:
+    """What lies between the first and the last instant of a key and in none of its intervals.
+
+    Intervals that start at one instant are one row first. How far those before a row reach is found in two steps, so that no task
+    sorts a key: over the buckets of 19 hours of the key, and over the starts inside a bucket.
+    """
+    starts = (
+        intervals.groupBy("__key", "__first")
+        .agg(F.max("__last").alias("__last"))
+        .withColumn("__bucket", F.shiftright("__first", LEVELS[0]))
     )
+    earlier = Window.unboundedPreceding, -1
+    before = F.max("__most").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(*earlier))
+    inside = F.max("__last").over(Window.partitionBy("__key", "__bucket").orderBy("__first").rowsBetween(*earlier))
+    buckets = starts.groupBy("__key", "__bucket").agg(F.max("__last").alias("__most")).select("__key", "__bucket", before.alias("__before"))
+    reach = starts.withColumn("__inside", inside).join(buckets, ["__key", "__bucket"]).withColumn("__reach", F.greatest("__inside", "__before"))
     return reach.filter(F.col("__first") > F.col("__reach") + 1).select(
         "__key", (F.col("__reach") + 1).alias("__from"), (F.col("__first") - 1).alias("__to")
     )
 
 
-def join_points(
-    points: DataFrame, at: Column, intervals: DataFrame, first: Column, last: Column, key: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def join_points(points: DataFrame, at: Column, intervals: DataFrame, first: Column, last: Column, key: str) -> DataFrame:
     """Every point with the other columns of each interval of its ``key`` that holds it; one row of nulls where none does.
 
     ``at``, ``first`` and ``last`` are microseconds, both ends included. An interval lies in at most two cells of the level
@@ -60,7 +59,7 @@ def join_points(
     ranged = intervals.select(
         F.col(key).alias("__key"), first.alias("__first"), last.alias("__last"), F.struct(*columns).alias("__found")
     ).filter("__first <= __last AND __key IS NOT NULL")
-    gaps = _gaps(ranged, hot_rows).select(
+    gaps = _gaps(ranged).select(
         "__key", F.col("__from").alias("__first"), F.col("__to").alias("__last"), F.lit(None).cast(ranged.schema["__found"].dataType).alias("__found")
     )
     levelled = ranged.unionByName(gaps).withColumn("__level", _level(F.col("__last") - F.col("__first") + 1))

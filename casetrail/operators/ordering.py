@@ -177,42 +177,6 @@ def last_value_so_far(
     )
 
 
-def greatest_before(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    coarse: Column,
-    value: Column,
-    fine: Sequence[Column] = (),
-    name: str = "greatest",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """The greatest ``value`` among the rows before a row in its group; null where there is none.
-
-    Inside a cell this is a running maximum; maxima of earlier cells and coarse buckets are carried over the edges.
-    """
-    cuts = [coarse, *fine]
-    keyed = _keyed(df.withColumn("__value", value), group, cuts, hot_rows)
-    span = F.struct(f"{_CELL}.{_GROUP}", f"{_CELL}.cut0")
-    fine_order = [F.col(f"{_CELL}.cut{i}") for i in range(1, len(cuts))]
-    earlier = Window.unboundedPreceding, -1
-
-    def most(column: str, window: Window) -> Column:
-        return F.max(column).over(window.rowsBetween(*earlier))
-
-    cells = keyed.filter(F.col(_HOT)).groupBy(_CELL).agg(F.max("__value").alias("__most")).withColumn("__span", span)
-    spans = cells.groupBy("__span").agg(F.max("__most").alias("__end"))
-    spans = spans.select("__span", most("__end", Window.partitionBy(f"__span.{_GROUP}").orderBy("__span.cut0")).alias("__earlier"))
-    inside_span = most("__most", Window.partitionBy("__span").orderBy(*fine_order)) if fine_order else F.col("__most") * F.lit(None)
-    edges = cells.withColumn("__inside", inside_span).join(spans, "__span").select(_CELL, F.greatest("__inside", "__earlier").alias("__edge"))
-    inside = most("__value", Window.partitionBy(_CELL).orderBy(*order))
-    return (
-        keyed.join(edges, _CELL, "left")
-        .withColumn(name, F.greatest(inside, F.col("__edge")))
-        .drop(_CELL, _GROUP, _HOT, "__edge", "__value")
-    )
-
-
 def as_of_join(
     left: DataFrame,
     right: DataFrame,

@@ -156,9 +156,7 @@ def sharded_job_metrics(
     )
 
 
-def assign_items(
-    items: DataFrame, windows: DataFrame, date: str = "item_date", boundary: str = "half_open", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def assign_items(items: DataFrame, windows: DataFrame, date: str = "item_date", boundary: str = "half_open") -> DataFrame:
     """Items with the shard whose window holds their date.
 
     Windows may be of any lengths, days beside decades (see ``join_points``). Items outside every window keep a null shard.
@@ -173,7 +171,7 @@ def assign_items(
         F.col("job_id").alias("shard_job_id"), "custodian", "shard_index", first.alias("__from"), last.alias("__to")
     )
     at = F.unix_micros(F.col(date).cast("timestamp"))
-    return join_points(items, at, plan, F.col("__from"), F.col("__to"), "custodian", hot_rows).drop("__from", "__to")
+    return join_points(items, at, plan, F.col("__from"), F.col("__to"), "custodian").drop("__from", "__to")
 
 
 def shard_activity(assigned: DataFrame, size: str) -> DataFrame:

@@ -6,9 +6,13 @@ reads it back with the operator under test.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.operators import audit, custody, delta, reconcile
+from casetrail import schemas
+from casetrail.operators import audit, custody, delta, reconcile, shards
 from casetrail.operators.reconcile import ReconcileOptions
 from casetrail.plans import domain
 from casetrail.plans.catalog import query, stamp
@@ -426,6 +430,68 @@ def declared_tables(spark, sf_dir):
     return datasets.read_table(spark, root, "checkpoints").select("shard_id", "checkpoint_id", "is_completed")
 
 
+def _planned_shards(spark, sf_dir):
+    return shards.plan_shards(domain.shard_requests(spark, sf_dir), domain.instant(domain.CREATED))
+
+
+def _job_logs(spark, sf_dir):
+    return domain.lifecycle_events(spark, sf_dir).selectExpr(
+        "event_id AS log_id", "job_id", "ts", "'Information' AS level", "event_type AS category", "concat('event ', event_id) AS message", "correlation_id"
+    )
+
+
+# Each declared table: its rows, a number and a time over its columns, and the same over the provided tables.
+_DECLARED = {
+    "matters": (domain.matters, "sum(matter_id)", "min(created_date)", "SELECT count(*), sum(n_nationkey), NULL FROM nation"),
+    "jobs": (domain.jobs, "sum(estimated_bytes)", "max(start_time)", "SELECT count(*), sum(floor(o_totalprice)), max(o_orderdate) + INTERVAL 1 HOUR FROM orders"),
+    "items": (domain.items, "sum(size_bytes)", "min(item_date)", "SELECT count(*), sum(floor(l_extendedprice)), min(l_shipdate) FROM lineitem"),
+    "job_logs": (_job_logs, "sum(log_id)", "max(ts)", "SELECT count(*), sum(event_id), max(ts) FROM events"),
+    "manifests": (
+        domain.sealed_manifests, "count_if(is_sealed)", "min(created_date)",
+        "SELECT count(*), count(*) FILTER (WHERE o_orderkey % 5 = 0), min(o_orderdate) FROM orders WHERE o_orderstatus = 'F'",
+    ),
+    "verifications": (
+        domain.verifications, "count_if(result = 'Valid')", "max(verification_date)",
+        "SELECT count(*), count(*) FILTER (WHERE l_returnflag = 'A'), max(l_shipdate) FROM lineitem",
+    ),
+    "shard_requests": (
+        domain.shard_requests, "sum(size(custodians))", "max(end_date)", "SELECT count(*), sum(len(custodians)), max(end_date) FROM shard_requests",
+    ),
+    "shards": (_planned_shards, "sum(shard_index * 3 + max_retries)", "max(end_date)", "SELECT count(*), sum(shard_index * 3 + 3), max(to_date) FROM windows"),
+    "checkpoints": (domain.checkpoints, "sum(items_processed)", "min(created_date)", "SELECT count(*), sum(event_id % 100), min(ts) FROM events"),
+    "cursors": (
+        domain.cursors, "sum(last_delta_size_bytes)", "max(updated_date)",
+        "SELECT count(*), sum(c_custkey % 1000), TIMESTAMP '2024-02-01' + to_minutes(max(c_custkey)) FROM customer",
+    ),
+    "metric_points": (domain.metric_points, "cast(sum(value) AS BIGINT)", "max(ts)", "SELECT count(*), sum(round(value * 100)), max(ts) FROM events"),
+    "lifecycle_events": (domain.lifecycle_events, "sum(size_bytes)", "min(ts)", "SELECT count(*), sum(round(value * 100)), min(ts) FROM events"),
+}
+
+
+@query(
+    "declared_tables_all",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, CAST(n AS BIGINT) AS n_rows, CAST(t AS BIGINT) AS total, strftime(CAST(e AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS edge FROM ({sql}) AS v(n, t, e)"
+        for name, (_, _, _, sql) in _DECLARED.items()
+    ),
+)
+def declared_tables_all(spark, sf_dir):
+    """Every declared table written and read back with its schema; columns that its files lack are null."""
+    root = new_folder(spark, "all-tables")
+    found = []
+    for name, (rows, total, edge, _) in _DECLARED.items():
+        made = rows(spark, sf_dir)
+        declared = [f for f in schemas.TABLES[name].fields if f.name in made.columns]
+        made.select(*[F.col(f.name).cast(f.dataType) for f in declared]).write.parquet(f"{root}/{name}")
+        table = datasets.read_table(spark, root, name)
+        found.append(
+            table.agg(
+                F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.expr(total).cast("long").alias("total"), stamp(F.expr(edge)).alias("edge")
+            )
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "manifest_csv_mixed_headers",
     """SELECT doc_id % 3 AS form, custodian, coalesce(item_id, '') AS item_id, path, size, CASE WHEN doc_id % 3 < 2 THEN sha256 END AS sha256 FROM source_manifest""",

@@ -6,6 +6,7 @@ back. In append mode the watermark closes windows; those still open come from a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,11 @@ class _Streamed:
         return table_stream(self._spark, self._sf_dir, path.rsplit("/", 1)[-1].removesuffix(".parquet"))
 
 
-def run_append(spark: SparkSession, frame: DataFrame, batch: DataFrame, end: Column, label: str) -> DataFrame:
-    """Run to the end of the input with a transactional file sink; the result, open windows included."""
+def run_append(spark: SparkSession, frame: DataFrame, batch: Callable[[str], DataFrame], end: Column, label: str) -> DataFrame:
+    """Run to the end of the input with a transactional file sink; the result, open windows included.
+
+    ``batch`` gives the operator's rows for the windows that are open at a watermark.
+    """
     target = new_folder(spark, label)
     started = (
         frame.writeStream.format("parquet")
@@ -55,7 +59,8 @@ def run_append(spark: SparkSession, frame: DataFrame, batch: DataFrame, end: Col
     started.awaitTermination()
     marks = [p["eventTime"]["watermark"] for p in started.recentProgress if "watermark" in p["eventTime"]]
     closed = spark.read.schema(frame.schema).parquet(target)
-    return metrics.with_open_windows(closed, batch, end, max(marks, default=None))
+    mark = max(marks, default=None)
+    return closed if mark is None else metrics.with_open_windows(closed, batch(mark), end, mark)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -73,13 +78,27 @@ def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def stream_rolling_rates(spark, sf_dir):
     stream, table = _points(spark, sf_dir)
     rates = lambda points: metrics.rolling_rates(points, 15, "5 minutes")
-    rows = run_append(spark, rates(stream), rates(table), F.col("window_end"), "rates")
+    rows = run_append(spark, rates(stream), lambda mark: rates(metrics.open_tail(table, mark, 15)), F.col("window_end"), "rates")
     return rows.select(
         stamp("window_start").alias("window_start"), "metric", "total", "points",
         F.round("rate_per_minute", 6).alias("rate_per_minute"),
     )
 
 
+@query(
+    "stream_pane_rates",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, metric, sum(value) AS total, count(*) AS points, round(avg(value), 6) AS average
+        FROM (SELECT metric, value, date_trunc('minute', ts) - to_minutes(k) AS w FROM metric_points CROSS JOIN range(15) AS r(k)) GROUP BY w, metric""",
+)
+def stream_pane_rates(spark, sf_dir):
+    """The default slide: each point is in fifteen windows."""
+    stream, table = _points(spark, sf_dir)
+    rows = run_append(
+        spark, metrics.pane_rates(stream), lambda mark: metrics.pane_rates(metrics.open_tail(table, mark, 15)), F.col("window_end"), "pane-rates"
+    )
+    return rows.select(stamp("window_start").alias("window_start"), "metric", "total", "points", F.round("average", 6).alias("average"))
+
+
 @query(
     "stream_minute_sums",
     """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS minute, metric, sum(value) AS total FROM metric_points GROUP BY 1, 2""",
@@ -87,7 +106,7 @@ def stream_rolling_rates(spark, sf_dir):
 def stream_minute_sums(spark, sf_dir):
     stream, table = _points(spark, sf_dir)
     end = F.col("minute") + F.expr("INTERVAL 1 MINUTE")
-    rows = run_append(spark, metrics.minute_sums(stream), metrics.minute_sums(table), end, "minutes")
+    rows = run_append(spark, metrics.minute_sums(stream), lambda mark: metrics.minute_sums(metrics.open_tail(table, mark, 1)), end, "minutes")
     return rows.select(stamp("minute").alias("minute"), "metric", "total")
 
 
@@ -99,7 +118,7 @@ def stream_minute_sums(spark, sf_dir):
 def stream_hourly_peaks(spark, sf_dir):
     stream, table = _points(spark, sf_dir)
     end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
-    rows = run_append(spark, metrics.hourly_peaks(stream), metrics.hourly_peaks(table), end, "peaks")
+    rows = run_append(spark, metrics.hourly_peaks(stream), lambda mark: metrics.hourly_peaks(metrics.open_tail(table, mark, 60)), end, "peaks")
     return rows.select(stamp("hour").alias("hour"), "metric", "peak_minute")
 
 
@@ -131,9 +150,10 @@ def job_sessions(spark, sf_dir):
 def stream_job_sessions(spark, sf_dir):
     stream = lifecycle.job_sessions(domain.lifecycle_events(_Streamed(spark, sf_dir), sf_dir), 360)
     table = lifecycle.job_sessions(domain.lifecycle_events(spark, sf_dir), 360)
+    # A session may begin long before the watermark, so the whole table is summed up for the open ones.
     # From the last event, not from the window: a filter on the window would be applied to events before they are merged.
     end = F.col("last_event_at") + F.expr("INTERVAL 6 HOURS")
-    return _shown_sessions(run_append(spark, stream, table, end, "sessions"))
+    return _shown_sessions(run_append(spark, stream, lambda mark: table, end, "sessions"))
 
 
 def _manifest_files(spark: SparkSession, sf_dir: str, repeat_job: str | None = None) -> dict[str, list[tuple[str, str]]]:

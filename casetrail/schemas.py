@@ -192,10 +192,43 @@ LIFECYCLE_EVENT = _struct(
     ("collected_size_bytes", _L),
 )
 
+JOB_LOG = _struct(
+    ("log_id", _L),
+    ("job_id", _L),
+    ("ts", _TS),
+    ("level", _S),
+    ("category", _S),
+    ("message", _S),
+    ("details", _S),
+    ("correlation_id", _S),
+)
+
+JOB_SHARD = _struct(
+    ("job_id", _L),
+    ("custodian", _S),
+    ("start_date", _TS),
+    ("end_date", _TS),
+    ("job_type", _S),
+    ("status", _S),
+    ("route", _S),
+    ("shard_index", _L),
+    ("total_shards", _L),
+    ("shard_identifier", _S),
+    ("created_date", _TS),
+    ("lock_expiry", _TS),
+    ("estimated_bytes", _L),
+    ("estimated_items", _L),
+    ("processed_bytes", _L),
+    ("processed_items", _L),
+    ("max_retries", _I),
+)
+
 TABLES = {
     "matters": MATTER,
     "jobs": COLLECTION_JOB,
     "items": COLLECTED_ITEM,
+    "job_logs": JOB_LOG,
+    "shards": JOB_SHARD,
     "manifests": JOB_MANIFEST,
     "verifications": MANIFEST_VERIFICATION,
     "shard_requests": SHARD_REQUEST,

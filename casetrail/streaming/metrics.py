@@ -5,6 +5,8 @@ The watermark is the retention: state of windows older than it is dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +22,10 @@ def as_event_time(points: DataFrame, column: str = "ts", retention: str = RETENT
 
 
 def rolling_rates(points: DataFrame, minutes: int = 15, slide: str = "1 minute") -> DataFrame:
-    """Sum, count, average and rate per minute of every metric over sliding windows."""
+    """Sum, count, average and rate per minute of every metric over sliding windows, in any output mode.
+
+    Each point is copied into all its windows; ``pane_rates`` gives the same without that, but cannot run in complete mode.
+    """
     window = F.window("ts", f"{minutes} minutes", slide)
     return (
         as_event_time(points)
@@ -38,6 +43,47 @@ def rolling_rates(points: DataFrame, minutes: int = 15, slide: str = "1 minute")
     )
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
+
+
+def _seconds(length: str) -> int:
+    """Seconds of a length such as ``5 minutes``."""
+    number, unit = length.split()
+    return int(number) * _SECONDS[unit.removesuffix("s")]
+
+
+def pane_sums(points: DataFrame, seconds: int) -> DataFrame:
+    """Sum and count per metric and pane: the pieces that every window is made of."""
+    return (
+        as_event_time(points)
+        .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "metric")
+        .agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("points"), F.count("value").alias("valued"))
+    )
+
+
+def pane_rates(points: DataFrame, minutes: int = 15, slide: str = "1 minute") -> DataFrame:
+    """The rows of ``rolling_rates``, for batches and streams in append mode.
+
+    Points are added up once, in panes that windows and slides are multiples of; windows are made of panes. A point is never copied,
+    and what is copied into each window is one row a metric and pane, however many points there are.
+    """
+    pane = math.gcd(minutes * 60, _seconds(slide))
+    panes = pane_sums(points, pane).select(F.window_time("w").alias("pane"), "metric", "total", "points", "valued")
+    return (
+        panes.groupBy(F.window("pane", f"{minutes} minutes", slide).alias("w"), "metric")
+        .agg(F.sum("total").alias("total"), F.sum("points").alias("points"), F.sum("valued").alias("valued"))
+        .select(
+            F.col("w.start").alias("window_start"),
+            F.col("w.end").alias("window_end"),
+            "metric",
+            "total",
+            "points",
+            F.when(F.col("valued") > 0, F.col("total") / F.col("valued")).alias("average"),
+            (F.col("total") / minutes).alias("rate_per_minute"),
+        )
+    )
+
+
 def minute_sums(points: DataFrame) -> DataFrame:
     """Sums per metric and minute; their maximum over 24 hours is the peak."""
     return (
@@ -63,6 +109,11 @@ def hourly_peaks(points: DataFrame) -> DataFrame:
     )
 
 
+def open_tail(points: DataFrame, watermark: str, minutes: int) -> DataFrame:
+    """The points that can lie in a window of ``minutes`` which ends after the watermark."""
+    return points.filter(F.col("ts") >= F.lit(watermark).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
+
+
 def with_open_windows(closed: DataFrame, batch: DataFrame, end: Column, watermark: str | None) -> DataFrame:
     """Windows a stream has written, and those its watermark has not closed yet from the same operator over a batch.
 
