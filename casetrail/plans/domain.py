@@ -306,6 +306,8 @@ CHANGE_SCHEMA = (
     "scope_id string, item_id string, version bigint, size_bytes bigint, deleted boolean, "
     "is_folder boolean, is_file boolean, delta_type string, ts timestamp"
 )
+# First day of the events.
+EVENTS_FROM = "2024-01-01"
 BASE_UNTIL = "2024-01-15 00:00:00"
 
 

@@ -21,7 +21,7 @@ from casetrail.sinks import files
 from casetrail.sinks.cursors import CursorStore
 from casetrail.streaming import delta as delta_stream
 from casetrail.streaming import landing as landing_stream
-from casetrail.streaming import lifecycle, metrics
+from casetrail.streaming import lifecycle, metrics, timeouts
 from casetrail.streaming import reconcile as reconcile_stream
 from casetrail.workspace import list_names, new_folder, remove_folder, rename_file
 
@@ -156,6 +156,34 @@ def stream_job_sessions(spark, sf_dir):
     return _shown_sessions(run_append(spark, stream, lambda mark: table, end, "sessions"))
 
 
+@query(
+    "stream_job_timeouts",
+    """WITH gaps AS (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts) AS prev FROM lifecycle),
+         runs AS (SELECT *, sum(CASE WHEN ts - prev < INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY ts) AS s FROM gaps)
+       SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_event_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event_at,
+         count(*) FILTER (WHERE event_type = 'ItemCollected') AS items_collected,
+         CAST(coalesce(sum(size_bytes) FILTER (WHERE event_type = 'ItemCollected'), 0) AS BIGINT) AS bytes_collected,
+         count(*) FILTER (WHERE event_type = 'BackoffTriggered') AS backoffs,
+         CASE WHEN count(*) FILTER (WHERE event_type = 'JobCompleted') > 0 THEN 'Completed'
+           WHEN max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM lifecycle) THEN 'TimedOut' ELSE 'Open' END AS state
+       FROM runs GROUP BY job_id, s""",
+)
+def stream_job_timeouts(spark, sf_dir):
+    """Events arrive in four batches, each up to twenty hours late, so sessions time out, open again and are joined."""
+    events = domain.lifecycle_events(spark, sf_dir).select("event_id", "job_id", "event_type", "ts", "size_bytes")
+    arrival = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") * 7919 % 72_000)
+    day = F.greatest(F.least(F.datediff(arrival, F.lit(domain.EVENTS_FROM)), F.lit(31)), F.lit(0))
+    root, output, checkpoint = (new_folder(spark, name) for name in ("late-events", "job-changes", "job-changes-checkpoint"))
+    for number in range(4):
+        events.where(F.floor(day / 8) == number).drop("event_id").write.mode("append").parquet(root)
+        stream = spark.readStream.schema(events.drop("event_id").schema).parquet(root)
+        timeouts.run_job_changes(timeouts.job_changes(stream, 360), output, checkpoint).awaitTermination()
+    return timeouts.current_sessions(spark.read.parquet(output)).select(
+        "job_id", stamp("first_event_at").alias("first_event_at"), stamp("last_event_at").alias("last_event_at"),
+        "items_collected", "bytes_collected", "backoffs", "state",
+    )
+
+
 def _manifest_files(spark: SparkSession, sf_dir: str, repeat_job: str | None = None) -> dict[str, list[tuple[str, str]]]:
     """Per side, a manifest file for each custodian and job in a folder of its own: (path, name to land under)."""
     found = {}

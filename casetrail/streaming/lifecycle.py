@@ -6,7 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _per_row() -> list[Column]:
+def per_row() -> list[Column]:
+    """Lifecycle facts of single events in microseconds, to be merged outside of SQL."""
+    kind, at, size = F.col("event_type"), F.unix_micros("ts"), F.col("size_bytes").cast("long")
+    collected = F.coalesce(kind == "ItemCollected", F.lit(False))
+    return [
+        F.when(kind == "JobStarted", at).alias("started_at"),
+        F.when(kind == "JobCompleted", at).alias("completed_at"),
+        at.alias("first_event_at"),
+        at.alias("last_event_at"),
+        collected.cast("long").alias("items_collected"),
+        F.when(collected, F.coalesce(size, F.lit(0))).otherwise(0).cast("long").alias("bytes_collected"),
+        F.coalesce(kind == "BackoffTriggered", F.lit(False)).cast("long").alias("backoffs"),
+    ]
+
+
+def _summed() -> list[Column]:
     """Lifecycle facts of events, as mergeable aggregates."""
     kind = F.col("event_type")
     return [
@@ -51,9 +66,9 @@ def job_sessions(events: DataFrame, timeout_minutes: int = 30, watermark: str =
     if events.isStreaming:
         timed = timed.withWatermark("ts", watermark)
         window = F.session_window("ts", f"{timeout_minutes} minutes")
-        grouped = timed.groupBy(window.alias("s"), "job_id").agg(*_per_row())
+        grouped = timed.groupBy(window.alias("s"), "job_id").agg(*_summed())
     else:
-        minutes = timed.groupBy("job_id", F.date_trunc("minute", "ts").alias("minute")).agg(*_per_row())
+        minutes = timed.groupBy("job_id", F.date_trunc("minute", "ts").alias("minute")).agg(*_summed())
         stretch = F.unix_micros("last_event_at") - F.unix_micros("first_event_at")
         gap = F.concat((stretch + timeout_minutes * 60_000_000).cast("string"), F.lit(" microseconds"))
         window = F.session_window("first_event_at", gap)
