@@ -276,13 +276,15 @@ def stream_retention(spark, sf_dir):
 _LIVE = "NOT deleted AND (delta_type = 'Mail' OR (NOT is_folder AND is_file))"
 
 
-def _run_feed(spark, sf_dir):
+def _run_feed(spark, sf_dir, base=None):
     """The change log as three batches, the later ones full of changes older than what came before."""
     changes = domain.changes(spark, sf_dir)
     root = new_folder(spark, "feed")
     for number in range(3):
         changes.filter(F.col("version") % 3 == number).coalesce(1).write.mode("append").parquet(root)
     log = delta_stream.ChangeLog(spark, new_folder(spark, "change-log"), domain.CHANGE_SCHEMA)
+    if base is not None:
+        log.start(base)
     store = CursorStore(spark, new_folder(spark, "feed-cursors"))
     known = changes.filter("delta_type = 'OneDrive'").select("scope_id").distinct()
     store.save(
@@ -307,8 +309,24 @@ def _run_feed(spark, sf_dir):
 def stream_delta_apply(spark, sf_dir):
     before = domain.changes(spark, sf_dir).filter(F.col("ts") < domain.instant(domain.BASE_UNTIL))
     base = latest_by(before.filter(delta.is_live() | delta.is_deleted()), ["item_id"], [F.col("version")]).filter("NOT deleted")
-    log, _ = _run_feed(spark, sf_dir)
-    return log.snapshot(base).select("item_id", "version", "size_bytes", "scope_id")
+    log, _ = _run_feed(spark, sf_dir, base)
+    return log.snapshot().select("item_id", "version", "size_bytes", "scope_id")
+
+
+@query(
+    "stream_delta_compacted",
+    f"""SELECT item_id, version, size_bytes, scope_id FROM (SELECT * FROM changes WHERE deleted OR {_LIVE}
+         QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY version DESC) = 1) WHERE NOT deleted""",
+)
+def stream_delta_compacted(spark, sf_dir):
+    """A new snapshot between rounds of changes; what comes after it holds older versions and items that it knows as deleted."""
+    changes = domain.changes(spark, sf_dir)
+    log = delta_stream.ChangeLog(spark, new_folder(spark, "layers"), domain.CHANGE_SCHEMA)
+    for number in range(3):
+        log.append(changes.filter(F.col("version") % 3 == 2 - number), number)
+        if number < 2:
+            log.compact(number)
+    return log.snapshot().select("item_id", "version", "size_bytes", "scope_id")
 
 
 @query(

@@ -4,52 +4,56 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casetrail.operators.delta import advance_cursors, apply_changes, is_deleted, is_live, query_results
+from casetrail.operators.delta import advance_cursors, is_deleted, is_live, query_results
 from casetrail.operators.ordering import latest_by
 from casetrail.sinks.cursors import CursorStore
+from casetrail.sinks.layers import LayeredTable
 
 
 @dataclass(frozen=True)
 class ChangeLog:
-    """Changes kept per batch beside a base snapshot and merged when read.
+    """A snapshot and the changes after it in layers with the same buckets, merged when read.
 
-    A batch writes only its own changes, not the snapshot. ``compact`` folds them
-    into a new base folder when they have grown.
+    A batch shuffles and writes its own changes only; the snapshot is read, and written anew, bucket by bucket.
     """
 
     spark: SparkSession
     root: str
     schema: str
+    buckets: int = 64
 
     @property
-    def changes_path(self) -> str:
-        return f"{self.root}/changes"
+    def table(self) -> LayeredTable:
+        return LayeredTable(self.spark, self.root, self.schema, buckets=self.buckets)
+
+    def start(self, base: DataFrame) -> None:
+        """Begin with a snapshot: one row per item."""
+        self.table.start(base)
 
     def append(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Write the latest change of each item of the batch and return what was written.
 
         Changes of folders are kept beside an item's other changes: they move the token only.
         """
-        path = f"{self.changes_path}/batch_id={batch_id}"
-        marked = batch.withColumn("__taken", is_live() | is_deleted())
-        latest_by(marked, ["item_id", "__taken"], [F.col("version")]).drop("__taken").write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+        marked = batch.withColumn("__taken", _taken())
+        # A hot item is reduced before the shuffle; the rows that are left are dealt to buckets.
+        return self.table.append(latest_by(marked, ["item_id", "__taken"], [F.col("version")]).drop("__taken"), batch_id)
+
+    def snapshot(self) -> DataFrame:
+        """Live items. The snapshot takes items to collect and deletions, without folders."""
+        return self.table.state(_taken())
 
-    def changes(self) -> DataFrame:
-        """What the snapshot takes: items to collect and deletions, without folders."""
-        written = self.spark.read.schema(self.schema).parquet(f"{self.changes_path}/batch_id=*")
-        return written.filter(is_live() | is_deleted())
+    def compact(self, batch_id: int) -> None:
+        """Fold the changes up to a batch into a new snapshot."""
+        self.table.compact(batch_id, _taken())
 
-    def snapshot(self, base: DataFrame) -> DataFrame:
-        return apply_changes(base, self.changes())
 
-    def compact(self, base: DataFrame, target: str) -> DataFrame:
-        self.snapshot(base).write.parquet(target)
-        return self.spark.read.parquet(target)
+def _taken() -> Column:
+    return is_live() | is_deleted()
 
 
 def run_change_feed(
@@ -76,6 +80,8 @@ def run_change_feed(
         results = query_results(written)
         touched = before.join(results.select("scope_id"), "scope_id", "left_semi")
         cursors.append(advance_cursors(touched, results, F.lit(moment)), version=batch_id + 2)
+        if log.table.due():
+            log.compact(batch_id)
 
     return (
         feed.withColumn("ts", F.col("ts").cast("timestamp"))
