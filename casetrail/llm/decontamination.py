@@ -14,13 +14,16 @@ from casetrail.llm.arrays import text_bytes
 from casetrail.session import ship
 
 Q = 8
-#: Items are compared as pieces of this many bytes that overlap by half, so a leaked half of an item is found.
-PIECE = 160
+#: Items are compared as pieces of this many bytes, one from every ``STRIDE`` bytes on, so that every verbatim run of
+#: ``PIECE + STRIDE - 1`` bytes of an item holds a whole piece.
+PIECE, STRIDE = 80, 16
 #: Edits allowed per byte of a piece.
 BUDGET = 0.1
 #: Bytes of benchmark text that are broadcast at a time; a larger benchmark takes several passes.
 BLOCK_BYTES = 4 << 20
 PART = 1 << 20
+#: Shared q-grams that are held at a time; texts that share more are gone through in overlapping windows.
+MOST_HITS = 1 << 21
 
 # Letters and digits in lower case; every other ASCII byte becomes a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -79,9 +82,9 @@ def banded_distances(pieces: list[np.ndarray], regions: list[np.ndarray], widths
 
 @dataclass
 class Index:
-    """Pieces of one block of the benchmark and where their q-grams are."""
+    """Distinct pieces of one block of the benchmark, the items that have each, and where their q-grams are."""
 
-    items: list
+    items: list[list]
     pieces: list[np.ndarray]
     budget: np.ndarray
     needed: np.ndarray
@@ -93,15 +96,17 @@ class Index:
 
     @staticmethod
     def build(rows: list[tuple[object, str]]) -> Index:
-        items, pieces = [], []
+        known: dict[bytes, list] = {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             data = np.frombuffer(fold(raw, np.array([0, len(raw)]))[0].tobytes().strip(), np.uint8)
             last = max(len(data) - PIECE, 0)
-            for at in sorted({*range(0, last, PIECE // 2), last}):
+            for at in sorted({*range(0, last, STRIDE), last}):
                 if len(data) >= Q:
-                    items.append(item)
-                    pieces.append(data[at : at + PIECE])
+                    having = known.setdefault(data[at : at + PIECE].tobytes(), [])
+                    if item not in having[-1:]:
+                        having.append(item)
+        items, pieces = list(known.values()), [np.frombuffer(content, np.uint8) for content in known]
         sizes = np.array([len(p) for p in pieces], np.int64)
         budget = np.floor(sizes * BUDGET).astype(np.int64)
         # Each edit destroys at most Q of a piece's grams.
@@ -124,24 +129,34 @@ class Index:
     def slot(codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text place, piece, piece place) of every shared q-gram."""
+    def shared(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text place, gram) of every q-gram that the text shares with a piece."""
         codes = grams(data)
         at = np.flatnonzero(self.filter[self.slot(codes)])
         if not len(at) or not len(self.codes):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         number = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         same = self.codes[number] == codes[at]
-        at, number = at[same], number[same]
+        return at[same], number[same]
+
+    def windows(self, at: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The shared q-grams in windows of about ``MOST_HITS`` hits; whatever one band can hold is in one of them as a whole."""
+        reach = PIECE + 4 * (int(PIECE * BUDGET) + 1)
+        total = np.cumsum(self.first[number + 1] - self.first[number])
+        begin, end = 0, 0
+        while end < len(at):
+            passed = total[begin - 1] if begin else 0
+            end = int(np.searchsorted(total, passed + MOST_HITS, side="right"))
+            end = max(end, int(np.searchsorted(at, at[begin] + 2 * reach)))
+            yield at[begin:end], number[begin:end]
+            if end < len(at):
+                begin = int(np.searchsorted(at, at[end] - reach))
+
+    def bands(self, at: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The (piece, band) that reach the count which a region within the budget must have."""
         counts = self.first[number + 1] - self.first[number]
         into = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[number], counts)
-        return np.repeat(at, counts), self.piece[into], self.place[into]
-
-    def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, piece, start, end, distance) of the verified regions; the best one for each text and piece."""
-        at, piece, place = self.hits(data)
-        if not len(at):
-            return []
+        at, piece, place = np.repeat(at, counts), self.piece[into], self.place[into]
         step = self.budget[piece] + 1
         # A match on up to ``step`` neighbouring diagonals lies wholly in one of two overlapping bands.
         band = (at - place + PIECE) // step + 1
@@ -151,7 +166,14 @@ class Index:
         counted = grams_of[np.r_[True, grams_of[1:] != grams_of[:-1]]] >> 8
         heads = np.flatnonzero(np.r_[True, counted[1:] != counted[:-1]])
         counts = np.diff(np.r_[heads, len(counted)])
-        found = counted[heads[counts >= self.needed[counted[heads] >> 30]]]
+        return counted[heads[counts >= self.needed[counted[heads] >> 30]]]
+
+    def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, piece, start, end, distance) of the verified regions; the best one for each text and piece."""
+        at, number = self.shared(data)
+        if not len(at):
+            return []
+        found = np.unique(np.concatenate([self.bands(*window) for window in self.windows(at, number)]))
         candidates = []
         for key in found.tolist():
             k, number = key >> 30, (key & ((1 << 30) - 1)) - 1
@@ -196,8 +218,8 @@ def contaminated_regions(
     """The row with an array ``regions`` of (item, start, end, distance): where pieces of benchmark items occur.
 
     Both sides are compared as bytes of lower-case letters and digits with single spaces. A piece is
-    up to 160 bytes of an item; a text has it if a part of the text is within a tenth of the
-    piece's length in edits. Such a part shares at least ``length - 7 - 8 * edits`` q-grams with the piece
+    80 bytes of an item, from every sixteenth byte on (a shorter item is one piece); a text has it if a part of the text is
+    within a tenth of the piece's length in edits. So every verbatim run of 95 bytes of an item is found. Such a part shares at least ``length - 7 - 8 * edits`` q-grams with the piece
     on neighbouring diagonals; bands that reach this count are verified by banded alignment. ``start`` and ``end`` are
     byte offsets into the text (the start within ``distance`` bytes).
 
@@ -229,9 +251,8 @@ def contaminated_regions(
                     ends = np.r_[places, offsets[end] - offsets[begin]]
                     for text, k, start, stop, distance in index.regions(data, starts):
                         base = int(offsets[begin + text] - offsets[begin])
-                        found[begin + text].append(
-                            {"item": str(index.items[k]), "start": int(places[start]) - base, "end": int(ends[stop - 1]) + 1 - base, "distance": distance}
-                        )
+                        place = {"start": int(places[start]) - base, "end": int(ends[stop - 1]) + 1 - base, "distance": distance}
+                        found[begin + text] += [{"item": str(item), **place} for item in index.items[k]]
                     begin = end
                 regions = pa.array([sorted(x, key=lambda r: (r["start"], r["end"], r["item"])) for x in found], batch.schema.field("regions").type)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "text", "kept")), regions], ["id", "text", "kept", "regions"])

@@ -46,7 +46,7 @@ def contaminated(rows, items):
         for item, passage in items:
             body = folded(passage)
             last = max(len(body) - decontamination.PIECE, 0)
-            for at in {*range(0, last, decontamination.PIECE // 2), last}:
+            for at in {*range(0, last, decontamination.STRIDE), last}:
                 piece = body[at : at + decontamination.PIECE]
                 if len(piece) >= 8 and edit_distance_inside(piece, data) <= int(len(piece) * decontamination.BUDGET):
                     out.add((doc_id, item))
@@ -327,6 +327,52 @@ def test_pipeline_stages(spark, tmp_path):
     )
 
 
+@pytest.mark.parametrize("length", [95, 117, 150, 233, 500])
+def test_runs_of_an_item_are_found_at_all_places(length):
+    """Every verbatim run of 95 bytes, at every place of items of several lengths; of halves, too."""
+    rng = random.Random(31)
+    shortest = decontamination.PIECE + decontamination.STRIDE - 1
+    item = "".join(rng.choice("abcdefghij") for _ in range(length))
+    index = decontamination.Index.build([(1, item)])
+    for size in {shortest, max(shortest, length // 2)}:
+        for at in range(0, length - size + 1):
+            text = "".join(rng.choice("klmnopq ") for _ in range(50)) + item[at : at + size] + " klm" * 9
+            data = np.frombuffer(text.encode(), np.uint8)
+            assert index.regions(data, np.array([0, len(data)])), (length, size, at)
+
+
+def test_runs_of_one_letter_are_gone_through_in_windows(monkeypatch):
+    index = decontamination.Index.build([(1, "x" * 300), (2, "x" * 300)])
+    # Equal pieces are one.
+    assert len(index.pieces) == 1 and index.items == [[1, 2]]
+    data = np.full(20_000, ord("x"), np.uint8)
+    held = []
+    bands = decontamination.Index.bands
+    monkeypatch.setattr(decontamination.Index, "bands", lambda self, at, number: (held.append(len(at) * 73), bands(self, at, number))[1])
+    monkeypatch.setattr(decontamination, "MOST_HITS", 50_000)
+    found = index.regions(data, np.array([0, 9_000, 20_000]))
+    assert max(held) <= 50_000 and len(held) > 20
+    assert sorted(t for t, *_ in found) == [0, 1] and all(d == 0 for *_, d in found)
+    held.clear()
+    # The same without windows.
+    monkeypatch.setattr(decontamination, "MOST_HITS", 1 << 40)
+    assert index.regions(data, np.array([0, 9_000, 20_000])) == found and len(held) == 1
+
+
+def test_windows_leave_out_nothing(monkeypatch):
+    rng = random.Random(32)
+    items = [(k, prose(rng, 40)) for k in range(30)]
+    index = decontamination.Index.build(items)
+    text = " ".join(" ".join(w for w in t.split() if rng.random() > 0.03) + " " + prose(rng, 60) for _, t in items)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    data, offsets, _ = decontamination.fold(raw, np.array([0, len(raw) // 2, len(raw)]))
+    whole = index.regions(data, offsets)
+    for most in (1, 100, 1000):
+        monkeypatch.setattr(decontamination, "MOST_HITS", most)
+        assert index.regions(data, offsets) == whole
+    assert len({index.items[k][0] for _, k, *_ in whole}) > 20
+
+
 def test_very_long_runs_of_digits_are_no_address():
     from casetrail.llm.pii import base_spans
 
