@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +184,55 @@ def test_local_support_loses_no_phrase(spark):
     assert [tuple(r) for r in found] == [("en", 1, "alpha beta", 10, 10, 10, 20, 1_000_000)]
 
 
+def test_candidates_can_reach_the_support(spark, monkeypatch):
+    """Three in one shard leave two at most in each of the other three: nine, which is not counted as text."""
+    sizes, rows = [], []
+    for k, (text, copies) in enumerate([("lone pair", 3), ("close call", 4), ("good deal", 10)]):
+        # Equal rows are in one shard.
+        rows += [(k, text, "en", "a")] * copies
+
+    def filter_of(terms, make=phrases._filter_of):
+        sizes.append(terms.count())
+        return make(terms)
+
+    monkeypatch.setattr(phrases, "_filter_of", filter_of)
+    found = collocations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["phrase"] for r in found] == ["good deal"]
+    # Words, phrases of two words, and both; nothing of the lone pair.
+    assert sizes == [4, 2, 6]
+
+
+def test_bound_of_candidates_loses_no_phrase(spark):
+    """Whatever way the support is spread over the shards, the phrase is counted."""
+    ids = {}
+    for row in spark.range(1000).select("id", F.pmod(F.xxhash64("id", F.lit("alpha beta")), F.lit(4)).alias("shard")).collect():
+        ids.setdefault(row["shard"], []).append(row["id"])
+    for spread in ((10, 0, 0, 0), (4, 2, 2, 2), (2, 2, 2, 4), (3, 3, 2, 2), (3, 3, 3, 1), (5, 5, 0, 0)):
+        rows = [(k, "alpha beta", "en", "a") for shard, n in enumerate(spread) for k in ids[shard][:n]]
+        found = collocations(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [tuple(r) for r in found] == [("en", 1, "alpha beta", 10, 10, 10, 20, 1_000_000)], spread
+
+
+def test_levels_release_their_shuffles(spark):
+    """Once phrases are counted, no shuffle file of a level is left; the result can be read twice."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffle_files()
+    found = collocations(frame(spark, phrase_rows()))
+    for _ in range(100):
+        left = shuffle_files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert found.collect() == found.collect() != []
+
+
 def test_scores_beyond_64_bits(spark):
     counted = spark.createDataFrame([("en", 0, "", 10**13), ("en", 1, "a", 3 * 10**12), ("en", 1, "b", 7 * 10**11), ("en", 2, "a b", 5 * 10**11)], "lang string, words int, phrase string, f long")
     with pytest.MonkeyPatch.context() as m:
