@@ -233,6 +233,75 @@ def test_levels_release_their_shuffles(spark):
     assert found.collect() == found.collect() != []
 
 
+def given_out(spark, batch, count):
+    """What a worker gives out for a batch of texts."""
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            self.given = list(run(iter([batch])))
+            return spark.createDataFrame([], schema)
+
+    texts = Texts()
+    count(texts)
+    return texts.given
+
+
+def all_passing(spark):
+    return spark.sparkContext.broadcast(np.full(8, 255, np.uint8))
+
+
+@pytest.mark.parametrize("part, held, held_bytes", [(1 << 20, 1 << 18, 1 << 24), (500, 300, 1 << 24), (500, 1 << 18, 9000), (1, 1, 1)])
+def test_workers_hold_a_bounded_number_of_phrases(spark, monkeypatch, part, held, held_bytes):
+    """A batch of many distinct phrases is given out in pieces, which together have every phrase as often as it stands in it."""
+    for name, value in (("PART", part), ("HELD", held), ("HELD_BYTES", held_bytes)):
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["é€", "b", "Of", f"w{rng.randrange(10**6)}", "x.", "😀\n"]) for _ in range(rng.randint(0, 40))), rng.choice(["en", "fr"])) for k in range(200)]
+    rows += [(None, None, "en"), (None, "", "fr"), (None, " . ", "fr")]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([len(r[2]) + ord(r[2][0]) for r in rows], pa.int64()), pa.array([k % 4 for k in range(len(rows))], pa.int64())],
+        ["text", "lang", "language", "shard"],
+    )
+    wanted = [collections.Counter() for _ in range(4)]
+    for _, text, lang in rows:
+        for piece in re.split(r"[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            own = piece.split()
+            wanted[0][lang, ""] += len(own)
+            for n in (1, 2, 3):
+                wanted[n].update((lang, " ".join(own[k : k + n])) for k in range(len(own) - n + 1))
+
+    given = given_out(spark, batch, lambda texts: phrases.phrase_counts(texts, 3, all_passing(spark)))
+    found = [collections.Counter() for _ in range(4)]
+    for out in given:
+        for lang, n, phrase, count in zip(*(c.to_pylist() for c in out.columns)):
+            found[n][lang, phrase] += count
+    assert [dict(f) for f in found] == [dict(w) for w in wanted]
+    # One text is taken whole: a part more than the bound, and the words of each row.
+    part_most = max(part, 2000)
+    most = max(min(held, held_bytes) + 3 * part_most, len(rows))
+    assert max(out.num_rows for out in given) <= most
+    if held_bytes < 10**6:
+        assert max(out.column("phrase").nbytes for out in given) <= held_bytes + 30 * part_most
+
+    for n in (1, 2, 3):
+        given = given_out(spark, batch, lambda texts: phrases.locally_frequent(texts, n, 10, 4, all_passing(spark) if n > 1 else None))
+        assert max(out.num_rows for out in given) <= held + part_most
+        counts = collections.Counter()
+        for out in given:
+            for term, count in zip(*(c.to_pylist() for c in out.columns)):
+                counts[term] += count
+        assert sum(counts.values()) == sum(wanted[n].values())
+
+
+def test_texts_of_phrases_are_taken_at_once(spark, monkeypatch):
+    """The result is the same however often workers give out what they hold."""
+    monkeypatch.setattr(phrases, "PART", 300)
+    rows = phrase_rows()
+    whole = collocations(frame(spark, rows)).collect()
+    monkeypatch.setattr(phrases, "HELD", 20, raising=False)
+    assert collocations(frame(spark, rows)).collect() == whole != []
+
+
 def test_scores_beyond_64_bits(spark):
     counted = spark.createDataFrame([("en", 0, "", 10**13), ("en", 1, "a", 3 * 10**12), ("en", 1, "b", 7 * 10**11), ("en", 2, "a b", 5 * 10**11)], "lang string, words int, phrase string, f long")
     with pytest.MonkeyPatch.context() as m:
