@@ -250,7 +250,7 @@ def all_passing(spark):
     return spark.sparkContext.broadcast(np.full(8, 255, np.uint8))
 
 
-@pytest.mark.parametrize("part, held, held_bytes", [(1 << 20, 1 << 18, 1 << 24), (500, 300, 1 << 24), (500, 1 << 18, 9000), (1, 1, 1)])
+@pytest.mark.parametrize("part, held, held_bytes", [(1 << 20, 1 << 18, 1 << 24), (500, 300, 1 << 24), (500, 1 << 18, 5000), (1, 1, 1)])
 def test_workers_hold_a_bounded_number_of_phrases(spark, monkeypatch, part, held, held_bytes):
     """A batch of many distinct phrases is given out in pieces, which together have every phrase as often as it stands in it."""
     for name, value in (("PART", part), ("HELD", held), ("HELD_BYTES", held_bytes)):
@@ -276,16 +276,14 @@ def test_workers_hold_a_bounded_number_of_phrases(spark, monkeypatch, part, held
         for lang, n, phrase, count in zip(*(c.to_pylist() for c in out.columns)):
             found[n][lang, phrase] += count
     assert [dict(f) for f in found] == [dict(w) for w in wanted]
-    # One text is taken whole: a part more than the bound, and the words of each row.
-    part_most = max(part, 2000)
-    most = max(min(held, held_bytes) + 3 * part_most, len(rows))
-    assert max(out.num_rows for out in given) <= most
-    if held_bytes < 10**6:
-        assert max(out.column("phrase").nbytes for out in given) <= held_bytes + 30 * part_most
+    # Beyond what is held, a worker gives out one part: as many bytes, or one text; a word takes two bytes at least.
+    words_most = max(part, 400) // 2
+    assert max(out.num_rows for out in given) <= max(min(held, held_bytes) + 3 * words_most, len(rows))
+    assert max(out.column("phrase").nbytes for out in given) <= held_bytes + 28 * 3 * words_most
 
     for n in (1, 2, 3):
         given = given_out(spark, batch, lambda texts: phrases.locally_frequent(texts, n, 10, 4, all_passing(spark) if n > 1 else None))
-        assert max(out.num_rows for out in given) <= held + part_most
+        assert max(out.num_rows for out in given) <= held + words_most
         counts = collections.Counter()
         for out in given:
             for term, count in zip(*(c.to_pylist() for c in out.columns)):
