@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Cells are 2^36 microseconds (19 hours) wide, or wider by factors of 8 up to 36,000 years.
 LEVELS = tuple(range(36, 61, 3))
+#: Cells of the lowest level a key's points may lie in for its intervals to be looked through; a key with more keeps them all.
+FEW_CELLS = 256
 
 
 def _level(length: Column) -> Column:
@@ -43,6 +45,22 @@ def _gaps(intervals: DataFrame) -> DataFrame:
     )
 
 
+def _near(intervals: DataFrame, points: DataFrame, at: Column, key: str) -> DataFrame:
+    """The intervals that share a cell of the lowest level with a point of their key.
+
+    Only these can hold a point. What is hashed is a short list for each key, beside which the intervals stream by, so a plan of many windows
+    and few items is dropped where it is made. Intervals that are already dealt by their key are not moved for it.
+    """
+    places = points.select(F.col(key).alias("__near_key"), F.shiftright(at, LEVELS[0]).alias("__place")).filter(
+        "__near_key IS NOT NULL AND __place IS NOT NULL"
+    )
+    found = places.groupBy("__near_key").agg(F.collect_set("__place").alias("__places"))
+    few = F.when(F.size("__places") <= FEW_CELLS, F.col("__places")).otherwise(F.array(F.lit(None).cast("long")))
+    listed = found.select("__near_key", F.explode(few).alias("__place")).hint("shuffle_hash")
+    place, first, last = F.col("__place"), F.shiftright("__first", LEVELS[0]), F.shiftright("__last", LEVELS[0])
+    return intervals.join(listed, (F.col("__key") == F.col("__near_key")) & (place.isNull() | place.between(first, last)), "left_semi")
+
+
 def join_points(points: DataFrame, at: Column, intervals: DataFrame, first: Column, last: Column, key: str) -> DataFrame:
     """Every point with the other columns of each interval of its ``key`` that holds it; one row of nulls where none does.
 
@@ -51,14 +69,16 @@ def join_points(points: DataFrame, at: Column, intervals: DataFrame, first: Colu
     two for a plan of like windows). Every interval of a cell is at least an eighth as long as the cell, the lowest level aside, so a
     point meets few that do not hold it. A key's points spread over its cells.
 
+    Intervals without a point near them are left out first, so what is shuffled follows the points and what they meet, not the plan.
     Points outside the whole range of their key, and those without key or time, probe nothing. Gaps inside that range are intervals
-    of their own, so a point that probes meets something in exactly the levels that hold it and no second pass looks for
-    points without an interval.
+    of their own (also where an interval was left out, which no point is in), so a point that probes meets something in exactly the levels
+    that hold it and no second pass looks for points without an interval.
     """
     columns = [c for c in intervals.columns if c != key]
     ranged = intervals.select(
         F.col(key).alias("__key"), first.alias("__first"), last.alias("__last"), F.struct(*columns).alias("__found")
     ).filter("__first <= __last AND __key IS NOT NULL")
+    ranged = _near(ranged, points, at, key)
     gaps = _gaps(ranged).select(
         "__key", F.col("__from").alias("__first"), F.col("__to").alias("__last"), F.lit(None).cast(ranged.schema["__found"].dataType).alias("__found")
     )

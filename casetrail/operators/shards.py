@@ -28,7 +28,8 @@ def shard_windows(requests: DataFrame, options: ShardOptions = ShardOptions()) -
     """Windows per (job, custodian) and, where they stop short, one ``gap`` row.
 
     A narrow generator: the number of windows and the end of cover are arithmetic on
-    the request, so indices, totals and gaps need no window function and no shuffle.
+    the request, so indices, totals and gaps need no window function and windows are not
+    shuffled: requests are, by custodian.
     """
     start, end = F.unix_micros("start_date"), F.unix_micros("end_date")
     width = options.window_days * DAY_MICROS
@@ -44,6 +45,9 @@ def shard_windows(requests: DataFrame, options: ShardOptions = ShardOptions()) -
     planned = (
         requests.filter(F.col("start_date") < F.col("end_date"))
         .withColumn("custodian", F.explode("custodians"))
+        # Dealt while there is one row a request, so that what follows a custodian need not move its windows. The number is given
+        # because adaptive execution would judge these rows by their own size and put all windows into a few tasks.
+        .repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "custodian")
         .withColumn("__start", start)
         .withColumn("__end", end)
         .withColumn("total_shards", n_shards)

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casetrail.operators import intervals as intervals_module
+from casetrail.operators import shards
 from casetrail.operators.density import DensityOptions, daily_density, density_shards, merge_density
 from casetrail.operators.intervals import LEVELS, join_points
 
@@ -60,6 +62,38 @@ def test_a_window_has_two_cells_at_most(spark):
     assert "sequence(" not in plan and "array_distinct(array(" in plan and len(LEVELS) == 9
 
 
+def test_only_intervals_near_a_point_are_cut_into_cells(spark):
+    """One key has few points, one more cells than are listed, one none; what is dropped changes no row."""
+    day = 24 * HOUR
+    intervals = [(key, n, n * day, (n + 1) * day - 1) for key in "abc" for n in range(400)] + [("a", 1000, 0, 400 * day)]
+    points = [(1, "a", 7 * day), (2, "a", 300 * day + 5), (3, "a", 900 * day)] + [(10 + n, "b", n * day + n) for n in range(intervals_module.FEW_CELLS + 20)]
+    ranged = spark.createDataFrame(intervals, "__key string, job long, __first long, __last long")
+    near = intervals_module._near(ranged, spark.createDataFrame(points, POINTS), F.col("at"), "key")
+    counts = {r["__key"]: r["count"] for r in near.groupBy("__key").count().collect()}
+    # Two days with their neighbours in a cell, and the long one.
+    assert 3 <= counts["a"] <= 7 and counts["b"] == 400 and "c" not in counts
+    assert joined(spark, points, intervals) == brute(points, intervals)
+
+
+def test_windows_of_a_plan_are_not_shuffled_to_meet_items(spark):
+    """Requests are dealt by custodian before they become windows; above the windows the first operator is the join that drops them."""
+    requests = spark.createDataFrame(
+        [(n, [f"u{n}"], "Email", dt.datetime(2020, 1, 1), dt.datetime(2024, 1, 1)) for n in range(20)],
+        "job_id long, custodians array<string>, job_type string, start_date timestamp, end_date timestamp",
+    )
+    options = [shards.ShardOptions(window_days=3, max_shards_per_custodian=400), shards.ShardOptions()]
+    windows = shards.shard_windows(requests, options[0]).unionByName(shards.shard_windows(requests, options[1]))
+    items = spark.createDataFrame([(n, f"u{n}", dt.datetime(2021, 5, 1)) for n in range(20)], "id long, custodian string, item_date timestamp")
+    found = shards.assign_items(items, windows)
+    assert found.count() == 20 and found.filter("shard_index IS NULL").isEmpty()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = plan.splitlines()
+    made = [i for i, line in enumerate(lines) if "Generate explode(sequence(" in line]
+    above = [next(line for line in reversed(lines[:i]) if "Exchange" in line or "Join" in line) for i in made]
+    assert made and all("LeftSemi" in line for line in above)
+
+
 def greedy(days, start, end, options):
     """One shard at a time: the longest run of days that fits, its end moved back to the last edge in it."""
 
