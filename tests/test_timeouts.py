@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,57 @@ def test_sessions_do_not_depend_on_the_order_of_arrival(seed):
     assert told == expected
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_many_jobs_at_once_follow_the_rules_of_one(seed):
+    """Sessions held, told or not, with further runs: the table of all jobs against a time line of each."""
+    rng = random.Random(seed)
+    timeout, jobs, table, want = 20, range(12), [], set()
+    for job in jobs:
+        line = Timeline([], timeout)
+        line.add([event(rng.randrange(900)) for _ in range(rng.randrange(8))])
+        line.tell(rng.randrange(900))
+        line.changes.clear()
+        more = [event(rng.randrange(900), rng.choice(["ItemCollected", "JobCompleted"])) for _ in range(rng.randrange(8))]
+        table += [(job, s) for s in line.sessions + more]
+        line.add(more)
+        want |= {(job, state, s.first_event_at) for state, s in line.changes}
+        want |= {(job, s.told or "", s.first_event_at, s.last_event_at, s.items_collected, s.completed_at) for s in line.sessions}
+    rng.shuffle(table)
+    rows = [
+        (job, timeouts._EVER, timeouts._NEVER if s.completed_at is None else s.completed_at, s.first_event_at, s.last_event_at,
+         s.items_collected, s.bytes_collected, s.backoffs, timeouts._TOLD.index(s.told or ""))
+        for job, s in table
+    ]
+    merged, gone = timeouts.merge_sessions(pd.DataFrame(rows, columns=["job_id", *timeouts._NAMES, "told"]), timeout)
+    got = {(r.job_id, timeouts.MERGED, r.first_event_at) for r in gone.itertuples()}
+    got |= {
+        (r.job_id, timeouts._TOLD[r.told], r.first_event_at, r.last_event_at, r.items_collected, None if r.completed_at == timeouts._NEVER else r.completed_at)
+        for r in merged.itertuples()
+    }
+    assert got == want
+
+
+def test_jobs_share_state_and_timers(spark, tmp_path, rows):
+    """State is kept by bucket: more jobs than buckets leave no more keys than there are buckets, and jobs of a bucket do not mix."""
+    root, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    n = timeouts.BUCKETS * 4
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(root)
+        query = timeouts.run_job_changes(timeouts.job_changes(stream, 60), out, checkpoint)
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+    schema = _write(spark, root, [(f"j{i}", "ItemCollected", at(1), i) for i in range(n)] + [("late", "JobStarted", at(9), 1)])
+    # A value and a timer for each bucket, the timer also in an index by time.
+    assert run() <= 3 * timeouts.BUCKETS
+    _write(spark, root, [(f"j{i}", "JobCompleted", at(1, 30), None) for i in range(0, n, 2)])
+    run()
+    found = timeouts.current_sessions(spark.read.parquet(out)).groupBy("state").agg(F.count("*"), F.sum("bytes_collected"))
+    evens = sum(range(0, n, 2))
+    assert rows(found) == [("Completed", n // 2, evens), ("Open", 1, 0), ("TimedOut", n // 2, sum(range(n)) - evens)]
+
+
 def test_only_unreachable_sessions_are_forgotten():
     line = Timeline([], 10)
     line.add([event(5), event(30)])
