@@ -1,5 +1,6 @@
 """Ordered operators against brute force, with one group holding most rows."""
 
+import datetime as dt
 import hashlib
 import random
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from casetrail.operators import custody
 from casetrail.operators.digests import ordered_digest
-from casetrail.operators.ordering import as_of_join, latest_by, number_rows, previous_row
+from casetrail.operators.ordering import as_of_join, held, latest_by, number_rows, previous_row
+from casetrail.sinks import files
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +162,49 @@ def test_as_of_join_sorts_once(spark):
     side = spark.range(10).selectExpr("id AS k", "timestamp_seconds(id) AS t")
     plan = as_of_join(side, side, ["k"], "t", "t", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def _final_plan(frame):
+    """The plan that ran, with its shuffles."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def _some_items(spark):
+    rows = [(k % 7 if k % 50 else None, f"i{k}", dt.datetime(2024, 1, 1 + k % 5), f"{k:064x}", k % 3 > 0, k, f"x{k}") for k in range(300)]
+    return spark.createDataFrame(rows, "job_id long, item_id string, collected_date timestamp, sha256 string, is_successful boolean, size_bytes long, note string")
+
+
+def test_digests_of_numbered_rows_need_no_further_shuffle(spark):
+    digests = custody.items_hash(custody.collection_sequence(_some_items(spark)))
+    plan = _final_plan(digests)
+    assert digests.count() == 8
+    # One for the rows, and those that look for hot groups.
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "__group" not in line]
+    assert len(moved) == 1 and "__chunk" not in moved[0] and "md5" not in plan.split(moved[0])[1]
+
+
+def test_held_rows_share_a_shuffle(spark, tmp_path):
+    _some_items(spark).write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    jobs = spark.createDataFrame([(k, 1, "c", "Email", "r", None, None) for k in range(9)], "job_id long, matter_id long, custodian string, job_type string, route string, start_time timestamp, end_time timestamp")
+    numbered = held(custody.collection_sequence(items), items.columns)
+    built = custody.job_manifests(jobs, items, F.lit(dt.datetime(2024, 2, 1)), sequenced=numbered)
+    both = built.select("job_id", F.col("items_hash").alias("x")).unionByName(numbered.select("job_id", F.concat("note", F.col("sequence").cast("string")).alias("x")))
+    plan = _final_plan(both)
+    assert both.count() == 309
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(job_id" in line]
+    assert any("ReusedExchange" in line and "note" in line for line in plan.splitlines()) and len(wide) == 2
+    plain = custody.job_manifests(jobs, items, F.lit(dt.datetime(2024, 2, 1)))
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, built.collect()), key=str)
+
+
+def test_rows_of_a_large_job_span_places(spark):
+    rows = spark.createDataFrame([(job, n) for job, size in ((1, 500), (2, 40), (3, 0), (4, 41)) for n in range(size + 1)], "job_id long, ord long")
+    placed = files._placed(rows, "ord", job_rows=40).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r.job_id, r.ord) for r in placed) == sorted((r.job_id, r.ord) for r in rows.collect())
+    spots = {}
+    for r in placed:
+        spots.setdefault((r.job_id, r["at"]), []).append(r.ord)
+    assert all(v == sorted(v) for v in spots.values())
+    assert len([k for k in spots if k[0] == 1]) > 1 and len([k for k in spots if k[0] in (2, 3)]) == 2
