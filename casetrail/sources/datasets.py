@@ -28,10 +28,10 @@ def with_path_metadata(records: DataFrame, column: str = "source_file") -> DataF
     )
 
 
-def read_file_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_file_records(spark: SparkSession, path: str | list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of a dataset of JSON lines and JSON arrays; names are exact.
 
-    Each file's form is found from its own first character, so a folder may mix them.
+    Each file's form is found from its own first character, so a folder may mix them. Files may be rows of ``list_json_files``.
     """
     layout = T.StructType([*schemas.FILE_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = read_json_values(spark, path).select(

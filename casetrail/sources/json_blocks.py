@@ -137,16 +137,22 @@ def _begin_states(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": table["path"], "file": table["file"], "length": table["length"], "block": table["block"], "state": states, "depth": depths})
 
 
-def read_json_values(spark: SparkSession, path: str | list[str], block: int = BLOCK) -> DataFrame:
+def list_json_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """``path``, ``file`` (the name a scan gives) and ``length`` of the files below a path; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return listed.select("path", F.col("_metadata.file_path").alias("file"), "length")
+
+
+def read_json_values(spark: SparkSession, path: str | list[str] | DataFrame, block: int = BLOCK) -> DataFrame:
     """One row (``value``, ``source_file``) per JSON value of files of lines and files of one array, also mixed in a folder.
 
     A file whose first visible character is ``[`` is an array. Files of either form are split into blocks between tasks, so neither
     a file nor a line of it has a greatest size; one value must fit into a task. Blank lines and blank elements are left
     out. What is no JSON comes as the text between its edges, for the parser to reject; an array that is cut off ends with such a text.
+    Files may also be given as rows, as ``list_json_files`` gives them; their names do not reach the driver then.
     """
     ship(spark)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = listed.select("path", F.col("_metadata.file_path").alias("file"), "length").repartition("path")
+    files = path if isinstance(path, DataFrame) else list_json_files(spark, path).repartition("path")
     kept = "path string, file string, length long"
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casetrail.operators import ingest
 from casetrail.sources.datasets import read_file_records
+from casetrail.sources.json_blocks import list_json_files
 from casetrail.sources.landing import released_files
 from casetrail.streaming.waiting import WaitingRoom
 from casetrail.workspace import checkpointed, remove_folder
@@ -95,14 +96,21 @@ def run_ingest(
     whole in one batch, so its index and cut-off are complete there. With an interval trigger a heartbeat makes a running stream look for
     markers; with ``availableNow`` each start looks once more at what waits.
 
-    The driver gets the names of about ``max_files`` released files at a time, which name the files of a scan. Results,
-    summaries and rejects go to folders of the look and part, which a replay writes anew; ``output`` and ``checkpoint`` belong together.
+    All files that a look releases are rows of one pass, which reads ``content`` as often for many files as for one; the driver gets none of
+    their names. ``max_files`` of them are a task's share. Results, summaries and rejects go to folders of the look, which a replay writes anew;
+    ``output`` and ``checkpoint`` belong together.
     """
     trigger = trigger or {"availableNow": True}
     gate = MarkerGate(spark, root, f"{output}/state")
 
-    def ingest_part(names: list[str], place: str) -> None:
-        records, rejects = read_file_records(spark, names)
+    def ingest_files(released: DataFrame, place: str) -> None:
+        listed = list_json_files(spark, root, "*.{json,JSON}").join(released, "path", "left_semi")
+        count = released.count()
+        # Written once: what is found when is settled here, and a file that has gone since is not passed over.
+        named = checkpointed(listed.repartition(max(1, -(-count // max_files)), "path"))
+        if named.count() != count:
+            raise FileNotFoundError(f"released files have gone from {root}")
+        records, rejects = read_file_records(spark, named)
         kept = ingest.triage(ingest.filter_records(records))
         tie = F.md5(F.concat_ws("|", "id", "path", "name"))
         indexed = ingest.index_records(
@@ -118,11 +126,8 @@ def run_ingest(
         released = gate.look(arrived, version)
         for name in ("results", "rejects", "summary"):
             remove_folder(spark, f"{output}/{name}/batch_id={version}")
-        parts = max(1, -(-released.count() // max_files))
-        for part in range(parts):
-            names = [r["path"] for r in released.filter(F.pmod(F.xxhash64("path"), F.lit(parts)) == part).collect()]
-            if names:
-                ingest_part(sorted(names), f"batch_id={version}/part={part}")
+        if not released.isEmpty():
+            ingest_files(released, f"batch_id={version}/part=0")
         gate.finish(released, version)
 
     def step(batch: DataFrame, batch_id: int) -> None:

@@ -228,3 +228,25 @@ def test_listing_has_hidden_and_empty_files(spark, tmp_path):
     assert found.filter("is_folder").count() == 5 and found.filter(F.col("length") != 0).count() == 0
     assert landing.marker_files(spark, str(tmp_path)).count() == 3
     assert list_tree(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_a_look_is_one_pass_over_its_files(spark, tmp_path):
+    """However many files a look releases, the content is read as often as for one (for the results, and for the cut-off)."""
+    zone = Zone(spark, tmp_path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    zone.content = zone.content.mapInArrow(passed, zone.content.schema)
+    for k in range(12):
+        put(zone.root / "r" / f"u{k % 3}" / f"part-{k}.json", json.dumps(record(k)) + "\n" + json.dumps(record(k + 12)) + "\n")
+    put(zone.root / "r" / "_SUCCESS", "")
+    zone.run(max_files=2, max_errors=5)
+    assert zone.ids() == sorted(f"i{k}" for k in range(24))
+    results = spark.read.parquet(str(tmp_path / "out" / "results"))
+    assert results.filter("outcome = 'Success' AND record_index IN (0, 1) AND counted").count() == 24
+    assert spark.read.parquet(str(tmp_path / "out" / "summary")).filter("successful = 2 AND success").count() == 12
+    assert reads.value <= 2 * 50
